@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["benchmark"]
+FAMILIES = ["benchmark", "events", "ledger"]
 
 
 def _load() -> None:

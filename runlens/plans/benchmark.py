@@ -303,14 +303,14 @@ def campaign_tiles(spark, sf):
     return ops.campaign_tiles(arms(spark, sf))
 
 
-@query("arm_families", """SELECT regexp_extract(arm, '^[A-Za-z]+') AS family, count(*) AS arms,
-  round_even(max(wall_seconds) * 1e3, 0) / 1e3 AS max_wall,
-  (SELECT string_agg(DISTINCT CAST(b.clients AS VARCHAR), ', ' ORDER BY CAST(b.clients AS VARCHAR)) FROM @arms b
-   WHERE regexp_extract(b.arm, '^[A-Za-z]+') = regexp_extract(a.arm, '^[A-Za-z]+')) AS client_levels,
-  CASE WHEN count(DISTINCT tool) <= 3 THEN (SELECT string_agg(t, ', ' ORDER BY at0) FROM (SELECT tool AS t, min(pos) AS at0
-     FROM @arms c WHERE regexp_extract(c.arm, '^[A-Za-z]+') = regexp_extract(a.arm, '^[A-Za-z]+') GROUP BY tool))
-   ELSE concat(count(DISTINCT tool), ' tools') END AS tools
-FROM @arms a GROUP BY regexp_extract(arm, '^[A-Za-z]+')""")
+@query("arm_families", """WITH a AS (SELECT *, regexp_extract(arm, '^[A-Za-z]+') AS family FROM @arms),
+t AS (SELECT family, count(*) AS n, string_agg(tool, ', ' ORDER BY at0, tool) AS names FROM
+  (SELECT family, tool, min(pos) AS at0 FROM a GROUP BY family, tool) GROUP BY family),
+c AS (SELECT family, string_agg(DISTINCT CAST(clients AS VARCHAR), ', ' ORDER BY CAST(clients AS VARCHAR)) AS client_levels
+  FROM a GROUP BY family)
+SELECT family, count(*) AS arms, round_even(max(wall_seconds) * 1e3, 0) / 1e3 AS max_wall, any_value(client_levels)
+  AS client_levels, CASE WHEN any_value(n) <= 3 THEN any_value(names) ELSE concat(any_value(n), ' tools') END AS tools
+FROM a JOIN t USING (family) JOIN c USING (family) GROUP BY family""")
 def arm_families(spark, sf):
     return ops.arm_families(arms(spark, sf))
 
