@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["benchmark", "events", "ledger"]
+FAMILIES = ["benchmark", "events", "ledger", "costs"]
 
 
 def _load() -> None:
