@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["benchmark", "events", "ledger", "costs"]
+FAMILIES = ["benchmark", "events", "ledger", "costs", "artifacts"]
 
 
 def _load() -> None:
@@ -20,7 +20,8 @@ def all_queries() -> dict:
 
 
 def all_oracles() -> dict:
+    from runlens.plans.bindings import expand
     from runlens.plans.registry import ORACLES
 
     _load()
-    return dict(ORACLES)
+    return {name: expand(sql) for name, sql in ORACLES.items()}

@@ -182,7 +182,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, sf_dir, "documents")
     number = F.col("doc_id")
     name = F.concat(F.lit("d"), number, F.lit(".txt"))
-    changed = F.when(number % 5 == 0, F.concat(F.col("text"), F.lit("\nx"))).otherwise(F.col("text"))
+    changed = F.when(number % 5 == 0, F.concat(F.replace(F.col("text"), F.lit("en"), F.lit("EN")), F.lit("\nx"))).otherwise(
+        F.col("text"))
     moved = (F.when(number % 7 == 0, F.concat(F.lit("moved/"), name))
              .when(number % 11 == 0, F.concat(F.lit("input_"), name)).otherwise(name))
     return (documents.select(name.alias("name"), F.col("text").alias("content")),
@@ -195,7 +196,7 @@ RIGHT_SQL = """(SELECT name, content, sha256(content) AS sha256,
   CAST(octet_length(encode(content)) AS BIGINT) AS size FROM (SELECT
   CASE WHEN doc_id % 7 = 0 THEN concat('moved/d', doc_id, '.txt')
     WHEN doc_id % 11 = 0 THEN concat('input_d', doc_id, '.txt') ELSE concat('d', doc_id, '.txt') END AS name,
-  CASE WHEN doc_id % 5 = 0 THEN concat(text, chr(10), 'x') ELSE text END AS content FROM documents))"""
+  CASE WHEN doc_id % 5 = 0 THEN concat(replace(text, 'en', 'EN'), chr(10), 'x') ELSE text END AS content FROM documents))"""
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.plans import bindings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = bindings.expand(sql)
+            ORACLES[name] = sql
         return fn
 
     return register
