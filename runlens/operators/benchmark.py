@@ -13,21 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.numbers import as_micros, count_if, rounded
-from runlens.operators.ordered import (along, following, join_on, medians_of, order_statistics, lower_middle,
-                                       rank, summary_of, top_per_group, upper_middle, with_totals)
+from runlens.operators.ordered import (along, join_on, lower_middle, medians_of, order_statistics, rank,
+                                       summary_of, top_per_group, upper_middle, with_totals)
 
 # The closed list of phases a record may time.
 PHASES = ["pack", "upload", "server_exec", "download", "unpack", "job_setup", "interpreter_start",
           "import_stack", "compute", "collect", "other"]
 
-FAILED = F.col("status") == "failed"
-OK = F.col("status") == "ok"
-MEASURED = OK & ~F.col("warmup")
+
+def failed() -> Column:
+    return F.col("status") == "failed"
+
+
+def succeeded() -> Column:
+    return F.col("status") == "ok"
+
+
+def measured() -> Column:
+    return succeeded() & ~F.col("warmup")
 
 
 def measured_only(records: DataFrame) -> DataFrame:
     """Successful records that are not warm-ups."""
-    return records.filter(MEASURED)
+    return records.filter(measured())
 
 
 def stats_summary(records: DataFrame, keys: Sequence[str], value: str = "total_seconds") -> DataFrame:
@@ -39,7 +47,7 @@ def stats_summary(records: DataFrame, keys: Sequence[str], value: str = "total_s
 
 def _first_error(order: Sequence[str], length: int = 160) -> Column:
     """The error message of the first failed record in file order."""
-    place = F.when(FAILED, F.struct(*order))
+    place = F.when(failed(), F.struct(*order))
     message = F.min_by(F.substring(F.coalesce("error_message", F.lit("")), 1, length), place)
     return F.coalesce(message, F.lit(""))
 
@@ -49,7 +57,7 @@ def latency_table(records: DataFrame, order: Sequence[str]) -> DataFrame:
     keys = ["tool", "path"]
     counts = records.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("runs"), count_if(F.col("warmup")).alias("warmup_discarded"),
-        count_if(FAILED).alias("failed"), _first_error(order).alias("first_error"))
+        count_if(failed()).alias("failed"), _first_error(order).alias("first_error"))
     stats = order_statistics(measured_only(records), keys, "total_seconds",
                              _lo=lower_middle, _hi=upper_middle)
     return join_on(counts, stats, keys, "left").select(
@@ -62,7 +70,7 @@ def network_table(records: DataFrame) -> DataFrame:
     """Per tool, payload and parallelism: medians of the total, the megabytes and each phase."""
     keys = ["tool", "payload", "parallelism"]
     counts = records.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs"), count_if(FAILED).alias("failed"), count_if(MEASURED).alias("n"))
+        F.count(F.lit(1)).alias("runs"), count_if(failed()).alias("failed"), count_if(measured()).alias("n"))
     megabytes = [F.struct(F.lit(name).alias("metric"), (F.coalesce(c, F.lit(0)) / 1e6).alias("value"))
                  for name, c in (("uploaded_mb", "bytes_uploaded"), ("downloaded_mb", "bytes_downloaded"))]
     timed = F.transform(F.map_entries("phases"), lambda e: F.struct(
@@ -83,8 +91,8 @@ def startup_chain_table(records: DataFrame, order: Sequence[str]) -> DataFrame:
     startup = records.filter(F.col("measurement") == "startup").select(
         "measurement", "tool", F.lit("").alias("mode"),
         F.coalesce("local_mode", F.lit("")).alias("local_mode"), F.lit(1).cast("long").alias("runs"),
-        F.when(FAILED, 1).otherwise(0).cast("long").alias("failed"),
-        F.when(OK, 1).otherwise(0).cast("long").alias("n"), F.lit(None).cast("double").alias("median_s"),
+        F.when(failed(), 1).otherwise(0).cast("long").alias("failed"),
+        F.when(succeeded(), 1).otherwise(0).cast("long").alias("n"), F.lit(None).cast("double").alias("median_s"),
         rounded(F.col("interpreter_start_seconds")).alias("interpreter_start_s"),
         rounded(F.col("import_stack_seconds")).alias("import_stack_s"),
         F.coalesce("package", F.lit("")).alias("package"),
@@ -92,8 +100,8 @@ def startup_chain_table(records: DataFrame, order: Sequence[str]) -> DataFrame:
     chains = records.filter(F.coalesce(F.col("measurement") != "startup", F.lit(True)))
     keys = ["tool", "mode"]
     counts = chains.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs"), count_if(FAILED).alias("failed"),
-        F.min_by("local_mode", F.when(MEASURED, F.struct(*order))).alias("_local"),
+        F.count(F.lit(1)).alias("runs"), count_if(failed()).alias("failed"),
+        F.min_by("local_mode", F.when(measured(), F.struct(*order))).alias("_local"),
         _first_error(order).alias("error"))
     stats = order_statistics(measured_only(chains), keys, "total_seconds", _lo=lower_middle, _hi=upper_middle)
     medians = join_on(counts, stats, keys, "left").select(
@@ -111,7 +119,7 @@ def concurrency_table(records: DataFrame, order: Sequence[str]) -> DataFrame:
     keys = ["tool", "concurrency"]
     first = F.min_by(F.struct("window_seconds", "peak_mib", "baseline_mib"), F.struct(*order))
     counts = records.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("jobs"), count_if(FAILED).alias("failed"), count_if(OK).alias("_ok"),
+        F.count(F.lit(1)).alias("jobs"), count_if(failed()).alias("failed"), count_if(succeeded()).alias("_ok"),
         first.alias("_first"))
     stats = summary_of(measured_only(records), keys, "total_seconds")
     return join_on(counts, stats, keys, "left").select(
@@ -148,7 +156,7 @@ def parity_table(records: DataFrame, names: DataFrame) -> DataFrame:
     control = F.col("side") == "local_control"
     joined = join_on(join_on(records, counts, ["record_id"], "left"), shown, ["record_id"], "left")
     kept = joined.filter((F.col("side") == "comparison")
-                         | (control & (F.col("identical").isNotNull() | FAILED)))
+                         | (control & (F.col("identical").isNotNull() | failed())))
     listed = F.coalesce("_list", F.lit(""))
     return kept.select(
         "tool", "pair", "status", "parity_ok",
@@ -164,13 +172,13 @@ def parity_table(records: DataFrame, names: DataFrame) -> DataFrame:
 
 def failure_rows(records: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Failed records, their message cut at 300 characters."""
-    return records.filter(FAILED).select(
+    return records.filter(failed()).select(
         *columns, F.substring(F.coalesce("error_message", F.lit("")), 1, 300).alias("error_message"))
 
 
 def campaign_header(records: DataFrame) -> DataFrame:
     """How many records, failures, warm-ups and source files a campaign holds."""
-    return records.agg(F.count(F.lit(1)).alias("records"), count_if(FAILED).alias("failed"),
+    return records.agg(F.count(F.lit(1)).alias("records"), count_if(failed()).alias("failed"),
                        count_if(F.col("warmup")).alias("warmups"),
                        F.count_distinct("source_file").alias("source_files"))
 
@@ -188,8 +196,8 @@ def hardware_fingerprint(records: DataFrame, order: Sequence[str]) -> DataFrame:
 def throughput_probe(records: DataFrame) -> DataFrame:
     """Per tool and parallelism: the spread of seconds and megabytes per second at the median."""
     keys = ["tool", "parallelism"]
-    stats = summary_of(records.filter(OK), keys, "total_seconds")
-    moved = records.filter(OK).groupBy(*keys).agg(F.max("bytes_uploaded").alias("_bytes"))
+    stats = summary_of(records.filter(succeeded()), keys, "total_seconds")
+    moved = records.filter(succeeded()).groupBy(*keys).agg(F.max("bytes_uploaded").alias("_bytes"))
     return join_on(stats, moved, keys).select(
         *keys, "n", rounded(F.col("median")).alias("median_s"), rounded(F.col("min")).alias("min_s"),
         rounded(F.col("max")).alias("max_s"),
@@ -202,10 +210,10 @@ def config_compare(records: DataFrame, order: Sequence[str]) -> DataFrame:
     keys = ["config"]
     usable = records.filter(F.col("config").isNotNull())
     counts = usable.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs"), count_if(OK).alias("ok"), F.min(F.struct(*order)).alias("_place"))
+        F.count(F.lit(1)).alias("runs"), count_if(succeeded()).alias("ok"), F.min(F.struct(*order)).alias("_place"))
     tables = [counts]
     for value, name in (("total_seconds", "seconds"), ("running", "running")):
-        rows = usable.filter(OK & F.col(value).isNotNull())
+        rows = usable.filter(succeeded() & F.col(value).isNotNull())
         if name == "running":
             rows = rows.filter(F.col(value) != 0)
         spread = rows.groupBy(*keys).agg(
@@ -251,8 +259,8 @@ def arm_summary(records: DataFrame, phases: DataFrame) -> DataFrame:
 
     `phases` has one row per closed span (arm, phase, seconds).
     """
-    counts = records.groupBy("arm").agg(F.count(F.lit(1)).alias("total"), count_if(OK).alias("ok"))
-    stats = order_statistics(records.filter(OK), ["arm"], "total_seconds", _lo=lower_middle, _hi=upper_middle)
+    counts = records.groupBy("arm").agg(F.count(F.lit(1)).alias("total"), count_if(succeeded()).alias("ok"))
+    stats = order_statistics(records.filter(succeeded()), ["arm"], "total_seconds", _lo=lower_middle, _hi=upper_middle)
     detail = phases.groupBy("arm", "phase").agg(
         rounded(F.sum(as_micros(F.greatest("seconds", F.lit(0.0)))) / 1e6 / F.count(F.lit(1)), 2)
         .alias("phase_mean"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,17 +36,26 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's checkpoint folder and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: the one the cluster names in spark.checkpoint.dir.
 
-    The folder is the session's own; only where none is named (a test) a
-    local one is made.
+    Only where none is named, as in a test, a local one is made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="runlens-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="runlens-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/runlens-{uuid.uuid4().hex}/{name}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
