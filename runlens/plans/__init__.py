@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["benchmark", "events", "ledger", "costs", "artifacts", "validate", "catalogue", "sources"]
+FAMILIES = ["benchmark", "events", "ledger", "costs", "artifacts", "validate", "catalogue", "sources", "streams"]
 
 
 def _load() -> None:
