@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # Unicode letters count as word characters, as they do in the patterns' own language.
 EMAIL = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 PATH = r"""(?U)(?<![^\s'"()\[\]{}<>,;])(?!\d+/\d+[:.,;]?(?![^\s'"()\[\]{}<>,;]))[^\s'"()\[\]{}<>,;]*[/\\][^\s'"()\[\]{}<>,;]*"""
-FILE = (r"(?Ui)[\w.+-]+\.(?:nii|gz|nrrd|nhdr|mha|mhd|dcm|dicom|vtk|vtp|stl|obj|ply|off|"
+FILE = (r"(?Ui)(?<![\w.+-])[\w.+-]+\.(?:nii|gz|nrrd|nhdr|mha|mhd|dcm|dicom|vtk|vtp|stl|obj|ply|off|"
         r"json|csv|tsv|xlsx|xls|txt|pkl|pickle|pth|pt|ckpt|npy|npz|zip|tar|tgz|"
         r"png|jpe?g|tiff?|bmp|h5|hdf5|mrk|fcsv|mrml|seg|xml|yaml|yml|log)\b")
 ADDRESS = r"(?U)\b\d{1,3}(?:\.\d{1,3}){3}\b"
@@ -26,14 +26,22 @@ MAX_STEM = 64
 def scrub_text(text: Column) -> Column:
     """The text on one line with every name in it replaced by its kind, cut in the middle."""
     value = F.translate(F.coalesce(text, F.lit("")), "\r\n", "  ")
-    value = F.regexp_replace(value, EMAIL, "<email>")
-    value = F.regexp_replace(value, PATH, "<path>")
-    value = F.regexp_replace(value, FILE, "<file>")
-    value = F.regexp_replace(value, ADDRESS, "<address>")
-    value = F.regexp_replace(value, IDENTIFIER, "<id>")
+    # A pattern is only tried on texts that have what every match of it contains.
+    for needs, pattern, kind in ((r"@", EMAIL, "<email>"), (r"[/\\]", PATH, "<path>"), (r"\.", FILE, "<file>"),
+                                 (r"(?U)\d\.\d", ADDRESS, "<address>"), (r"(?U)\d", IDENTIFIER, "<id>")):
+        value = _once(value, _replacing(needs, pattern, kind))
     value = F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
-    return F.when(F.char_length(value) <= MAX_REDACTED, value).otherwise(F.concat(
-        F.rtrim(F.substring(value, 1, HEAD)), F.lit(" … "), F.ltrim(F.right(value, F.lit(TAIL)))))
+    return _once(value, lambda v: F.when(F.char_length(v) <= MAX_REDACTED, v).otherwise(F.concat(
+        F.rtrim(F.substring(v, 1, HEAD)), F.lit(" … "), F.ltrim(F.right(v, F.lit(TAIL))))))
+
+
+def _replacing(needs: str, pattern: str, kind: str):
+    return lambda v: F.when(v.rlike(needs), F.regexp_replace(v, pattern, kind)).otherwise(v)
+
+
+def _once(value: Column, use) -> Column:
+    """`use(value)` with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def canonical_name(name: Column) -> Column:
@@ -50,7 +58,7 @@ def compound_extension(name: Column) -> Column:
     base = F.lower(base_name(name))
     double = F.regexp_extract(base, f"({DOUBLES})$", 1)
     single = F.regexp_extract(base, r"^\.*[^.].*(\.[^.]*)$", 1)
-    return F.when(double != "", double).otherwise(F.when(single == ".", ".").otherwise(single))
+    return F.when(double != "", double).otherwise(single)
 
 
 def stem(name: Column) -> Column:

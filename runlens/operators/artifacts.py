@@ -137,10 +137,11 @@ def text_line_diff(left: DataFrame, right: DataFrame, max_lines: int = MAX_LINES
 
     Files without a difference have one row with a null line.
     """
-    pairs = left.select("name", lines_of(F.col("content")).alias("_l")).join(
-        right.select("name", lines_of(F.col("content")).alias("_r")), "name")
+    pairs = left.select("name", F.col("content").alias("_a")).join(
+        right.select("name", F.col("content").alias("_b")), "name").select(
+        "name", (F.col("_a") == F.col("_b")).alias("_same"), lines_of(F.col("_a")).alias("_l"), lines_of(F.col("_b")).alias("_r"))
     shared = F.least(F.size("_l"), F.size("_r"))
-    numbers = F.when(shared > 0, F.sequence(F.lit(1), shared)).otherwise(F.array().cast("array<int>"))
+    numbers = F.when(~F.col("_same") & (shared > 0), F.sequence(F.lit(1), shared)).otherwise(F.array().cast("array<int>"))
     changed = F.filter(numbers, lambda i: F.get(F.col("_l"), i - 1) != F.get(F.col("_r"), i - 1))
     found = pairs.withColumn("_changed", F.slice(changed, 1, max_lines))
     return found.select(

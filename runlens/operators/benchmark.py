@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.numbers import as_micros, count_if, rounded
 from runlens.operators.ordered import (along, join_on, lower_middle, medians_of, order_statistics, rank,
-                                       summary_of, top_per_group, upper_middle, with_totals)
+                                       summary_of, top_per_group, upper_middle, wide_medians, with_totals)
 
 # The closed list of phases a record may time.
 PHASES = ["pack", "upload", "server_exec", "download", "unpack", "job_setup", "interpreter_start",
@@ -71,19 +71,13 @@ def network_table(records: DataFrame) -> DataFrame:
     keys = ["tool", "payload", "parallelism"]
     counts = records.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("runs"), count_if(failed()).alias("failed"), count_if(measured()).alias("n"))
-    megabytes = [F.struct(F.lit(name).alias("metric"), (F.coalesce(c, F.lit(0)) / 1e6).alias("value"))
-                 for name, c in (("uploaded_mb", "bytes_uploaded"), ("downloaded_mb", "bytes_downloaded"))]
-    timed = F.transform(F.map_entries("phases"), lambda e: F.struct(
-        F.concat(e["key"], F.lit("_s")).alias("metric"), e["value"].alias("value")))
-    metrics = measured_only(records).select(*keys, F.explode(F.concat(
-        F.array(F.struct(F.lit("total_s").alias("metric"), F.col("total_seconds").alias("value")), *megabytes),
-        F.coalesce(timed, F.array()))).alias("m")).select(*keys, "m.metric", "m.value")
-    names = ["total_s", "uploaded_mb", "downloaded_mb", *[f"{p}_s" for p in PHASES]]
-    medians = medians_of(metrics, [*keys, "metric"], "value")
-    wide = medians.groupBy(*keys).pivot("metric", names).agg(F.first("median"))
+    values = {"total_s": F.col("total_seconds"),
+              **{f"{n}_mb": F.coalesce(F.col(f"bytes_{n}"), F.lit(0)) / 1e6 for n in ("uploaded", "downloaded")},
+              **{f"{p}_s": F.try_element_at(F.col("phases"), F.lit(p)) for p in PHASES}}
+    wide = wide_medians(measured_only(records), keys, values)
     return join_on(counts, wide, keys, "left").select(
         *keys, "runs", "failed", "n",
-        *[rounded(F.col(m), 1 if m.endswith("_mb") else 4).alias(m) for m in names])
+        *[rounded(F.col(m), 1 if m.endswith("_mb") else 4).alias(m) for m in values])
 
 
 def startup_chain_table(records: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -189,7 +183,7 @@ def hardware_fingerprint(records: DataFrame, order: Sequence[str]) -> DataFrame:
     lines = records.groupBy(line.alias("line")).agg(
         F.min(F.struct(*order)).alias("_place"), F.count(F.lit(1)).alias("records"))
     placed = along(lines, [], ["_place"], position=rank())
-    return with_totals(placed.withColumn("_one", F.lit(1)), ["_one"], _lines=F.count(F.lit(1))).select(
+    return with_totals(placed, [], _lines=F.count(F.lit(1))).select(
         "position", "line", "records", (F.col("_lines") > 1).alias("several_machines"))
 
 

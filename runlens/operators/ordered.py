@@ -78,7 +78,12 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(marked, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def _local(step: Step, window) -> Column:
+def _reversed(partition: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*partition).orderBy(*[F.col(c).desc() for c in order])
+
+
+def _local(step: Step, partition: Sequence[str], order: Sequence[str]) -> Column:
+    window = Window.partitionBy(*partition).orderBy(*order)
     end = Window.currentRow if step.inclusive else -1
     frame = window.rowsBetween(Window.unboundedPreceding, end)
     if step.kind == "rank":
@@ -93,9 +98,9 @@ def _local(step: Step, window) -> Column:
         return F.max(step.value).over(frame)
     if step.kind == "last":
         return F.last(step.value, ignorenulls=True).over(frame)
-    start = Window.currentRow if step.inclusive else 1
-    return F.first(step.value, ignorenulls=True).over(
-        window.rowsBetween(start, Window.unboundedFollowing))
+    # Backwards, since a frame that shrinks from the front is computed anew for every row.
+    return F.last(step.value, ignorenulls=True).over(
+        _reversed(partition, order).rowsBetween(Window.unboundedPreceding, end))
 
 
 def _summary(step: Step, position: Column) -> Column:
@@ -118,14 +123,14 @@ def _summary(step: Step, position: Column) -> Column:
 
 def _carry(step: Step, summary: Column, keys: Sequence[str]) -> Column:
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    after = _reversed(keys, ["_slice"]).rowsBetween(Window.unboundedPreceding, -1)
     if step.kind in ("rank", "sum"):
         return F.sum(summary).over(before)
     if step.kind == "max":
         return F.max(summary).over(before)
     if step.kind in ("prev", "last"):
         return F.last(summary, ignorenulls=True).over(before)
-    return F.first(summary, ignorenulls=True).over(after)
+    return F.last(summary, ignorenulls=True).over(after)
 
 
 def _combine(step: Step, local: Column, carry: Column) -> Column:
@@ -187,8 +192,7 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     points = split_points(df, keys, order)
     if points is None:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        out = df.select("*", *[_unbox(s, _local(s, window)).alias(n) for n, s in steps.items()])
+        out = df.select("*", *[_unbox(s, _local(s, keys, order)).alias(n) for n, s in steps.items()])
         return out.drop("_all") if whole else out
     sliced = slice_groups(df, points, keys, order)
     position = F.struct(*order)
@@ -197,8 +201,7 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
     carries = summaries.select(
         *keys, "_slice",
         *[_carry(s, F.col(f"_s_{n}"), keys).alias(f"_c_{n}") for n, s in steps.items()])
-    window = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    local = sliced.select("*", *[_local(s, window).alias(f"_l_{n}") for n, s in steps.items()])
+    local = sliced.select("*", *[_local(s, [*keys, "_slice"], order).alias(f"_l_{n}") for n, s in steps.items()])
     joined = join_on(local, carries, [*keys, "_slice"], "left")
     out = joined.select(
         *[c for c in df.columns],
@@ -210,6 +213,8 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
 def with_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
     """Add group aggregates to every row without gathering a group in one task."""
     totals = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
+    if not keys:
+        return df.join(F.broadcast(totals))
     return join_on(df, totals, keys)
 
 
@@ -224,25 +229,51 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn(position, F.row_number().over(window)).filter(F.col(position) <= k)
 
 
+def _hot(df: DataFrame, keys: Sequence[str], share: int = 1) -> bool:
+    """Whether any group has more rows than a `share` of what one task may be given."""
+    limit = hot_rows(df.sparkSession) // share
+    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).isEmpty()
+
+
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, **ranks) -> DataFrame:
     """Exact order statistics of `value` per group: n, min, max and one column per rank.
 
-    Each rank maps the group's size column to the 1-based rank wanted. Values
-    are counted per distinct value first, so a hot group shrinks before its
-    shuffle and its distinct values are ranked slice by slice.
+    Each rank maps the group's size column to the 1-based rank wanted. Groups whose size was
+    checked are sorted in place. Otherwise values are counted per distinct value first, so a
+    hot group shrinks before its shuffle, and its distinct values are ranked slice by slice.
     """
     keys = list(keys)
-    counted = (df.filter(F.col(value).isNotNull())
-               .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k")))
+    present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    if not _hot(present, keys, 4):
+        sorted_groups = present.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+            F.sort_array(F.collect_list("_v")).alias("_all"))
+        return sorted_groups.select(
+            *keys, "n", "min", "max",
+            *[F.get("_all", rank_of(F.col("n")).cast("int") - 1).alias(name) for name, rank_of in ranks.items()])
+    counted = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k"))
     upto = along(counted, keys, ["_v"], _upto=running_sum(F.col("_k")))
-    sized = with_totals(upto, keys, n=F.sum("_k")) if keys else upto.join(
-        F.broadcast(upto.agg(F.sum("_k").alias("n"))))
+    sized = with_totals(upto, keys, n=F.sum("_k"))
     return sized.groupBy(*keys).agg(
         F.max("n").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
         *[F.min(F.when(F.col("_upto") >= rank_of(F.col("n")), F.col("_v"))).alias(name)
           for name, rank_of in ranks.items()])
 
 
+def wide_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """The median of several values per group, one column each, nulls left out.
+
+    Groups whose size was checked are answered in one pass; with a hot one among them the
+    values are turned into rows and ranked like any other order statistic.
+    """
+    keys, names = list(keys), list(values)
+    narrow = df.select(*keys, *[c.cast("double").alias(n) for n, c in values.items()])
+    if not _hot(narrow, keys, 4 * len(names)):
+        return narrow.groupBy(*keys).agg(*[F.percentile(n, 0.5).alias(n) for n in names])
+    rows = narrow.unpivot(keys, names, "_name", "_value")
+    return medians_of(rows, [*keys, "_name"], "_value").groupBy(*keys).pivot("_name", names).agg(F.first("median"))
+
+
 def lower_middle(n: Column) -> Column:
     return F.floor((n + 1) / 2)
 

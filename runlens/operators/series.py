@@ -6,14 +6,17 @@ would be a range or as-of join is a merge of both sides in time order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens.functions.numbers import rounded
 from runlens.operators.ordered import (along, join_on, prev, rank, running_last, running_max, running_sum,
                                        upcoming_first, with_totals)
+from runlens.session import checkpointed
 
 
 def _steps(intervals: DataFrame, start: str, end: str) -> DataFrame:
@@ -70,41 +73,51 @@ def counter_rate(samples: DataFrame, keys: Sequence[str], order: Sequence[str])
     return marked.withColumn("percent", rounded(F.when(total > 0, share), 1)).drop("_busy", "_total")
 
 
+def _burst_ends(batches: Iterator[pd.DataFrame], keys: list[str], least_us: int) -> Iterator[pd.DataFrame]:
+    """Follow the marks of each burst in a partition sorted by key, burst and time, one burst in memory at a time."""
+    columns = [*keys, "_burst", "_t", "_k", "_end_t", "_end_k", "_peak"]
+    burst, first, mark, peak = None, None, None, 0.0
+    for batch in batches:
+        out = []
+        for *name, t, k in zip(*[batch[c].tolist() for c in [*keys, "_burst", "at_us", "ticks"]]):
+            if name != burst:
+                if burst is not None:
+                    out.append((*burst, *first, *mark, peak))
+                burst, first, mark, peak = name, (t, k), (t, k), 0.0
+            elif t - mark[0] >= least_us:
+                peak, mark = max(peak, (k - mark[1]) * 1e6 / (t - mark[0])), (t, k)
+            elif t == mark[0]:
+                mark = (t, k)
+        yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame([] if burst is None else [(*burst, *first, *mark, peak)], columns=columns)
+
+
 def peak_rate(samples: DataFrame, keys: Sequence[str], order: Sequence[str], least_us: int = 500_000) -> DataFrame:
     """The highest rate of a counter per key, between marks at least `least_us` apart.
 
     A reading too close to the mark is passed over and the mark kept; one at the very
     instant of the mark replaces it. Whatever the mark, a reading that follows a pause
     of `least_us` becomes one, so the series falls apart there into bursts that are
-    followed on their own.
+    followed on their own, in any task.
     """
     keys = list(keys)
-    marked = along(samples, keys, order, _at=prev(F.col("at_us")), _ticks=prev(F.col("ticks")))
+    marked = along(samples, keys, order, _at=prev(F.col("at_us")))
     fresh = F.col("_at").isNull() | (F.col("at_us") - F.col("_at") >= least_us)
     bursts = along(marked.withColumn("_fresh", F.when(fresh, 1).otherwise(0)), keys, order,
                    _burst=running_sum(F.col("_fresh")))
-    reading = F.struct(*[F.col(c) for c in order], F.col("at_us").alias("_t"), F.col("ticks").alias("_k"))
-
-    def step(state: Column, row: Column) -> Column:
-        elapsed = row["_t"] - state["t"]
-        counts = elapsed >= least_us
-        rate = (row["_k"] - state["k"]) * 1e6 / F.nullif(elapsed, F.lit(0))
-        moved = counts | (elapsed == 0)
-        return F.struct(
-            F.when(moved, row["_t"]).otherwise(state["t"]).alias("t"),
-            F.when(moved, row["_k"]).otherwise(state["k"]).alias("k"),
-            F.greatest(state["peak"], F.when(counts, rate)).alias("peak"))
-
-    rows = F.col("_rows")
-    folded = F.aggregate(
-        F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))),
-        F.struct(F.get(rows, 0)["_t"].alias("t"), F.get(rows, 0)["_k"].alias("k"), F.lit(0.0).alias("peak")), step)
-    runs = bursts.groupBy(*keys, "_burst").agg(F.array_sort(F.collect_list(reading)).alias("_rows")).select(
-        *keys, "_burst", folded.alias("_end"), F.get(rows, 0)["_t"].alias("_t"), F.get(rows, 0)["_k"].alias("_k"))
+    types = {f.name: f.dataType for f in bursts.schema.fields}
+    schema = T.StructType([*[T.StructField(k, types[k]) for k in keys], T.StructField("_burst", T.LongType()),
+                           *[T.StructField(c, T.LongType()) for c in ("_t", "_k", "_end_t", "_end_k")],
+                           T.StructField("_peak", T.DoubleType())])
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    followed = bursts.select(*keys, "_burst", *order, F.col("ticks").cast("long").alias("ticks")).repartition(
+        tasks, *keys, "_burst").sortWithinPartitions(*keys, "_burst", *order).mapInPandas(
+        lambda batches: _burst_ends(batches, keys, least_us), schema)
     # Between bursts: from the mark the earlier one ended on to the first reading of the next.
-    linked = along(runs, keys, ["_burst"], _before=prev(F.col("_end")))
-    across = (F.col("_k") - F.col("_before.k")) * 1e6 / (F.col("_t") - F.col("_before.t"))
-    return linked.groupBy(*keys).agg(F.max(F.greatest(F.col("_end.peak"), F.coalesce(across, F.lit(0.0)))).alias("peak_rate"))
+    linked = along(checkpointed(followed), keys, ["_burst"], _before=prev(F.struct("_end_t", "_end_k")))
+    across = (F.col("_k") - F.col("_before._end_k")) * 1e6 / (F.col("_t") - F.col("_before._end_t"))
+    return linked.groupBy(*keys).agg(
+        F.max(F.greatest(F.col("_peak"), F.coalesce(across, F.lit(0.0)))).alias("peak_rate"))
 
 
 def _merged(instants: DataFrame, samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -27,9 +27,11 @@ def _one_row(spec: DataFrame, *columns: str) -> DataFrame:
 def _sent(requests: DataFrame, spec: DataFrame) -> DataFrame:
     """Per request, the values of the arguments the spec knows; every request keeps its row."""
     known = requests.join(spec.select("arg", F.lit(True).alias("_known")), "arg", "left")
-    present = F.col("_known") & F.col("value").isNotNull()
-    return known.groupBy("row_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(
-        F.when(present, F.struct("arg", "value"))))).alias("_sent"))
+    # One value per argument first, so that no more than the spec's arguments are collected.
+    present = F.when(F.col("_known"), F.col("value"))
+    single = known.groupBy("row_id", F.when(present.isNotNull(), F.col("arg")).alias("arg")).agg(F.max(present).alias("value"))
+    return single.groupBy("row_id").agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("arg").isNotNull(), F.struct("arg", "value")))).alias("_sent"))
 
 
 def _per_argument(requests: DataFrame, spec: DataFrame, *columns: str) -> DataFrame:

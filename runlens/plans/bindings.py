@@ -22,8 +22,24 @@ EVENT_ORDER = ["at_us", "event_id"]
 PEAK_ORDER = ["ship_us", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "ram"]
 
 
+SPLIT_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table stored in fewer splits than there are cores, dealt out over them.
+
+    One row group is one task, whatever work follows. A table of many splits, which is
+    any table of size, is left as it is; so is one not worth the shuffle.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, size // SPLIT_BYTES)
+    if wanted < 4 or df.rdd.getNumPartitions() * 2 > wanted:
+        return df
+    return df.repartition(wanted)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def micros(column: str) -> Column:

@@ -174,7 +174,8 @@ s AS (SELECT *, sum(delta) OVER (ORDER BY t, delta, run_id, l_linenumber, l_part
 n AS (SELECT *, lead(t) OVER (ORDER BY t, run_id, l_linenumber, l_partkey, l_suppkey, l_quantity) AS nxt FROM s WHERE delta = 1)
 SELECT run_id, l_linenumber, l_partkey, l_suppkey, coalesce(live, 0) = depth AND (nxt IS NULL OR nxt >= fin) AS solo FROM n""")
 def solo_runs(spark, sf):
-    held = spans(spark, sf).withColumn("end_us", F.coalesce("end_us", F.col("start_us") + 30_000_000))
+    held = spans(spark, sf).select(*SPAN_ORDER, "start_us", "depth",
+                                   F.coalesce("end_us", F.col("start_us") + 30_000_000).alias("end_us"))
     return ops.solo_runs(held, SPAN_ORDER).select("run_id", "l_linenumber", "l_partkey", "l_suppkey", "solo")
 
 

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Rows one task may be asked to sort for a single key before the key is split.
-HOT_ROWS = 2_000_000
+HOT_ROWS = 1_000_000
 HOT_ROWS_CONF = "runlens.hotRows"
 
 
