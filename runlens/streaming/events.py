@@ -55,14 +55,6 @@ def stream_listing(stream: DataFrame, order: list[str]) -> DataFrame:
         F.col("_l.fraction").alias("fraction"), F.col("_l.depth").alias("depth"), "started_us", F.col("_l.at_us").alias("updated_us"))
 
 
-def stream_sessions(stream: DataFrame, time_column: str = "at", ttl: str = "900 seconds", paused: str = "14400 seconds") -> DataFrame:
-    """Periods of activity per run; the gap that ends one depends on the event before it."""
-    gap = F.when(F.col("phase") == "paused", paused).otherwise(ttl)
-    return stream.withWatermark(time_column, "0 seconds").groupBy("run_id", F.session_window(time_column, gap).alias("w")).agg(
-        F.count(F.lit(1)).alias("events")).select(
-        "run_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("expires_us"), "events")
-
-
 class _JsonState(StatefulProcessor):
     """A processor whose state per key is one small JSON document."""
 
