@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import events as fx
 from runlens.functions.text import scrub_text
-from runlens.operators.ordered import along, following, join_on, prev, rank, running_max, top_per_group
+from runlens.operators.ordered import along, fits, following, join_on, prev, rank, running_last, top_per_group
 
 MAX_SPANS = 60
 MAX_NESTED = 200
@@ -67,9 +67,10 @@ def _progress(events: DataFrame) -> DataFrame:
 def phase_spans(events: DataFrame, order: Sequence[str], max_spans: int = MAX_SPANS) -> DataFrame:
     """The root's phases as spans: equal neighbours collapse, a terminal phase only closes."""
     root = _progress(events).filter((F.col("depth") == 0) & F.col("tool").isNull())
-    changes = along(root, ["run_id"], order, _before=prev(F.col("phase"))).filter(
+    fitting = fits(root, ["run_id"])
+    changes = along(root, ["run_id"], order, fitting, _before=prev(F.col("phase"))).filter(
         F.col("_before").isNull() | (F.col("_before") != F.col("phase")))
-    closed = along(changes, ["run_id"], order, end_us=following(F.col("at_us")))
+    closed = along(changes, ["run_id"], order, fitting, end_us=following(F.col("at_us")))
     spans = closed.filter(~fx.is_terminal(F.col("phase")))
     return top_per_group(spans, ["run_id"], [F.col(c) for c in order], max_spans, "number").select(
         "run_id", "number", "phase", F.col("at_us").alias("start_us"), "end_us")
@@ -223,12 +224,12 @@ def idle_expiry(events: DataFrame, order: Sequence[str], now_us: int, ttl_s: int
     """Periods of activity of each run, ended by silence: 900 s, or 14 400 s while paused."""
     allowed = F.when(F.col("phase") == "paused", paused_ttl_s).otherwise(ttl_s).cast("long") * 1_000_000
     deadline = F.col("at_us") + allowed
-    marked = along(events, ["run_id"], order, _due=prev(deadline))
-    starts = marked.filter(F.col("_due").isNull() | (F.col("at_us") >= F.col("_due")))
-    # A period ends with the last event before the next one's start.
-    first = starts.select("run_id", *order, F.struct(*order).alias("_start"))
-    tagged = join_on(events, first.select("run_id", *order, "_start"), ["run_id", *order], "left")
-    periods = along(tagged, ["run_id"], order, _number=running_max(F.col("_start")))
+    fitting = fits(events, ["run_id"])
+    marked = along(events, ["run_id"], order, fitting, _due=prev(deadline))
+    # A period is named by its first event, the latest start so far.
+    fresh = F.col("_due").isNull() | (F.col("at_us") >= F.col("_due"))
+    periods = along(marked.withColumn("_start", F.when(fresh, F.struct(*order))), ["run_id"], order, fitting,
+                    _number=running_last(F.col("_start")))
     return periods.groupBy("run_id", "_number").agg(
         F.min("at_us").alias("start_us"), F.max_by(deadline, F.struct(*order)).alias("expires_us"),
         F.count(F.lit(1)).alias("events")).select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import events as fx
 from runlens.functions.numbers import count_if, rounded, seconds_of
-from runlens.operators.ordered import along, following, join_on, prev, rank, running_sum
+from runlens.operators.ordered import along, join_on, prev, rank, running_sum, upcoming_first
 
 SECOND = 1_000_000
 QUEUED_US = 50_000
@@ -234,9 +234,10 @@ def solo_runs(intervals: DataFrame, order: Sequence[str]) -> DataFrame:
     starts = intervals.select("*", F.col("start_us").alias("_t"), F.lit(1).alias("_delta"))
     ends = intervals.filter(F.col("end_us").isNotNull()).select(
         "*", F.col("end_us").alias("_t"), F.lit(-1).alias("_delta"))
-    swept = along(starts.unionByName(ends), [], ["_t", "_delta", *order],
-                  _live=running_sum(F.col("_delta"), inclusive=False)).filter(F.col("_delta") == 1)
-    ahead = along(swept, [], ["_t", *order], _next=following(F.col("_t")))
+    started = F.when(F.col("_delta") == 1, F.col("_t"))
+    ahead = along(starts.unionByName(ends), [], ["_t", "_delta", *order],
+                  _live=running_sum(F.col("_delta"), inclusive=False),
+                  _next=upcoming_first(started, inclusive=False)).filter(F.col("_delta") == 1)
     return ahead.withColumn(
         "solo", (F.coalesce("_live", F.lit(0)) == F.col("depth"))
         & (F.col("_next").isNull() | F.coalesce(F.col("_next") >= F.col("end_us"), F.lit(False)))).drop(

@@ -145,6 +145,12 @@ def _unbox(step: Step, column: Column) -> Column:
     return column["v"] if step.kind in ("prev", "following") else column
 
 
+def _hot(df: DataFrame, keys: Sequence[str], share: int = 1) -> bool:
+    """Whether any group has more rows than a `share` of what one task may be given."""
+    limit = hot_rows(df.sparkSession) // share
+    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).isEmpty()
+
+
 def split_points(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
     """Per oversized key, the sorted positions at which to cut it; None if there is none.
 
@@ -184,13 +190,21 @@ def slice_groups(df: DataFrame, points: DataFrame, keys: Sequence[str], order: S
     return join_on(df, points, keys, "left").withColumn("_slice", number.cast("int")).drop("_points")
 
 
-def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Step) -> DataFrame:
-    """Add one column per step, computed in `order` (ascending, unique) within `keys`."""
+def fits(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether every group is small enough for one task: worth asking once before several passes."""
+    return not _hot(df, keys)
+
+
+def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], fitting: bool = False, **steps: Step) -> DataFrame:
+    """Add one column per step, computed in `order` (ascending, unique) within `keys`.
+
+    The size of the groups is looked at first, unless the caller knows them to be `fitting`.
+    """
     keys, order = list(keys), list(order)
     whole = not keys
     if whole:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    points = split_points(df, keys, order)
+    points = None if fitting else split_points(df, keys, order)
     if points is None:
         out = df.select("*", *[_unbox(s, _local(s, keys, order)).alias(n) for n, s in steps.items()])
         return out.drop("_all") if whole else out
@@ -229,12 +243,6 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn(position, F.row_number().over(window)).filter(F.col(position) <= k)
 
 
-def _hot(df: DataFrame, keys: Sequence[str], share: int = 1) -> bool:
-    """Whether any group has more rows than a `share` of what one task may be given."""
-    limit = hot_rows(df.sparkSession) // share
-    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).isEmpty()
-
-
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, **ranks) -> DataFrame:
     """Exact order statistics of `value` per group: n, min, max and one column per rank.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.functions.numbers import rounded
-from runlens.operators.ordered import (along, join_on, prev, rank, running_last, running_max, running_sum,
+from runlens.operators.ordered import (along, fits, join_on, prev, rank, running_last, running_max, running_sum,
                                        upcoming_first, with_totals)
 from runlens.session import checkpointed
 
@@ -41,8 +41,10 @@ def concurrency_curve(spans: DataFrame) -> DataFrame:
 
 def inflight_peak(requests: DataFrame) -> DataFrame:
     """How many requests are open at the end and the most there ever were; a finish never goes below 0."""
-    summed = along(_steps(requests, "start_us", "end_us"), [], ["at_us", "kind"], _sum=running_sum(F.col("_delta")))
-    floored = along(summed, [], ["at_us", "kind"], _low=running_max(-F.col("_sum")))
+    steps = _steps(requests, "start_us", "end_us")
+    fitting = fits(steps, [])
+    summed = along(steps, [], ["at_us", "kind"], fitting, _sum=running_sum(F.col("_delta")))
+    floored = along(summed, [], ["at_us", "kind"], fitting, _low=running_max(-F.col("_sum")))
     now = F.col("_sum") + F.greatest(F.col("_low"), F.lit(0))
     return floored.agg(F.max_by(now, F.struct("at_us", "kind")).alias("now"), F.max(now).alias("peak"))
 
@@ -101,9 +103,10 @@ def peak_rate(samples: DataFrame, keys: Sequence[str], order: Sequence[str], lea
     followed on their own, in any task.
     """
     keys = list(keys)
-    marked = along(samples, keys, order, _at=prev(F.col("at_us")))
+    fitting = fits(samples, keys)
+    marked = along(samples, keys, order, fitting, _at=prev(F.col("at_us")))
     fresh = F.col("_at").isNull() | (F.col("at_us") - F.col("_at") >= least_us)
-    bursts = along(marked.withColumn("_fresh", F.when(fresh, 1).otherwise(0)), keys, order,
+    bursts = along(marked.withColumn("_fresh", F.when(fresh, 1).otherwise(0)), keys, order, fitting,
                    _burst=running_sum(F.col("_fresh")))
     types = {f.name: f.dataType for f in bursts.schema.fields}
     schema = T.StructType([*[T.StructField(k, types[k]) for k in keys], T.StructField("_burst", T.LongType()),
@@ -114,7 +117,7 @@ def peak_rate(samples: DataFrame, keys: Sequence[str], order: Sequence[str], lea
         tasks, *keys, "_burst").sortWithinPartitions(*keys, "_burst", *order).mapInPandas(
         lambda batches: _burst_ends(batches, keys, least_us), schema)
     # Between bursts: from the mark the earlier one ended on to the first reading of the next.
-    linked = along(checkpointed(followed), keys, ["_burst"], _before=prev(F.struct("_end_t", "_end_k")))
+    linked = along(checkpointed(followed), keys, ["_burst"], fitting, _before=prev(F.struct("_end_t", "_end_k")))
     across = (F.col("_k") - F.col("_before._end_k")) * 1e6 / (F.col("_t") - F.col("_before._end_t"))
     return linked.groupBy(*keys).agg(
         F.max(F.greatest(F.col("_peak"), F.coalesce(across, F.lit(0.0)))).alias("peak_rate"))

@@ -9,6 +9,7 @@ from runlens.functions import text as tx
 from runlens.operators import events as ops
 from runlens.plans.bindings import EVENT_ORDER, EVENTS_NOW_US, define, events, runs, table
 from runlens.plans.registry import query
+from runlens.sources.tables import spread
 
 STATE = ("CASE WHEN {p} IN ('received', 'staging', 'queued_gpu') THEN 'pending' "
          "WHEN {p} IN ('running', 'packaging') THEN 'running' ELSE {p} END")
@@ -281,7 +282,7 @@ def parse_batch(spark, sf):
 def scrub_text(spark, sf):
     documents = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     pages = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    return documents.union(pages).select("kind", "id", tx.scrub_text(F.col("text")).alias("scrubbed"))
+    return spread(documents).union(spread(pages)).select("kind", "id", tx.scrub_text(F.col("text")).alias("scrubbed"))
 
 
 @query("canonical_name", "SELECT p_partkey, regexp_replace(lower(p_name), '[^\\pL\\pN]', '', 'g') AS name FROM part")

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Rows one task may be asked to sort for a single key before the key is split.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 2_000_000
 HOT_ROWS_CONF = "runlens.hotRows"
 
 
@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", app: str = "runlens") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("RUNLENS_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else str(cpus))

@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from runlens.functions.args import stripped
 
 
+SPLIT_BYTES = 1 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A small table dealt out over the cores, for work that costs far more than a shuffle.
+
+    One row group is one task, however long its texts take. A table of as many splits as
+    there are cores, which is any table of size, is left as it is.
+    """
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = min(rows.sparkSession.sparkContext.defaultParallelism, size // SPLIT_BYTES)
+    return rows if wanted < 4 or rows.rdd.getNumPartitions() >= wanted else rows.repartition(wanted)
+
+
 def _blanks_dropped(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     filled = [F.coalesce(stripped(F.col(f"`{c}`")), F.lit("")) != "" for c in columns]
     anything = filled[0]
