@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from runlens.functions.numbers import count_if
 from runlens.functions.text import base_name, compound_extension
 from runlens.operators.ordered import along, join_on, rank, top_per_group
+from runlens.session import checkpointed
 
 # What ends a line, and keys that say nothing about a result.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -54,24 +55,27 @@ def parity_summary(compared: DataFrame) -> DataFrame:
 def pair_renamed(left: DataFrame, right: DataFrame, substitutions: Sequence[tuple[str, str]]) -> DataFrame:
     """Second pass over unmatched names: a left name rewritten by the substitutions, in order, is
     looked up on the right. Each row says whether the contents agree; `content_ok` sums it up."""
-    alone = left.join(right.select("name"), "name", "left_anti").select("name", "sha256")
-    there = right.join(left.select("name"), "name", "left_anti").select(
-        F.col("name").alias("candidate"), F.col("sha256").alias("_r"))
+    # Hashes only, met once and kept: every later step works on what one full join found.
+    both = checkpointed(left.select("name", F.col("sha256").alias("_l"), F.lit(True).alias("_in_l")).join(
+        right.select("name", F.col("sha256").alias("_r"), F.lit(True).alias("_in_r")), "name", "full"))
     rewritten = F.col("name")
     for old, new in substitutions:
         rewritten = F.replace(rewritten, F.lit(old), F.lit(new))
-    wanted = alone.withColumn("candidate", rewritten)
+    alone = both.filter(F.col("_in_r").isNull()).select("name", "_l", rewritten.alias("candidate"))
+    there = both.filter(F.col("_in_l").isNull()).select(F.col("name").alias("candidate"), F.col("_r").alias("_there"),
+                                                        F.lit(True).alias("_found"))
     # Of several left names leading to one candidate the first by name takes it.
-    taken = wanted.filter(F.col("candidate") != F.col("name")).join(there, "candidate").groupBy("candidate").agg(
-        F.min(F.struct("name", "sha256", "_r")).alias("_t")).select(
-        F.col("_t.name").alias("left_name"), F.col("candidate").alias("right_name"),
-        F.when(F.col("_t.sha256").eqNullSafe(F.col("_t._r")), "identical").otherwise("differing").alias("status"))
-    rest_left = alone.join(taken.select(F.col("left_name").alias("name")), "name", "left_anti").select(
-        F.col("name").alias("left_name"), F.lit(None).cast("string").alias("right_name"), F.lit("unpaired_left").alias("status"))
-    rest_right = there.join(taken.select(F.col("right_name").alias("candidate")), "candidate", "left_anti").select(
+    takers = alone.filter(F.col("candidate") != F.col("name")).groupBy("candidate").agg(F.min("name").alias("_taker"))
+    meant = alone.join(takers, "candidate", "left").join(there, "candidate", "left")
+    paired = F.col("_found") & (F.col("name") == F.col("_taker"))
+    lefts = meant.select(
+        F.col("name").alias("left_name"), F.when(paired, F.col("candidate")).alias("right_name"),
+        F.when(~F.coalesce(paired, F.lit(False)), "unpaired_left").when(F.col("_l").eqNullSafe(F.col("_there")), "identical")
+        .otherwise("differing").alias("status"))
+    rights = there.join(takers, "candidate", "left_anti").select(
         F.lit(None).cast("string").alias("left_name"), F.col("candidate").alias("right_name"), F.lit("unpaired_right").alias("status"))
-    rows = taken.unionByName(rest_left).unionByName(rest_right)
-    strict = compare_artifacts(left, right).agg(count_if(F.col("status") == "differing").alias("_strict"))
+    rows = lefts.unionByName(rights)
+    strict = both.agg(count_if(F.col("_in_l") & F.col("_in_r") & ~F.col("_l").eqNullSafe(F.col("_r"))).alias("_strict"))
     judged = rows.agg(count_if(F.col("status") != "identical").alias("_bad")).join(F.broadcast(strict)).select(
         (F.col("_bad") + F.col("_strict") == 0).alias("content_ok"))
     return rows.join(F.broadcast(judged))
@@ -216,7 +220,8 @@ def exact_dedup(files: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
     `files` has (path, size, sha256). Only the hash travels, so a group of copies is reduced
     to its keeper before the keepers are joined back.
     """
-    big = files.filter(F.col("size") >= min_bytes).select("path", "size", "sha256")
+    # Kept, so that contents are read and hashed once: a row is a path and a hash from here on.
+    big = checkpointed(files.filter(F.col("size") >= min_bytes).select("path", "size", "sha256"))
     keepers = big.groupBy("size", "sha256").agg(F.min("path").alias("keeper"), F.count(F.lit(1)).alias("_n")).filter(
         F.col("_n") > 1).drop("_n")
     return join_on(big, keepers, ["size", "sha256"]).filter(F.col("path") != F.col("keeper")).select(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from runlens.functions import events as fx
 from runlens.functions.numbers import count_if, rounded, seconds_of
 from runlens.operators.ordered import along, join_on, prev, rank, running_sum, upcoming_first
+from runlens.session import checkpointed
 
 SECOND = 1_000_000
 QUEUED_US = 50_000
@@ -176,10 +177,10 @@ def client_activity(live: DataFrame, ledger: DataFrame, rules: DataFrame, now_us
         F.coalesce("updated_us", F.lit(now_us)).alias("_seen"), no.alias("_today"), no.alias("_done"), no.alias("_failed"),
         F.when(waiting, 0).otherwise(1).alias("_running"), F.when(waiting, 1).otherwise(0).alias("_waiting"),
         F.lit(now_us).cast("long").alias("_last"), "start_us")
-    cohorts = past.unionByName(now).groupBy("client", "batch_id").agg(
+    cohorts = checkpointed(past.unionByName(now).groupBy("client", "batch_id").agg(
         F.max_by("tool", "_place").alias("tool"), F.max_by("batch_total", "_place").alias("total"),
         *[F.sum(f"_{n}").alias(n) for n in ("done", "failed", "running", "waiting", "today")],
-        F.max("_seen").alias("_seen"), F.max("_last").alias("last_us"), F.min("start_us").alias("started_us"))
+        F.max("_seen").alias("_seen"), F.max("_last").alias("last_us"), F.min("start_us").alias("started_us")))
     named = rules.select("client").distinct().withColumn("custom", F.lit(True))
     clients = cohorts.groupBy("client").agg(
         F.max("_seen").alias("last_seen_us"), F.sum("running").alias("client_running"),
