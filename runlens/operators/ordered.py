@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from runlens.session import checkpointed, hot_rows
 
-MAX_SLICES = 4096
+MAX_SLICES = 4096  # a power of two
 SAMPLES_PER_SLICE = 16
-CHUNK = 64
 
 
 @dataclass(frozen=True)
@@ -178,15 +177,12 @@ def split_points(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 def slice_groups(df: DataFrame, points: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Tag every row of an oversized key with its slice; other rows get -1."""
-    here = F.struct(*order)
-    points_col = F.col("_points")
-    chunks = F.ceil(F.size(points_col) / CHUNK).cast("int")
-    # Two short scans instead of one long one: first the chunk, then inside it.
-    chunk = F.size(F.filter(F.sequence(F.lit(0), chunks - 1),
-                            lambda i: F.get(points_col, i * CHUNK) <= here))
-    base = F.greatest(chunk - 1, F.lit(0)) * CHUNK
-    inside = F.size(F.filter(F.slice(points_col, base + 1, CHUNK), lambda p: p <= here))
-    number = F.when(points_col.isNull(), F.lit(-1)).otherwise(base + inside)
+    here, points_col = F.struct(*order), F.col("_points")
+    # Binary search: the largest count of points not after this row, one bit at a time.
+    bits = F.array(*[F.lit(MAX_SLICES >> (k + 1)) for k in range(MAX_SLICES.bit_length() - 1)])
+    found = F.aggregate(bits, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(points_col)) & (F.get(points_col, at + step - 1) <= here), at + step).otherwise(at))
+    number = F.when(points_col.isNull(), F.lit(-1)).otherwise(found)
     return join_on(df, points, keys, "left").withColumn("_slice", number.cast("int")).drop("_points")
 
 
