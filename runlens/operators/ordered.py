@@ -273,7 +273,14 @@ def wide_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column])
     keys, names = list(keys), list(values)
     narrow = df.select(*keys, *[c.cast("double").alias(n) for n, c in values.items()])
     if not _hot(narrow, keys, 4 * len(names)):
-        return narrow.groupBy(*keys).agg(*[F.percentile(n, 0.5).alias(n) for n in names])
+        sorted_groups = narrow.groupBy(*keys).agg(*[F.sort_array(F.collect_list(n)).alias(n) for n in names])
+
+        def middle(values: Column) -> Column:
+            n = F.size(values)
+            low, high = F.get(values, ((n - 1) / 2).cast("int")), F.get(values, (n / 2).cast("int"))
+            return F.when(n > 0, (low + high) / 2)
+
+        return sorted_groups.select(*keys, *[middle(F.col(n)).alias(n) for n in names])
     rows = narrow.unpivot(keys, names, "_name", "_value")
     return medians_of(rows, [*keys, "_name"], "_value").groupBy(*keys).pivot("_name", names).agg(F.first("median"))
 
