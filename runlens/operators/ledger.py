@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions import events as fx
 from runlens.functions.numbers import count_if, rounded, seconds_of
 from runlens.operators.ordered import along, join_on, prev, rank, running_sum, upcoming_first
 from runlens.session import checkpointed
