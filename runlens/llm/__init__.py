@@ -1,0 +1 @@
+"""Operators for preparing large text corpora, and their registered queries."""
