@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from runlens.llm.common import KEY, ascii_lower, keyed, only, text_of, with_key, written
 from runlens.session import scratch
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# The state in RocksDB, its files no larger than what they hold: many small stores share a disk.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 class DedupIndex:
@@ -36,17 +40,16 @@ class DedupIndex:
             spark.readStream.schema("digest binary, doc_id bigint, locator bigint").parquet(inbox)
             .groupBy("digest").agg(F.count(F.lit(1)).alias("n"), keeper.alias("keeper"))
         )
-        provider = spark.conf.get(PROVIDER, None)
-        spark.conf.set(PROVIDER, ROCKSDB)
+        before = {name: spark.conf.get(name, None) for name in STATE}
+        for name, value in STATE.items():
+            spark.conf.set(name, value)
         try:
             stream = (records.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
                       .option("checkpointLocation", f"{self.folder}/state").start())
             stream.awaitTermination()
         finally:
-            if provider is None:
-                spark.conf.unset(PROVIDER)
-            else:
-                spark.conf.set(PROVIDER, provider)
+            for name, value in before.items():
+                spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
     def records(self) -> DataFrame:
         """One row per digest: digest, n, keeper (doc_id, locator)."""
@@ -80,10 +83,11 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256,
     index.ingest(seen.select("digest", "doc_id", F.col(KEY).alias("locator")))
     records = written(index.records(), "records")
 
-    # Hits: rows whose digest another row has too. Their texts are compared in full, as the least
-    # and the greatest of a group: each task sends one pair per digest, so no group is gathered.
-    hits = written(seen.join(records.where("n > 1").select("digest"), "digest", "left_semi").select(KEY, "digest"), "hits")
-    contents = rows.join(hits, KEY)
+    # Hits: rows whose digest another row has too. Their texts are fetched once and compared in
+    # full, as the least and the greatest of a group: each task sends one pair per digest, so no
+    # group is gathered. The fetch is a shuffle join at any size, for hits grow with the input.
+    hits = seen.join(records.where("n > 1").select("digest"), "digest", "left_semi").select(KEY, "doc_id", "digest")
+    contents = written(rows.select(KEY, "text").join(hits.hint("merge"), KEY), "hits")
     differing = written(
         contents.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
         .where("least != greatest").select("digest"), "collisions")
