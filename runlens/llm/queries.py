@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm.common import documents
+from runlens.llm.common import documents, labels
 from runlens.llm.exact_dedup import exact_dedup
+from runlens.llm.mixing import mix
+from runlens.llm.rules import judge
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -21,5 +23,17 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
 FROM t
 """
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(documents(spark, folder), labels(spark, folder))
+
+
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    "op4_exact_dedup": op4_exact_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_mixing": op10_mixing,
+}
 ORACLES = {"op4_exact_dedup": OP4_SQL}

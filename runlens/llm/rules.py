@@ -38,11 +38,16 @@ class Risk:
     bands: tuple[int, ...] = (100, 300, 1000)
 
 
+def named(value: Column, use) -> Column:
+    """`use(value)` with `value` computed once per row, also where the optimizer merges projections."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def repeated_words(words: Column, hashes: Column) -> Column:
+def repeated_words(words: Column) -> Column:
     """How many words lie in windows of eight words that occur twice or more."""
 
     def covered(ordered: Column) -> Column:
@@ -54,29 +59,31 @@ def repeated_words(words: Column, hashes: Column) -> Column:
             lambda acc, i: F.struct((acc["sum"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("sum"), i.alias("last")),
             lambda acc: acc["sum"])
 
-    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # An array of one, so that the sorted windows are computed once and named.
-    counted = F.get(F.transform(F.array(ordered), covered), F.lit(0))
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), counted).otherwise(F.lit(0).cast("bigint"))
+    def counted(hashes: Column) -> Column:
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), named(ordered, covered)).otherwise(F.lit(0).cast("bigint"))
+
+    def windows(words: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+
+    count = lambda words: F.when(F.size(words) > WINDOW, named(windows(words), counted)).otherwise(F.lit(0).cast("bigint"))
+    return named(words, count)
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """`docs` with the base columns and the rules' metrics, all from the whole text."""
     out = docs.withColumn("__text", text_of()).withColumn("__words", words_of(F.col("__text")))
     out = out.withColumn("n_words", F.size("__words").cast("bigint"))
-    window = lambda i: F.xxhash64(F.slice(F.col("__words"), i, WINDOW))
-    hashes = F.when(F.col("n_words") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("__words") - (WINDOW - 1)), window))
-    out = out.withColumn("__windows", F.coalesce(hashes, F.array().cast("array<bigint>")))
     out = out.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda line: line.rlike(WORD)))
     out = (
         out.withColumn("word_chars", F.length(F.translate("__text", SPACES, "")).cast("bigint"))
         .withColumn("n_symbols", (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("bigint"))
         .withColumn("__upper", F.length("__text") - F.length(F.translate("__text", UPPER, "")))
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"))
-        .withColumn("n_repeat_words", repeated_words(F.col("__words"), F.col("__windows")))
+        .withColumn("n_repeat_words", repeated_words(F.col("__words")))
         .withColumn("__distinct", F.size(F.array_distinct("__words")))
         .withColumn("__n_lines", F.size("__lines"))
-        .drop("__text", "__words", "__windows", "__lines")
+        .drop("__text", "__words", "__lines")
     )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     metrics = F.struct(
@@ -165,7 +172,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """The rows of `docs` that `judge` keeps, all columns as they were."""
-    good = labelled(measured(docs.select("doc_id", "text")).drop("text"), labels)
+    good = written(labelled(measured(docs.select("doc_id", "text")).drop("text"), labels), "labelled")
     cutoffs = certify(good, risk).collect()
     names = [F.col(c).alias(f"__doc_{i}") for i, c in enumerate(docs.columns)]
     kept = measured(docs.select(*names, F.col("text"))).where(verdict(cutoffs, risk))
