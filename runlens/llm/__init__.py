@@ -1 +1,10 @@
-"""Operators for preparing large text corpora, and their registered queries."""
+"""Operators for preparing large text corpora, and their registered queries.
+
+Functions that run in Python workers travel by value, so that executors need not have this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from runlens.llm.common import documents, labels
 from runlens.llm.exact_dedup import exact_dedup
 from runlens.llm.mixing import mix
+from runlens.llm.packing import pack
 from runlens.llm.rules import judge
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -23,6 +24,10 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
 FROM t
 """
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(documents(spark, folder))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(documents(spark, folder), labels(spark, folder))
 
@@ -33,6 +38,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op10_mixing": op10_mixing,
 }
