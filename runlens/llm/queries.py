@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from runlens.llm.common import documents, labels
 from runlens.llm.exact_dedup import exact_dedup
+from runlens.llm.language import predict_languages
 from runlens.llm.mixing import mix
 from runlens.llm.packing import pack
+from runlens.llm.quality import score_quality
 from runlens.llm.rules import judge
+from runlens.llm.toxicity import score_toxicity
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return predict_languages(documents(spark, folder))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(documents(spark, folder)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -24,6 +31,14 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
 FROM t
 """
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(documents(spark, folder), labels(spark, folder))
+
+
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(documents(spark, folder), labels(spark, folder))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder))
 
@@ -37,7 +52,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op10_mixing": op10_mixing,
