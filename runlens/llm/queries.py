@@ -9,6 +9,7 @@ from runlens.llm.exact_dedup import exact_dedup
 from runlens.llm.language import predict_languages
 from runlens.llm.mixing import mix
 from runlens.llm.packing import pack
+from runlens.llm.pii import pseudonymise
 from runlens.llm.quality import score_quality
 from runlens.llm.rules import judge
 from runlens.llm.toxicity import score_toxicity
@@ -47,6 +48,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(documents(spark, folder), labels(spark, folder))
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonymise(documents(spark, folder))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {"op4_exact_dedup": OP4_SQL}
