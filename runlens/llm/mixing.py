@@ -20,7 +20,7 @@ WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 PACKET_WORDS = 256
 # Rows of one source that one task sorts; sources with more are cut by ranges of the shuffle key.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4_000
 SHUFFLE_BITS = 60
 
 

@@ -25,7 +25,7 @@ END_ID = 1
 WINDOW = 2048
 # Chunks of text with their ids that a worker remembers; when full, the memory starts anew.
 REMEMBERED = 400_000
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from runlens.llm.common import documents, labels
 from runlens.llm.exact_dedup import exact_dedup
+from runlens.llm.jaccard import near_copies
 from runlens.llm.language import predict_languages
 from runlens.llm.mixing import mix
 from runlens.llm.packing import pack
@@ -21,6 +23,10 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict_languages(documents(spark, folder))
 
 
+def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(documents(spark, folder)).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(documents(spark, folder)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -56,8 +62,13 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_quality_classifier": op6_quality_classifier,
@@ -65,5 +76,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
 ORACLES = {"op4_exact_dedup": OP4_SQL}
