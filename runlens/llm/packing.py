@@ -24,7 +24,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
 WINDOW = 2048
 # Chunks of text with their ids that a worker remembers; when full, the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 ROWS_PER_BUCKET = 4_000
 
 
@@ -35,46 +35,53 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers, with a memory of chunks.
+    """Ids of texts as little-endian 32-bit integers, with a memory of chunks and of words.
 
-    The tokenizer never joins what a blank followed by a visible character separates, so a text is
-    encoded chunk by chunk, each but the first with its leading blank, and chunks that come again
-    are not encoded again. The memory only saves time.
+    The tokenizer's pattern never joins what a blank followed by a visible character separates, so a
+    text is encoded chunk by chunk, each but the first with its leading blank. A chunk not met before
+    is split by the pattern into words, and only words not met before are encoded. The memory only
+    saves time.
     """
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = re.compile(r" (?=\S)")
-        self.odd = re.compile(r" \s| $")
+        self.words_of = regex.compile(public_tokenizers.PATTERN).findall
+        self.cut = regex.compile(r" (?=\S)")
+        self.odd = regex.compile(r" \s| $")
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def chunks(self, text: str) -> list[str]:
-        parts = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-        return parts[:1] + [" " + part for part in parts[1:]]
-
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, parts: set[str]) -> None:
+        """Ids of chunks, given without their leading blank, and of the words in them."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        new = [chunk for chunk in chunks if chunk not in self.known]
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        split = {part: self.words_of(" " + part) for part in parts if part not in self.known}
+        new = list({word for words in split.values() for word in words if word not in self.words})
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            for chunk, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[chunk] = np.array(coded.ids, dtype="<u4").tobytes()
+            for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.words[word] = np.array(coded.ids, dtype="<u4").tobytes()
+        for part, words in split.items():
+            self.known[part] = b"".join([self.words[word] for word in words])
 
     def encode(self, text: str) -> bytes:
-        chunks = self.chunks(text)
+        first, *parts = self.cut.split(text) if self.odd.search(text) else text.split(" ")
+        begin = np.array(self.tokenizer.encode(first, add_special_tokens=False).ids, dtype="<u4").tobytes()
         try:
-            return b"".join([self.known[chunk] for chunk in chunks])
+            return begin + b"".join([self.known[part] for part in parts])
         except KeyError:
-            self.learn(set(chunks))
-            return b"".join([self.known[chunk] for chunk in chunks])
+            self.learn(set(parts))
+            return begin + b"".join([self.known[part] for part in parts])
 
 
 def pieces_of(coded: bytes, window: int) -> Iterator[tuple[int, int, int]]:
