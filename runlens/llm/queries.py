@@ -14,6 +14,7 @@ from runlens.llm.packing import pack
 from runlens.llm.pii import pseudonymise
 from runlens.llm.quality import score_quality
 from runlens.llm.rules import judge
+from runlens.llm.suffix_dedup import suffix_dedup
 from runlens.llm.toxicity import score_toxicity
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -23,6 +24,10 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict_languages(documents(spark, folder))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup(documents(spark, folder)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(documents(spark, folder)).select("doc_id", "n_shingles", "component_id")
 
@@ -68,6 +73,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
