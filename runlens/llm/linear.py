@@ -35,10 +35,10 @@ class Sample:
 
 def log_count_ratios(sample: Sample, bits: int, alpha: float = 1.0) -> np.ndarray:
     """log of how much more often a feature is in positive than in negative rows, smoothed by alpha; 0 if in none."""
-    size = 1 << bits
-    counts = [np.bincount(np.concatenate([r for r, y in zip(sample.rows, sample.labels) if y == label] or [np.zeros(0, np.int64)]),
-                          minlength=size).astype(float) for label in (0, 1)]
-    shares = [(c + alpha) / (c.sum() + alpha * size) for c in counts]
+    counts = np.zeros((2, 1 << bits))
+    for row, label in zip(sample.rows, sample.labels):
+        counts[label, row] += 1.0
+    shares = [(c + alpha) / (c.sum() + alpha * len(c)) for c in counts]
     ratios = np.log(shares[1] / shares[0])
     ratios[counts[0] + counts[1] == 0] = 0.0
     return ratios
@@ -67,7 +67,7 @@ def gather(docs: DataFrame, chosen: DataFrame, features: Features, bits: int) ->
 
     joined = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
     found = joined.select("__label", "text").mapInPandas(work, "label int, ids binary").toPandas()
-    rows = [np.frombuffer(b, dtype=np.int32).astype(np.int64) for b in found["ids"]]
+    rows = [np.frombuffer(b, dtype=np.int32) for b in found["ids"]]
     order = sorted(range(len(rows)), key=lambda i: (found["label"][i], found["ids"][i]))
     return Sample([rows[i] for i in order], found["label"].to_numpy()[order].astype(np.int64))
 
@@ -82,6 +82,14 @@ class Model:
     shift: float = 0.0
 
 
+def texts_with(sample: Sample, bits: int) -> np.ndarray:
+    """How many rows have each feature."""
+    count = np.zeros(1 << bits)
+    for row in sample.rows:
+        count[row] += 1.0
+    return count
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
 

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import remainder
 from runlens.llm.grams import MIX, code_points, hashed
-from runlens.llm.linear import Model, Sample, constant, gather, log_count_ratios, sampled_labels, score, sigmoid
+from runlens.llm.linear import (
+    Model, Sample, constant, gather, log_count_ratios, sampled_labels, score, sigmoid, texts_with,
+)
 
 BITS = 18
 ORDERS = (2, 3, 4)
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 5000
 THRESHOLD = 0.3
 CALIBRATION = 5
 
@@ -108,8 +110,7 @@ def fit_quality(sample: Sample, bits: int = BITS) -> Model:
     if len(set(fit.labels.tolist())) < 2:
         return constant(sample.labels, bits)
     ratios = log_count_ratios(fit, bits)
-    texts = np.bincount(np.concatenate(fit.rows), minlength=1 << bits)
-    ratios[texts < 3] = 0.0
+    ratios[texts_with(fit, bits) < 3] = 0.0
     weights, bias = fit_hinge(fit, ratios)
     margins = np.array([weights[r].sum() + bias for r in rest.rows])
     return Model(weights, bias, *calibrate(margins, rest.labels))

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import remainder
 from runlens.llm.grams import code_points, hashed
-from runlens.llm.linear import Model, Sample, constant, gather, log_count_ratios, sampled_labels, score, sigmoid
+from runlens.llm.linear import (
+    Model, Sample, constant, gather, log_count_ratios, sampled_labels, score, sigmoid, texts_with,
+)
 
 BITS = 18
 ORDERS = (4, 5)
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 5000
+BLOCK_ROWS = 500
+CLASS_POWER = 0.5
 THRESHOLD = 0.3
 # N-grams in fewer sampled texts, or about as frequent in both classes, carry nothing.
 LEAST_TEXTS = 3
@@ -34,31 +38,36 @@ def fit_logistic(sample: Sample, bits: int = BITS, penalty: float = 1.0, rounds:
     if len(set(sample.labels.tolist())) < 2:
         return constant(sample.labels, bits)
     ratios = log_count_ratios(sample, bits)
-    texts = np.bincount(np.concatenate(sample.rows), minlength=1 << bits)
+    texts = texts_with(sample, bits)
     ratios[(texts < LEAST_TEXTS) | (np.abs(ratios) < LEAST_RATIO)] = 0.0
-    # A zero feature of no weight in front keeps every row non-empty.
-    rows = [np.concatenate([[0], r[ratios[r] != 0]]) for r in sample.rows]
-    lengths = np.array([len(r) for r in rows])
-    ids, starts, owner = np.concatenate(rows), np.cumsum(lengths) - lengths, np.repeat(np.arange(len(rows)), lengths)
-    scaled = ratios[ids]
-    scaled[starts] = 0.0
     y = sample.labels.astype(float)
-    # The rarer class counts more, by the root of the ratio of the classes.
-    weight = np.where(y == 1, max(1.0, (1 / y.mean() - 1)) ** 0.5, 1.0)
-
-    def margins(v: np.ndarray, c: float) -> np.ndarray:
-        return np.add.reduceat(scaled * v[ids], starts) + c
-
-    v, bias = np.zeros(1 << bits), 0.0
-    # Per-coordinate steps, by a bound on the curvature, let rare and common grams move alike.
-    sums = np.bincount(owner, weights=np.abs(scaled)) * weight
-    curve = np.bincount(ids, weights=np.abs(scaled) * sums[owner], minlength=1 << bits) * 0.25 + penalty
+    # The rarer class counts more, by a power of the ratio of the classes.
+    weight = np.where(y == 1, max(1.0, (1 / y.mean() - 1)) ** CLASS_POWER, 1.0)
+    # Rows in blocks, so that what a step holds besides the sample does not grow with it. A feature
+    # of no weight in front keeps every row non-empty.
+    blocks = []
+    curve = np.full(1 << bits, penalty)
+    for at in range(0, len(y), BLOCK_ROWS):
+        rows = [np.concatenate([[0], r[ratios[r] != 0]]).astype(np.int32) for r in sample.rows[at : at + BLOCK_ROWS]]
+        lengths = np.array([len(r) for r in rows])
+        ids, starts = np.concatenate(rows), np.cumsum(lengths) - lengths
+        scaled = ratios[ids].astype(np.float32)
+        scaled[starts] = 0.0
+        blocks.append((ids, scaled, starts, lengths, y[at : at + BLOCK_ROWS], weight[at : at + BLOCK_ROWS]))
+        # Per-coordinate steps, by a bound on the curvature, let rare and common grams move alike.
+        sums = np.add.reduceat(np.abs(scaled), starts) * weight[at : at + BLOCK_ROWS]
+        curve += np.bincount(ids, weights=np.abs(scaled) * np.repeat(sums, lengths), minlength=1 << bits) * 0.25
     curve_bias = 0.25 * weight.sum()
+    v, bias = np.zeros(1 << bits), 0.0
     point, point_bias, momentum = v, bias, 1.0
     for _ in range(rounds):
-        error = weight * (sigmoid(margins(point, point_bias)) - y)
-        gradient = np.bincount(ids, weights=scaled * error[owner], minlength=1 << bits) + penalty * point
-        new, new_bias = point - gradient / curve, point_bias - error.sum() / curve_bias
+        gradient, shift = penalty * point, 0.0
+        for ids, scaled, starts, lengths, labels, weights in blocks:
+            margins = np.add.reduceat(scaled * point[ids], starts) + point_bias
+            error = weights * (sigmoid(margins) - labels)
+            gradient = gradient + np.bincount(ids, weights=scaled * np.repeat(error, lengths), minlength=1 << bits)
+            shift += error.sum()
+        new, new_bias = point - gradient / curve, point_bias - shift / curve_bias
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         pull = (momentum - 1) / after
         point, point_bias = new + pull * (new - v), new_bias + pull * (new_bias - bias)
