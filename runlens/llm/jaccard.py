@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from runlens.llm.common import KEY, keyed, only, text_of, with_key, written
 from runlens.llm.planes import mixed, packed, slice_of, unpacked
 
-POSTINGS_PER_BLOB = 2_000_000
-POSTINGS_PER_SLICE = 2_000_000
-GROUP_BYTES = 4 << 20
+POSTINGS_PER_BLOB = 1_500_000
+POSTINGS_PER_SLICE = 1_000_000
+GROUP_BYTES = 1 << 20
 RANGES = 64
-LOW = np.uint64((1 << 48) - 1)
+# Shingles go by the upper 56 bits of their hash.
+REST = np.uint64(8)
 
 
 @dataclass(frozen=True)
@@ -122,7 +123,7 @@ POSTINGS = "slice bigint, hashes binary, owners binary, digests binary, sizes bi
 
 
 def postings(docs: DataFrame, n: int, slices: int) -> DataFrame:
-    """Packed postings by slice of the hash: 48 low bits of each hash, and which set of the blob has it."""
+    """Packed postings by slice of the hash: each hash, in order, and which set of the blob has it."""
 
     def blob(sets: dict[bytes, np.ndarray]) -> Iterator[dict]:
         digests = np.frombuffer(b"".join(sets), dtype=np.uint8).reshape(-1, 16)
@@ -135,7 +136,7 @@ def postings(docs: DataFrame, n: int, slices: int) -> DataFrame:
         edges = np.concatenate([[0], np.flatnonzero(np.diff(slice_)) + 1, [len(slice_)]])
         for a, b in zip(edges[:-1], edges[1:]):
             there, local = np.unique(owners[a:b], return_inverse=True)
-            yield {"slice": int(slice_[a]), "hashes": packed(hashes[a:b] & LOW, 6), "owners": packed(local.astype(np.uint64), 3),
+            yield {"slice": int(slice_[a]), "hashes": packed(hashes[a:b] >> REST, 7), "owners": packed(local.astype(np.uint64), 3),
                    "digests": digests[there].tobytes(), "sizes": packed(sizes[there], 5)}
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +165,7 @@ def shared_postings(blobs: DataFrame, buckets: int) -> DataFrame:
     """Of each slice the shingles that two sets or more have, by bucket of the set's digest."""
 
     def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.concatenate([unpacked(b, 6) for b in part["hashes"]])
+        hashes = np.concatenate([unpacked(b, 7) for b in part["hashes"]])
         digests = np.concatenate([np.frombuffer(b, dtype=">u8").reshape(-1, 2) for b in part["digests"]]).astype(np.uint64)
         sizes = np.concatenate([unpacked(b, 5) for b in part["sizes"]])
         shift = np.cumsum([0] + [len(b) // 16 for b in part["digests"]])
@@ -182,7 +183,7 @@ def shared_postings(blobs: DataFrame, buckets: int) -> DataFrame:
         hashes, owners = hashes[new], owners[new]
         edges = np.concatenate([[0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1, [len(hashes)]])
         often = np.repeat(np.diff(edges) > 1, np.diff(edges))
-        ids, owners = hashes[often] | np.uint64(int(key[0]) & 0x7FFF) << np.uint64(48), owners[often]
+        ids, owners = hashes[often], owners[often]
         bucket = (digests[:, 0] % np.uint64(buckets)).astype(np.int64)[owners]
         order = np.lexsort((owners, bucket))
         ids, owners, bucket = ids[order], owners[order], bucket[order]
@@ -191,7 +192,7 @@ def shared_postings(blobs: DataFrame, buckets: int) -> DataFrame:
             if b > a:
                 there, counts = np.unique(owners[a:b], return_counts=True)
                 rows.append({"bucket": int(bucket[a]), "digests": digests[there].astype(">u8").tobytes(), "sizes": packed(sizes[there], 5),
-                             "counts": packed(counts.astype(np.uint64), 4), "ids": packed(ids[a:b], 8)})
+                             "counts": packed(counts.astype(np.uint64), 4), "ids": packed(ids[a:b], 7)})
         return pd.DataFrame(rows, columns=["bucket", "digests", "sizes", "counts", "ids"])
 
     return blobs.groupBy("slice").applyInPandas(work, SHARED)
@@ -207,7 +208,7 @@ def live_sets(shared: DataFrame, like: Likeness) -> DataFrame:
         digests = np.concatenate([np.frombuffer(b, dtype="V16") for b in part["digests"]])
         sizes = np.concatenate([unpacked(b, 5) for b in part["sizes"]]).astype(np.int64)
         counts = np.concatenate([unpacked(b, 4) for b in part["counts"]]).astype(np.int64)
-        ids = np.concatenate([unpacked(b, 8) for b in part["ids"]])
+        ids = np.concatenate([unpacked(b, 7) for b in part["ids"]])
         names, first, number = np.unique(digests, return_index=True, return_inverse=True)
         sizes = sizes[first]
         live = np.bincount(number, weights=counts, minlength=len(names)) >= like.least(sizes)
@@ -315,9 +316,9 @@ def in_components(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, like: Likeness = Likeness(), leader_rounds: int = 2) -> DataFrame:
-    """KEY, doc_id, n_shingles, component_id of every row of `docs`.
+    """KEY, doc_id, n_shingles, component_id, component_key of every row of `docs`.
 
-    component_id is the smallest doc_id that links lead to. Texts without a word, and null ones, have
+    component_id is the smallest doc_id that links lead to, component_key the key of its row. Texts without a word, and null ones, have
     no shingle and are linked with nothing; texts with fewer words than a shingle have one, the whole
     sequence. Rows with equal sets are linked, repeated rows among them; a null doc_id is passed over
     where there is another. Texts of any length are read whole; an empty table gives no row.
@@ -338,13 +339,16 @@ def near_copies(docs: DataFrame, like: Likeness = Likeness(), leader_rounds: int
     links = in_components(verified(others(entries, labels, like), numbered, like), labels)
     labels = merged_labels(labels, links)
 
-    classes = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # The row that names a component: smallest doc_id, null last, then smallest key.
+    name = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY))
+    classes = sets.where("n_shingles > 0").groupBy("digest").agg(name.alias("first"))
     member = numbered.select("set", "digest").join(labels, "set").join(classes, "digest")
     least = member.groupBy("comp").agg(F.min("first").alias("least"))
     linked = member.join(least, "comp").select("digest", "least")
-    classes = written(classes.join(linked, "digest", "left").select("digest", F.coalesce("least", "first").alias("component_id")), "classes")
-    full = sets.where("n_shingles > 0").join(classes, "digest").select(KEY, "doc_id", "n_shingles", "component_id")
-    empty = sets.where("n_shingles = 0").select(KEY, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    classes = written(classes.join(linked, "digest", "left").select("digest", F.coalesce("least", "first").alias("first")), "classes")
+    full = sets.where("n_shingles > 0").join(classes, "digest")
+    full = full.select(KEY, "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("first")[KEY].alias("component_key"))
+    empty = sets.where("n_shingles = 0").select(KEY, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col(KEY).alias("component_key"))
     return full.unionAll(empty)
 
 
@@ -353,7 +357,7 @@ def with_ranges(sets: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def count(ids: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount((np.asarray(i) >> 42) & (RANGES - 1), minlength=RANGES).astype(np.int32) for i in ids])
+        return pd.Series([np.bincount(np.asarray(i) >> 50, minlength=RANGES).astype(np.int32) for i in ids])
 
     return sets.withColumn("ranges", count("ids"))
 
@@ -361,11 +365,8 @@ def with_ranges(sets: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """`docs` with one row of each group of linked documents, all columns as they were.
 
-    The row whose doc_id names the component stays, of repeated rows the one with the least key; a
-    row without shingles is a group of its own.
+    The row that names the component stays: the one of smallest doc_id, of repeated ones the one with
+    the least key. A row without shingles is a group of its own.
     """
     rows = with_key(docs)
-    found = near_copies(rows, like)
-    empty = found.where("n_shingles = 0 or component_id is null").select(KEY)
-    best = found.where("n_shingles > 0 and component_id is not null and doc_id = component_id")
-    return only(rows, empty.unionAll(best.groupBy("component_id").agg(F.min(KEY).alias(KEY)).select(KEY)))
+    return only(rows, near_copies(rows, like).where(F.col(KEY) == F.col("component_key")))
