@@ -29,13 +29,14 @@ from runlens.llm.planes import mixed, packed, slice_of, unpacked
 
 LENGTH = 100
 GRAM = 16
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 POSTINGS_PER_BLOB = 1_000_000
 POSTINGS_PER_SLICE = 1_000_000
 PIECES_PER_SHARD = 60_000
 # Rows of one anchor from which its windows are dealt one by one.
 COMMON = 5_000
-LOW = np.uint64((1 << 48) - 1)
+# Anchors go by the upper 56 bits of their hash.
+REST = np.uint64(8)
 
 
 def words8(data: np.ndarray) -> np.ndarray:
@@ -86,7 +87,7 @@ def anchor_postings(rows: DataFrame, length: int, slices: int) -> DataFrame:
         slice_ = slice_of(hashes, slices)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(slice_)) + 1, [len(slice_)]])
         return pd.DataFrame([
-            {"slice": int(slice_[a]), "hashes": packed(hashes[a:b] & LOW, 6), "base": base,
+            {"slice": int(slice_[a]), "hashes": packed(hashes[a:b] >> REST, 7), "base": base,
              "keys": packed((keys[a:b] - base).astype(np.uint64), 7), "starts": packed(starts[a:b].astype(np.uint64), 5),
              "windows": packed(windows[a:b].astype(np.uint64), 3)} for a, b in zip(edges[:-1], edges[1:])])
 
@@ -111,7 +112,7 @@ def repeated_runs(blobs: DataFrame, common: int) -> DataFrame:
     """KEY, start, windows, anchor, common: runs whose anchor comes twice or more."""
 
     def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.concatenate([unpacked(b, 6) for b in part["hashes"]])
+        hashes = np.concatenate([unpacked(b, 7) for b in part["hashes"]])
         keys = np.concatenate([unpacked(b, 7).astype(np.int64) + base for b, base in zip(part["keys"], part["base"])])
         starts = np.concatenate([unpacked(b, 5) for b in part["starts"]]).astype(np.int64)
         windows = np.concatenate([unpacked(b, 3) for b in part["windows"]]).astype(np.int32)
@@ -120,7 +121,7 @@ def repeated_runs(blobs: DataFrame, common: int) -> DataFrame:
         edges = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)]])
         times = np.repeat(np.diff(edges), np.diff(edges))
         chosen = order[times > 1]
-        anchor = mixed(hashes[chosen] ^ np.uint64(int(key[0])) << np.uint64(48)).view(np.int64)
+        anchor = mixed(hashes[chosen]).view(np.int64)
         return pd.DataFrame({KEY: keys[chosen], "start": starts[chosen], "windows": windows[chosen], "anchor": anchor,
                              "common": times[times > 1] >= common})
 
