@@ -74,7 +74,3 @@ def safe_stem(filename: Column, extension: Column) -> Column:
     bare = F.when(ends, F.substring(name, F.lit(1), F.char_length(name) - F.char_length(extension))).otherwise(name)
     cleaned = F.regexp_replace(F.regexp_replace(bare, r"[^A-Za-z0-9_.-]+", "_"), r"\.{2,}", ".")
     return F.substring(F.regexp_replace(cleaned, r"^[._]+|[._]+$", ""), 1, MAX_STEM)
-
-
-def term_pattern(terms: list[str]) -> str:
-    return r"(?i)\b(" + "|".join(terms) + r")\b"

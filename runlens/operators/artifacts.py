@@ -6,13 +6,11 @@ keeps its row with nulls. Where contents are compared they are columns of the ro
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from runlens.functions.numbers import count_if
 from runlens.functions.text import base_name, compound_extension
@@ -24,7 +22,8 @@ LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 VOLATILE_KEYS = ["duration", "duration_seconds", "elapsed", "timestamp", "date", "job_id"]
 MAX_LINES = 40
 MAX_LINE_CHARS = 200
-BYTE_LIMIT = 64 * 1024 * 1024
+# No limit: an array of bytes is never longer.
+WHOLE = 2**31 - 1
 CHUNK = 4096
 MAX_EXTENSIONS = 8
 WALK_BUDGET = 5000
@@ -81,53 +80,58 @@ def pair_renamed(left: DataFrame, right: DataFrame, substitutions: Sequence[tupl
     return rows.join(F.broadcast(judged))
 
 
-def _differing(left, right) -> list[str]:
-    """Paths at which two parsed documents differ, walking both at once."""
-    found, waiting = set(), [("", left, right)]
-    while waiting:
-        path, one, two = waiting.pop()
-        if isinstance(one, dict) and isinstance(two, dict):
-            for key in one.keys() | two.keys():
-                below = f"{path}.{key}" if path else key
-                if key in one and key in two:
-                    waiting.append((below, one[key], two[key]))
-                else:
-                    found.add(below)
-        elif isinstance(one, list) and isinstance(two, list):
-            if len(one) == len(two):
-                waiting += [(f"{path}[{i}]", a, b) for i, (a, b) in enumerate(zip(one, two))]
-            else:
-                found.add(f"{path}[length]")
-        elif one != two:
-            found.add(path or "<root>")
-    return sorted(found)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _json_paths(left: pd.Series, right: pd.Series) -> pd.Series:
-    def diff(one, two):
-        try:
-            return _differing(json.loads(one), json.loads(two))
-        except (TypeError, ValueError):
-            return None
-
-    return pd.Series([diff(a, b) for a, b in zip(left, right)])
+def _kind(value: str) -> Column:
+    shape = F.schema_of_variant(value)
+    return F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").otherwise("value")
+
+
+def _same_values(one: str, two: str) -> Column:
+    """Equal as JSON values; numbers by what they are worth, not by how they are written."""
+    number = lambda v: F.try_variant_get(v, "$", "double")
+    digits = lambda v: F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
+    return (F.to_json(one) == F.to_json(two)) | F.coalesce(digits(one) & digits(two) & (number(one) == number(two)), F.lit(False))
 
 
 def json_key_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Which keys differ between two JSON documents of the same name, as dotted paths.
 
-    A list of another length is named once and not descended into; a document that does
-    not parse has a null path and `readable` false. The documents meet in a join and are
-    walked row by row in Arrow batches, since their depth is not known.
+    A list of another length is named once and not descended into; a document that does not parse
+    has a null path and `readable` false. Only documents of another text meet: hashes are joined
+    first. Both are then opened a level at a time, all documents at once, for as many levels as there
+    are; parts that are equal go no further.
     """
-    pairs = left.select("name", F.col("content").alias("_l")).join(
-        right.select("name", F.col("content").alias("_r")), "name")
-    # Equal texts need no walk, provided they are JSON at all.
-    same = F.col("_l").eqNullSafe(F.col("_r")) & F.try_parse_json("_l").isNotNull()
-    return pairs.filter(~same).withColumn("_paths", _json_paths("_l", "_r")).select(
-        "name", F.col("_paths").isNotNull().alias("readable"), F.explode_outer("_paths").alias("path")).filter(
-        ~F.col("readable") | F.col("path").isNotNull())
+    hashed = lambda side, to: side.select("name", F.sha2("content", 256).alias(to), F.try_parse_json("content").isNull().alias(f"{to}_bad"))
+    meant = hashed(left, "_lh").join(hashed(right, "_rh"), "name")
+    meant = checkpointed(meant.filter(~F.col("_lh").eqNullSafe(F.col("_rh")) | F.col("_lh_bad")).select("name", (F.col("_lh_bad") | F.col("_rh_bad")).alias("bad")))
+    parsed = lambda side, to: side.join(meant.filter(~F.col("bad")).select("name"), "name", "left_semi").select(
+        "name", F.parse_json("content").alias(to))
+    found = [meant.filter("bad").select("name", F.lit(False).alias("readable"), F.lit(None).cast("string").alias("path"))]
+    level = parsed(left, "_l").join(parsed(right, "_r"), "name").withColumn("_path", F.lit(""))
+    while True:
+        # Variants are written as text, which every file format holds.
+        level = level.filter(~_same_values("_l", "_r")).select("name", "_path", F.to_json("_l").alias("_l"), F.to_json("_r").alias("_r"))
+        level = checkpointed(level).withColumns({"_l": F.parse_json("_l"), "_r": F.parse_json("_r")})
+        if level.isEmpty():
+            break
+        level = level.withColumns({"_kind": F.when(_kind("_l") == _kind("_r"), _kind("_l")).otherwise("value")})
+        below = lambda part: F.when(F.col("_path") == "", part).otherwise(F.concat("_path", F.lit("."), part))
+        leaves = level.filter("_kind = 'value'").select(
+            "name", F.lit(True).alias("readable"), F.when(F.col("_path") == "", "<root>").otherwise(F.col("_path")).alias("path"))
+        maps = level.filter("_kind = 'object'").select(
+            "name", "_path", *[F.try_variant_get(c, "$", "map<string,variant>").alias(c) for c in ("_l", "_r")])
+        keys = maps.select("*", F.explode(F.array_union(F.map_keys("_l"), F.map_keys("_r"))).alias("_key"))
+        both = F.map_contains_key("_l", F.col("_key")) & F.map_contains_key("_r", F.col("_key"))
+        alone = keys.filter(~both).select("name", F.lit(True).alias("readable"), below(F.col("_key")).alias("path"))
+        inner = keys.filter(both).select("name", *[F.element_at(c, F.col("_key")).alias(c) for c in ("_l", "_r")], below(F.col("_key")).alias("_path"))
+        lists = level.filter("_kind = 'array'").select(
+            "name", "_path", *[F.try_variant_get(c, "$", "array<variant>").alias(c) for c in ("_l", "_r")])
+        uneven = lists.filter(F.size("_l") != F.size("_r")).select(
+            "name", F.lit(True).alias("readable"), F.concat("_path", F.lit("[length]")).alias("path"))
+        items = lists.filter(F.size("_l") == F.size("_r")).select("name", "_path", F.posexplode(F.arrays_zip("_l", "_r")).alias("_i", "_x")).select(
+            "name", F.col("_x._l").alias("_l"), F.col("_x._r").alias("_r"), F.concat("_path", F.lit("["), "_i", F.lit("]")).alias("_path"))
+        found += [leaves, alone, uneven]
+        level = inner.unionByName(items)
+    return reduce(DataFrame.unionByName, found)
 
 
 def lines_of(text: Column) -> Column:
@@ -157,11 +161,11 @@ def text_line_diff(left: DataFrame, right: DataFrame, max_lines: int = MAX_LINES
         F.substring(F.get("_r", F.col("line") - 1), 1, MAX_LINE_CHARS).alias("right"))
 
 
-def byte_diff(left: DataFrame, right: DataFrame, limit: int = BYTE_LIMIT) -> DataFrame:
+def byte_diff(left: DataFrame, right: DataFrame, limit: int = WHOLE) -> DataFrame:
     """Where two files first differ and how many of their common bytes do.
 
     Equal blocks are skipped whole; only the bytes of differing ones are looked at. Past
-    `limit` bytes only sizes and the first difference are reported.
+    `limit` bytes, if one is given, only sizes and the first difference are reported.
     """
     pairs = left.select("name", F.col("content").cast("binary").alias("_l")).join(
         right.select("name", F.col("content").cast("binary").alias("_r")), "name")

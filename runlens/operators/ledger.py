@@ -359,7 +359,7 @@ def chain_fold(calls: DataFrame) -> DataFrame:
     # From the call upwards for as long as every level reported.
     paths = found.withColumn("_path", F.filter("_all", lambda x, i: -x["up"] == F.col("_depth") - i)).drop("_all")
     cost = F.greatest(F.get("_path", 0)["own"], F.get("_path", 0)["fallback"])
-    below = paths.filter(cost > 0).select("run_id", F.explode(F.slice("_path", 2, 1000)).alias("x")).groupBy(
+    below = paths.filter(cost > 0).select("run_id", F.explode(F.slice("_path", F.lit(2), F.size("_path"))).alias("x")).groupBy(
         "run_id", F.col("x.call").alias("_leaf")).agg(F.lit(True).alias("_below"))
     # The card's own reading stands in only where neither the call nor anything under it was measured.
     flagged = join_on(paths, below, ["run_id", "_leaf"], "left")

@@ -40,10 +40,12 @@ def hot_rows(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the one the cluster names in spark.checkpoint.dir.
 
-    Only where none is named, as in a test, a local one is made.
+    Only where none is named and the driver and its executors are one machine, as in a test, a local one is made.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.getCheckpointDir() and not context.master.startswith("local["):
+        raise ValueError("name a folder that every executor can reach in spark.checkpoint.dir")
     if not folder:
         folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="runlens-")
     if context.getCheckpointDir() is None:

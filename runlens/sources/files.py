@@ -26,9 +26,10 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 def file_inventory(spark: SparkSession, root: str, max_bytes: int = HASHED_BYTES) -> DataFrame:
     """Relative name, hash and size of every file; a file too long to hold keeps its row without a hash."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    hashed = files.filter(F.col("length") <= max_bytes).select(
-        _relative(root).alias("name"), F.sha2("content", 256).alias("sha256"))
-    return list_files(spark, root).join(hashed, "name", "left").select("name", "sha256", "size")
+    name, size = _relative(root).alias("name"), F.col("length").alias("size")
+    hashed = files.filter(F.col("length") <= max_bytes).select(name, F.sha2("content", 256).alias("sha256"), size)
+    # Contents of the others are never asked for.
+    return hashed.unionByName(files.filter(F.col("length") > max_bytes).select(name, F.lit(None).cast("string").alias("sha256"), size))
 
 
 def dataset_listing(spark: SparkSession, root: str, ignored: Sequence[str] = ()) -> DataFrame:

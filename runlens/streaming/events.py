@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import zip_longest
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from runlens.functions.events import TERMINAL_PHASES, phase_state
 from runlens.functions.text import scrub_text
 from runlens.operators.events import KEPT_LOGS, MAX_NESTED, MAX_SPANS, SERIOUS
 from runlens.operators.ledger import ledger_upsert
-from runlens.streaming.progress import FIELDS, RunProgress, feed_row
+from runlens.streaming.progress import FIELDS, Bars, feed_row
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TTL_US, PAUSED_TTL_US = 900 * 1_000_000, 14_400 * 1_000_000
@@ -90,73 +91,76 @@ def _maker(schema: str) -> Row:
     return Row(*[column.split()[0] for column in schema.split(", ")])
 
 
+def _spans(changes: list) -> list[tuple]:
+    """(phase, start, end) from the changes of phase [at, phase] of a run."""
+    until = [at for at, _ in changes[1:]] + [None]
+    spans = [(phase, at, end) for (at, phase), end in zip(changes, until) if phase not in TERMINAL_PHASES]
+    return spans[:MAX_SPANS]
+
+
+def _calls(marks: dict[str, list[int]]) -> list[tuple]:
+    """(tool, start, end) of nested calls, by start: the marks of a name are its starts and ends in turn."""
+    pairs = [(name.split("/", 1), start, end) for name, times in marks.items()
+             for start, end in zip_longest(times[::2], times[1::2])]
+    closed = sorted((p for p in pairs if p[2] is not None), key=lambda p: p[2])[:MAX_NESTED]
+    running = sorted((p for p in pairs if p[2] is None), key=lambda p: (int(p[0][0]), p[1]))
+    kept = closed + running[: MAX_NESTED - len(closed)]
+    return [(tool, start, end) for (depth, tool), start, end in sorted(kept, key=lambda p: (p[1], int(p[0][0]), p[0][1]))]
+
+
+def _listed(rows: list[tuple]) -> str:
+    return " ".join(f"{name}:{start}:{'' if end is None else end}" for name, start, end in rows)
+
+
 class _LedgerRows(_JsonState):
-    """Builds a run's timeline event by event and gives its ledger row at the first terminal one."""
+    """Gathers what a run's ledger row is made of, and gives the row at its first terminal event.
+
+    Kept are the changes of phase, the marks of nested calls by name, and the last notable log lines;
+    the row is computed from them once, at the end.
+    """
 
     def __init__(self, order: list[str]):
         self.order = order
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        state = self.load() or {"start": None, "spans": [], "open": {}, "nested": [], "measured": None,
-                                "serious": [], "other": [], "over": False}
-        if state["over"]:
+        state = self.load() or {"phases": [], "marks": {}, "logs": {"serious": [], "other": []}}
+        if "ended" in state:
             return
-        for row in _in_order(rows, self.order):
-            if row["is_log"]:
-                self._log(state, row)
-                continue
-            state["start"] = row["at_us"] if state["start"] is None else state["start"]
-            if row["measured"] is not None:
-                state["measured"] = row["measured"]
-            if row["tool"] is not None:
-                self._marker(state, row)
-            elif row["depth"] == 0:
-                self._phase(state, row)
-            if row["phase"] in TERMINAL_PHASES:
-                yield self._ledger(key[0], state, row)
-                # A marker stays behind so that the run is not reported twice.
-                self.save({"over": True})
-                return
-        self.save(state)
-
-    @staticmethod
-    def _log(state, row) -> None:
-        if row["level"] != "debug":
-            kept = state["serious" if row["level"] in SERIOUS else "other"]
-            kept.append([row["at_us"], row["event_id"], row["level"], row["message"]])
-            del kept[:-KEPT_LOGS]
-
-    @staticmethod
-    def _marker(state, row) -> None:
-        name = f"{row['depth']}/{row['tool']}"
-        begun = state["open"].pop(name, None)
-        if begun is None:
-            state["open"][name] = row["at_us"]
-        elif len(state["nested"]) < MAX_NESTED:
-            state["nested"].append([begun, row["depth"], row["tool"], row["at_us"]])
+        ordered = _in_order(rows, self.order)
+        last = next((i for i, r in enumerate(ordered) if not r["is_log"] and r["phase"] in TERMINAL_PHASES), None)
+        taken = ordered if last is None else ordered[: last + 1]
+        for row in taken:
+            if not row["is_log"]:
+                self._event(state, row)
+            elif row["level"] != "debug":
+                lines = state["logs"]["serious" if row["level"] in SERIOUS else "other"]
+                lines.append([row["at_us"], row["event_id"], row["level"], row["message"]])
+                del lines[:-KEPT_LOGS]
+        if last is None:
+            self.save(state)
+            return
+        yield self._row(key[0], ordered[last], state)
+        # What stays behind keeps the run from being reported twice.
+        self.save({"ended": True})
 
     @staticmethod
-    def _phase(state, row) -> None:
-        spans = state["spans"]
-        if spans and spans[-1][2] is None:
-            if spans[-1][0] == row["phase"]:
-                return
-            spans[-1][2] = row["at_us"]
-        if row["phase"] not in TERMINAL_PHASES and len(spans) < MAX_SPANS:
-            spans.append([row["phase"], row["at_us"], None])
+    def _event(state: dict, row) -> None:
+        state.setdefault("start", row["at_us"])
+        if row["measured"] is not None:
+            state["measured"] = row["measured"]
+        if row["tool"] is not None:
+            state["marks"].setdefault(f"{row['depth']}/{row['tool']}", []).append(row["at_us"])
+        elif row["depth"] == 0 and [row["phase"]] != [p for _, p in state["phases"][-1:]] and len(state["phases"]) <= MAX_SPANS:
+            state["phases"].append([row["at_us"], row["phase"]])
 
     @staticmethod
-    def _ledger(run_id, state, row) -> Row:
-        still = [[at, *(f(x) for f, x in zip((int, str), name.split("/", 1))), None] for name, at in state["open"].items()]
-        calls = sorted(state["nested"] + sorted(still, key=lambda c: (c[1], c[0]))[:MAX_NESTED - len(state["nested"])],
-                       key=lambda c: c[:3])
-        paused = sum(end - start for phase, start, end in state["spans"] if phase == "paused" and end is not None)
-        logs = sorted(state["serious"] + state["other"])
-        return _maker(LEDGER_ROW)(run_id, row["phase"], state["start"], row["at_us"],
-                   max(0, row["at_us"] - state["start"] - paused) / 1e6, paused / 1e6, state["measured"],
-                   " ".join(f"{p}:{s}:{'' if e is None else e}" for p, s, e in state["spans"]),
-                   " ".join(f"{t}:{s}:{'' if e is None else e}" for s, _, t, e in calls), len(logs),
-                   "\n".join(f"{level}: {message}" for _, _, level, message in logs))
+    def _row(run_id, final, state: dict) -> Row:
+        start, end = state["start"], final["at_us"]
+        spans, logs = _spans(state["phases"]), sorted(state["logs"]["serious"] + state["logs"]["other"])
+        paused = sum(b - a for phase, a, b in spans if phase == "paused" and b is not None)
+        return _maker(LEDGER_ROW)(
+            run_id, final["phase"], start, end, max(0, end - start - paused) / 1e6, paused / 1e6, state.get("measured"),
+            _listed(spans), _listed(_calls(state["marks"])), len(logs), "\n".join(f"{level}: {message}" for _, _, level, message in logs))
 
 
 def emit_on_terminal(stream: DataFrame, order: list[str]) -> DataFrame:
@@ -242,10 +246,10 @@ class _Progress(_JsonState):
         self.order, self.schema = order, schema
 
     def handleInputRows(self, key, rows, timerValues):
-        state, make = RunProgress(self.load()), _maker(self.schema)
+        state, make = Bars(self.load()), _maker(self.schema)
         for row in _in_order(rows, self.order):
             yield make(key[0], *[row[c] for c in self.order], *feed_row(state, [row[c] for c in FIELDS]))
-        self.save(state.nodes)
+        self.save(state.data)
 
 
 def stream_progress(stream: DataFrame, order: list[str]) -> DataFrame:

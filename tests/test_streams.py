@@ -13,7 +13,7 @@ from runlens.registry import Argument, ArgumentError, Transforms
 from runlens.session import scratch
 from runlens.sources import records, tables
 from runlens.streaming import events as stream
-from runlens.streaming.progress import RunProgress, progress_tree
+from runlens.streaming.progress import Bars, feed_row, progress_tree
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -76,21 +76,21 @@ def test_ledger_kept_by_batches(spark):
 
 
 def test_a_leaf_moves_the_root():
-    bar = RunProgress()
-    assert bar.feed(False, "A", "open", (0.2, 0.6), "1", 1, None) == (0.2, None, 1)
-    assert bar.feed(False, "B", "open", (0.5, 1.0), "1.1", 2, None) == (0.4, None, 2)
-    assert bar.feed(False, None, None, None, None, None, 0.6)[0] == round(0.2 + 0.4 * (0.5 + 0.5 * 0.6), 4)
-    assert bar.feed(False, "B", "close", None, "1.1", 2, None)[0] == 0.6
-    assert bar.feed(False, "A", "close", None, "1", 1, None)[0] == 0.6
-    assert bar.feed(False, None, None, None, "", 0, 0.9)[0] == 0.9
+    bar = Bars()
+    assert feed_row(bar, [False, "A", "open", 0.2, 0.6, "1", 1, None]) == (0.2, None, 1)
+    assert feed_row(bar, [False, "B", "open", 0.5, 1.0, "1.1", 2, None]) == (0.4, None, 2)
+    assert feed_row(bar, [False, None, None, None, None, None, None, 0.6])[0] == round(0.2 + 0.4 * (0.5 + 0.5 * 0.6), 4)
+    assert feed_row(bar, [False, "B", "close", None, None, "1.1", 2, None])[0] == 0.6
+    assert feed_row(bar, [False, "A", "close", None, None, "1", 1, None])[0] == 0.6
+    assert feed_row(bar, [False, None, None, None, None, "", 0, 0.9])[0] == 0.9
 
 
 def test_siblings_open_at_once_are_not_guessed():
-    bar = RunProgress()
-    bar.feed(False, "A", "open", (0.0, 0.5), "1", 1, None)
-    bar.feed(False, "B", "open", (0.5, 1.0), "2", 1, None)
-    assert bar.feed(False, None, None, None, None, None, 0.7) == (0.7, None, 0)
-    assert bar.feed(True, None, None, None, None, None, 0.1) == (0.1, None, 0)
+    bar = Bars()
+    feed_row(bar, [False, "A", "open", 0.0, 0.5, "1", 1, None])
+    feed_row(bar, [False, "B", "open", 0.5, 1.0, "2", 1, None])
+    assert feed_row(bar, [False, None, None, None, None, None, None, 0.7]) == (0.7, None, 0)
+    assert feed_row(bar, [True, None, None, None, None, None, None, 0.1]) == (0.1, None, 0)
 
 
 def test_torn_lines_are_numbered(spark):
