@@ -10,6 +10,7 @@ from runlens.llm.exact_dedup import exact_dedup
 from runlens.llm.jaccard import near_copies
 from runlens.llm.language import predict_languages
 from runlens.llm.mixing import mix
+from runlens.llm.oracles import ORACLES
 from runlens.llm.packing import pack
 from runlens.llm.pii import pseudonymise
 from runlens.llm.quality import score_quality
@@ -17,8 +18,6 @@ from runlens.llm.rules import judge
 from runlens.llm.suffix_dedup import suffix_dedup
 from runlens.llm.toxicity import score_toxicity
 
-LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict_languages(documents(spark, folder))
@@ -36,13 +35,6 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(documents(spark, folder)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-OP4_SQL = f"""
-WITH t AS (SELECT doc_id, {LOWERED} AS body FROM documents)
-SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
-FROM t
-"""
-
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(documents(spark, folder), labels(spark, folder))
 
@@ -84,4 +76,5 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "pipeline": pipeline,
 }
-ORACLES = {"op4_exact_dedup": OP4_SQL}
+
+__all__ = ["ORACLES", "QUERIES"]
