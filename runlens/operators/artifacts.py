@@ -219,14 +219,19 @@ def numeric_distance(pairs: DataFrame, left: str = "left", right: str = "right")
 
 
 def exact_dedup(files: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
-    """Copies to relink: every file but the first, by path, of those with one size and one content.
+    """Copies to relink: every file but the first of those with one size and one content.
+
+    The first is the one that a walk of the tree meets first: in each folder its files by name, then its
+    folders by name.
 
     `files` has (path, size, sha256). Only the hash travels, so a group of copies is reduced
     to its keeper before the keepers are joined back.
     """
     # Kept, so that contents are read and hashed once: a row is a path and a hash from here on.
     big = checkpointed(files.filter(F.col("size") >= min_bytes).select("path", "size", "sha256"))
-    keepers = big.groupBy("size", "sha256").agg(F.min("path").alias("keeper"), F.count(F.lit(1)).alias("_n")).filter(
+    parts = F.split("path", "/")
+    walk = F.transform(parts, lambda part, i: F.struct((i < F.size(parts) - 1).alias("folder"), part.alias("name")))
+    keepers = big.groupBy("size", "sha256").agg(F.min_by("path", walk).alias("keeper"), F.count(F.lit(1)).alias("_n")).filter(
         F.col("_n") > 1).drop("_n")
     return join_on(big, keepers, ["size", "sha256"]).filter(F.col("path") != F.col("keeper")).select(
         "path", "keeper", F.col("size").alias("freed"))
@@ -243,7 +248,7 @@ def shared_copies(entries: DataFrame, min_bytes: int = 1024) -> DataFrame:
         F.when((F.col("inodes") > 1) & (F.col("size") >= min_bytes), extra).otherwise(0).alias("wasted"))
 
 
-LIMB = 15  # hexadecimal digits of a hash that are added up together
+LIMB = 16  # hexadecimal digits of a hash that are added up together: four limbs are the whole hash
 
 
 def tree_fingerprint(files: DataFrame, stored: DataFrame | None = None, keys: Sequence[str] = ("tree",)) -> DataFrame:

@@ -264,6 +264,10 @@ def history_compact(runs: DataFrame, keep: int = KEPT_RUNS, factor: int = COMPAC
     return finished.orderBy(F.desc("end_us"), F.desc("run_id")).limit(keep)
 
 
+# Missing numbers that one row is opened into.
+GAP_BLOCK = 10_000
+
+
 def sequence_gaps(received: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Part numbers not received: 0 up to the expected count, an empty upload being one part.
 
@@ -278,8 +282,12 @@ def sequence_gaps(received: DataFrame, expected: DataFrame, keys: Sequence[str])
     ends = wanted.select(*keys, F.lit(-1).cast("long").alias("part")).unionByName(
         wanted.select(*keys, F.col("_parts").alias("part")))
     marks = along(have.unionByName(ends).distinct(), keys, ["part"], _before=prev(F.col("part")))
-    return marks.filter(F.col("part") - F.col("_before") > 1).select(
-        *keys, F.explode(F.sequence(F.col("_before") + 1, F.col("part") - 1)).alias("missing"))
+    # A jump may be long: it is opened in blocks, and a block into its numbers.
+    blocks = marks.filter(F.col("part") - F.col("_before") > 1).select(
+        *keys, (F.col("part") - 1).alias("_last"),
+        F.explode(F.sequence(F.col("_before") + 1, F.col("part") - 1, F.lit(GAP_BLOCK).cast("long"))).alias("_first"))
+    return blocks.select(*keys, F.explode(F.sequence("_first", F.least(
+        F.col("_first") + GAP_BLOCK - 1, F.col("_last")))).alias("missing"))
 
 
 def cohort_gaps(arrivals: DataFrame, now_us: int, forgotten_us: int = COHORT_FORGOTTEN_US) -> DataFrame:

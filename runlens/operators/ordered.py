@@ -232,9 +232,12 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
                   position: str = "_position") -> DataFrame:
     """The first `k` rows of each group; every map task keeps only its own first `k`.
 
-    Spark drops rows past `k` before the shuffle only below
-    spark.sql.optimizer.windowGroupLimitThreshold, so `k` has to be a small constant.
+    Spark drops rows past `k` before the shuffle only up to
+    spark.sql.optimizer.windowGroupLimitThreshold; that threshold is raised to `k` where it is lower.
     """
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(df.sparkSession.conf.get(name, "1000")) < k:
+        df.sparkSession.conf.set(name, str(k))
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(position, F.row_number().over(window)).filter(F.col(position) <= k)
 

@@ -102,12 +102,14 @@ def numeric_distance(spark, sf):
     return out.withColumns({c: F.rint(F.col(c) * 1e9) / 1e9 for c in ("mean_abs", "rms")})
 
 
-@query("exact_dedup", """SELECT concat(source, '/', doc_id) AS path, keeper, size AS freed FROM (SELECT *, octet_length(encode(text)) AS size,
-  min(concat(source, '/', doc_id)) OVER (PARTITION BY sha256(text), octet_length(encode(text))) AS keeper FROM documents)
-WHERE size >= 100 AND keeper <> concat(source, '/', doc_id)""")
+@query("exact_dedup", """WITH f AS (SELECT *, octet_length(encode(text)) AS size, CASE WHEN doc_id % 3 = 0 THEN concat(source, '/', lang, '/', doc_id) ELSE concat(source, '/', doc_id) END AS path,
+  CASE WHEN doc_id % 3 = 0 THEN [source, '1', lang, CAST(doc_id AS VARCHAR)] ELSE [source, '0', CAST(doc_id AS VARCHAR)] END AS walk FROM documents),
+k AS (SELECT sha256(text) AS sha, size, arg_min(path, walk) AS keeper FROM f WHERE size >= 100 GROUP BY ALL)
+SELECT path, keeper, f.size AS freed FROM f JOIN k ON sha256(text) = sha AND f.size = k.size WHERE path <> keeper""")
 def exact_dedup(spark, sf):
+    folder = F.when(F.col("doc_id") % 3 == 0, F.concat_ws("/", "source", "lang")).otherwise(F.col("source"))
     files = table(spark, sf, "documents").select(
-        F.concat_ws("/", "source", "doc_id").alias("path"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha256"))
+        F.concat_ws("/", folder, "doc_id").alias("path"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha256"))
     return ops.exact_dedup(files, 100)
 
 
@@ -122,12 +124,12 @@ def shared_copies(spark, sf):
     return ops.shared_copies(entries)
 
 
-HEX = "sum(CAST(CAST(concat('0x', substr(h, {a}, 15)) AS BIGINT) AS HUGEINT))"
+HEX = "sum(CAST(CAST(concat('0x', substr(h, {a}, 16)) AS UBIGINT) AS HUGEINT))"
 
 
 @query("tree_fingerprint", f"""WITH f AS (SELECT source AS tree, sha256(encode(concat(lang, '/', doc_id, '.txt')) || '\\x00'::BLOB || encode(text) || '\\x00'::BLOB) AS h
   FROM documents WHERE lang <> 'es'),
-d AS (SELECT tree, count(*) AS files, sha256(concat_ws(':', count(*), {HEX.format(a=1)}, {HEX.format(a=16)}, {HEX.format(a=31)}, {HEX.format(a=46)})) AS digest FROM f GROUP BY tree)
+d AS (SELECT tree, count(*) AS files, sha256(concat_ws(':', count(*), {HEX.format(a=1)}, {HEX.format(a=17)}, {HEX.format(a=33)}, {HEX.format(a=49)})) AS digest FROM f GROUP BY tree)
 SELECT tree, files, digest, tree <> 'src1' AS stale FROM d""")
 def tree_fingerprint(spark, sf):
     documents = table(spark, sf, "documents")
