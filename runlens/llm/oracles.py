@@ -30,8 +30,8 @@ SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT doc_id, min(the
 
 OP2 = """
 WITH b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, encode(coalesce(text, '')) AS h FROM documents),
-w AS (SELECT doc_id, p, row_number() OVER (PARTITION BY md5(h[p + 1 : p + 100]) ORDER BY doc_id, p) AS k
-      FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM b WHERE n >= 100)),
+m AS (SELECT doc_id, unnest(range(n - 99)) AS p, unnest(list_transform(range(n - 99), lambda p: md5(h[p + 1 : p + 100]))) AS m FROM b WHERE n >= 100),
+w AS (SELECT doc_id, p, row_number() OVER (PARTITION BY m ORDER BY doc_id, p) AS k FROM m),
 g AS (SELECT doc_id, p, max(p + 100) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM w WHERE k > 1),
 i AS (SELECT doc_id, p, sum(CASE WHEN upto IS NULL OR p > upto THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g),
 s AS (SELECT doc_id, span, min(p) AS a, max(p) + 100 AS z FROM i GROUP BY ALL),
