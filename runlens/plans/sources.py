@@ -98,9 +98,14 @@ def export_preview(spark, sf):
     return spark.read.schema("p_partkey double, p_name string, p_brand string").json(path)
 
 
-@query("file_inventory")
+@query("file_inventory", """SELECT concat('part=', source, '-', doc_id % 8) AS name, sha256(string_agg(concat(text, chr(10)), '' ORDER BY doc_id)) AS sha256,
+  CAST(octet_length(encode(string_agg(concat(text, chr(10)), '' ORDER BY doc_id))) AS BIGINT) AS size FROM documents GROUP BY ALL""")
 def file_inventory(spark, sf):
-    return files.file_inventory(spark, sf)
+    path = scratch(spark, "tree")
+    texts = table(spark, sf, "documents").select(F.concat("source", F.lit("-"), F.col("doc_id") % 8).alias("part"), "doc_id", "text")
+    texts.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(path)
+    found = files.file_inventory(spark, path).filter(F.col("name").startswith("part="))
+    return found.select(F.element_at(F.split("name", "/"), 1).alias("name"), "sha256", "size")
 
 
 @query("dataset_listing", """SELECT concat('tool=', source) AS tool, concat('kind=', lang) AS kind, 'file' AS type, sum(octet_length(encode(replace(text, chr(10), ' '))) + 1) AS bytes
