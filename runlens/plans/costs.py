@@ -125,10 +125,37 @@ def cost_spread(spark, sf):
         "tool", (F.rint(F.col("spread") * 1e6) / 1e6).alias("spread"))
 
 
-@query("quarantine_outliers")
+# A tool's runs one after the other: the window as a list, the held run as a struct, and what each step decides.
+ENTRY = "STRUCT(v BIGINT, m BIGINT, w BIGINT, n BIGINT)"
+BOUND = ("CASE WHEN len(list_filter(win, lambda x: x.w = width AND x.{f} IS NOT NULL)) >= 3 THEN coalesce(nullif(2 * "
+         "list_median(list_transform(list_filter(win, lambda x: x.w = width AND x.{f} IS NOT NULL), lambda x: x.{f})), 0), 'infinity') ELSE 'infinity' END")
+PAIRED = "(NOT {o} OR coalesce(held.{f} <= 2 * {f} AND {f} <= 2 * held.{f}, false))"
+define("folded", f"""(WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY pos) AS n, CAST((vram + width - 1) // width AS BIGINT) AS v,
+  CAST((ram + width - 1) // width AS BIGINT) AS m FROM @guarded),
+f AS (SELECT DISTINCT tool, CAST(0 AS BIGINT) AS n, CAST([] AS {ENTRY}[]) AS win, CAST(NULL AS {ENTRY}) AS held, false AS own, CAST(0 AS BIGINT) AS samples,
+  CAST([] AS STRUCT(n BIGINT, status VARCHAR)[]) AS fate FROM g
+UNION ALL
+SELECT tool, n, list_filter(grown, lambda x, i: i > len(grown) - 20 OR x.v IS NOT NULL)[-40:], CASE WHEN NOT (ov OR om) THEN held WHEN pair THEN NULL ELSE cur END, own,
+  samples + CASE WHEN NOT (ov OR om) OR pair THEN 1 ELSE 0 END,
+  CASE WHEN NOT (ov OR om) THEN [{{'n': n, 'status': 'learned'}}] WHEN pair THEN [{{'n': held.n, 'status': 'confirmed'}}, {{'n': n, 'status': 'confirmed'}}]
+    WHEN held IS NOT NULL THEN [{{'n': held.n, 'status': 'held'}}] ELSE [] END
+FROM (SELECT *, list_concat(win, CASE WHEN NOT (ov OR om) THEN [cur] WHEN pair THEN [held, cur] ELSE [] END) AS grown
+FROM (SELECT *, held IS NOT NULL AND held.w = width AND {PAIRED.format(o='ov', f='v')} AND {PAIRED.format(o='om', f='m')} AS pair
+FROM (SELECT *, coalesce(v > {BOUND.format(f='v')}, false) AS ov, coalesce(m > {BOUND.format(f='m')}, false) AS om
+FROM (SELECT f.tool, g.n, CASE WHEN own_only AND NOT own THEN CAST([] AS {ENTRY}[]) ELSE win END AS win, held, own OR own_only AS own, samples, g.width, g.v, g.m,
+  CAST({{'v': g.v, 'm': g.m, 'w': g.width, 'n': g.n}} AS {ENTRY}) AS cur FROM f JOIN g ON g.tool = f.tool AND g.n = f.n + 1)))))
+SELECT * FROM f)""")
+NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY tool ORDER BY pos) AS n FROM @guarded)"
+
+
+@query("quarantine_outliers", f"""WITH f AS (SELECT * FROM @folded),
+d AS (SELECT tool, unnest(fate) AS fate FROM f),
+s AS (SELECT tool, fate.n AS n, fate.status AS status FROM d UNION ALL SELECT tool, last.n, 'held' FROM (SELECT tool, arg_max(held, n) AS last FROM
+  (SELECT tool, n, CASE WHEN held IS NULL THEN CAST({{'v': NULL, 'm': NULL, 'w': NULL, 'n': NULL}} AS {ENTRY}) ELSE held END AS held FROM f) GROUP BY tool) WHERE last.n IS NOT NULL)
+SELECT tool, l_orderkey, l_linenumber, l_partkey, l_quantity, status FROM s JOIN {NUMBERED} USING (tool, n)""")
 def quarantine_outliers(spark, sf):
     rows = ops.per_channel(ops.learn_guard(measured(spark, sf)))
-    return ops.quarantine_outliers(rows, GUARD_ORDER)
+    return ops.quarantine_outliers(rows, GUARD_ORDER).select("tool", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "status")
 
 
 @query("cost_table")
