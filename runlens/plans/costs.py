@@ -158,7 +158,28 @@ def quarantine_outliers(spark, sf):
     return ops.quarantine_outliers(rows, GUARD_ORDER).select("tool", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "status")
 
 
-@query("cost_table")
+def _spread_sql(fit: str, points: str) -> str:
+    """Largest over smallest ratio of what a run took to what the fit expects at its width."""
+    expected = "nullif(CASE WHEN c.widths >= 2 THEN f.one + f.marginal * (p.width - 1) ELSE greatest(f.one, f.marginal * p.width) END, 0)"
+    return f"""(SELECT tool, CASE WHEN runs > 1 AND least > 0 THEN most / least ELSE 1.0 END AS spread FROM (SELECT tool, count(*) AS runs,
+  max(total / {expected}) AS most, min(total / {expected}) AS least FROM {points} p JOIN {fit} f USING (tool) JOIN counted c USING (tool) WHERE total > 0 GROUP BY tool))"""
+
+
+@query("cost_table", f"""WITH last AS (SELECT tool, arg_max(win, n) AS win, arg_max(samples, n) AS samples FROM @folded GROUP BY tool),
+w AS (SELECT tool, samples, unnest(win) AS e, unnest(range(len(win))) AS place FROM last),
+x AS (SELECT w.tool, samples, place, e.v AS v, e.m AS m, e.w AS width, round_even(CASE WHEN cores > 0 THEN cores ELSE 0 END / width * 1e3, 0) / 1e3 AS cores
+  FROM w JOIN {NUMBERED} g ON g.tool = w.tool AND g.n = e.n),
+recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY place DESC) AS age FROM x) WHERE age <= 20),
+carded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY place DESC) AS age FROM
+  (SELECT *, max(v) OVER (PARTITION BY tool) AS top FROM x WHERE v IS NOT NULL) WHERE v <> 0 OR top = 0) WHERE age <= 20),
+counted AS (SELECT tool, max(samples) AS samples, count(DISTINCT width) AS widths, greatest(max(cores), 0) AS cores FROM recent GROUP BY tool),
+vp AS (SELECT tool, v * width AS total, width FROM carded), rp AS (SELECT tool, m * width AS total, width FROM recent),
+vf AS (SELECT * FROM {fit_sql('vp')}), rf AS (SELECT * FROM {fit_sql('rp')}),
+vs AS (SELECT * FROM {_spread_sql('vf', 'vp')}), rs AS (SELECT * FROM {_spread_sql('rf', 'rp')})
+SELECT tool, samples, counted.widths AS widths, cores, vf.one IS NOT NULL AS vram_known, coalesce(vf.one, 0) AS vram_one, coalesce(vf.marginal, 0) AS vram_marginal,
+  coalesce(vs.spread, 1.0) AS vram_spread, coalesce(rf.one, 0) AS ram_one, coalesce(rf.marginal, 0) AS ram_marginal, coalesce(rs.spread, 1.0) AS ram_spread,
+  greatest(coalesce(vs.spread, 1.0), coalesce(rs.spread, 1.0)) >= 1.5 AS input_dependent
+FROM counted LEFT JOIN vf USING (tool) LEFT JOIN rf USING (tool) LEFT JOIN vs USING (tool) LEFT JOIN rs USING (tool)""")
 def cost_table(spark, sf):
     return ops.cost_table(measured(spark, sf), GUARD_ORDER)
 
