@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import args as fa
 from runlens.operators import artifacts, benchmark, catalogue, events, ledger, series
+from runlens.operators.ordered import top_per_group
 
 RECORD = ("n long, tool string, path string, status string, warmup boolean, total_seconds double, error_message string, "
           "concurrency long, window_seconds double, peak_mib map<string,long>, baseline_mib map<string,long>")
@@ -149,3 +150,31 @@ def test_lists(spark, text, value):
 def test_vec2(spark, text, good):
     row = spark.range(1).select(fa.parse_vec2(F.lit(text), (0.0, 1.0), (1.5, 0.5)).alias("v")).first().v
     assert (row.error is None) == good
+
+
+def test_the_copy_met_first_on_a_walk_stays(spark):
+    """Files of a folder come before its folders, whatever their names."""
+    files = spark.createDataFrame([("a/b/x", 9, "h"), ("a/z", 9, "h"), ("c", 9, "h"), ("a/y", 1, "h")], "path string, size long, sha256 string")
+    got = rows(artifacts.exact_dedup(files, 5), "path")
+    assert got == [{"path": "a/b/x", "keeper": "c", "freed": 9}, {"path": "a/z", "keeper": "c", "freed": 9}]
+    assert rows(artifacts.exact_dedup(files.filter("path <> 'c'"), 5), "path") == [{"path": "a/b/x", "keeper": "a/z", "freed": 9}]
+
+
+def test_long_gaps_are_opened_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "GAP_BLOCK", 7)
+    received = spark.createDataFrame([("u", 3), ("u", 40)], "upload string, part long")
+    expected = spark.createDataFrame([("u", 100), ("v", 2)], "upload string, parts long")
+    got = sorted((r.upload, r.missing) for r in ledger.sequence_gaps(received, expected, ["upload"]).collect())
+    assert got == [("u", n) for n in range(100) if n not in (3, 40)] + [("v", 0), ("v", 1)]
+
+
+def test_many_rows_per_group_are_kept(spark):
+    df = spark.range(3000).withColumn("g", F.lit(1))
+    assert top_per_group(df, ["g"], [F.col("id")], 1500).count() == 1500
+
+
+def test_a_json_document_is_compared_at_every_depth(spark):
+    deep = lambda x: '{"a": [{"b": {"c": [1, {"d": %s}]}}], "n": 1.0}' % x
+    side = lambda text: spark.createDataFrame([("x", text)], "name string, content string")
+    assert [r["path"] for r in rows(artifacts.json_key_diff(side(deep("1")), side(deep('"1"'))))] == ["a[0].b.c[1].d"]
+    assert rows(artifacts.json_key_diff(side(deep("1")), side(deep("1.0")))) == []
