@@ -28,7 +28,7 @@ from runlens.llm.common import KEY, keyed, only, text_of, with_key, written
 from runlens.llm.planes import mixed, packed, slice_of, unpacked
 
 POSTINGS_PER_BLOB = 1_500_000
-POSTINGS_PER_SLICE = 1_000_000
+POSTINGS_PER_SLICE = 1_500_000
 GROUP_BYTES = 1 << 20
 RANGES = 64
 # Shingles go by the upper 56 bits of their hash.
@@ -100,11 +100,11 @@ def grouped_texts(texts: list) -> Iterator[list[bytes]]:
 
 
 def set_digest(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else b""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=8).digest() if len(hashes) else b""
 
 
 def set_table(docs: DataFrame, n: int) -> DataFrame:
-    """KEY, doc_id, n_shingles, digest (16 bytes that tell sets apart, empty for an empty set)."""
+    """KEY, doc_id, n_shingles, digest (8 bytes that, with the size, tell sets apart; empty for an empty set)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,7 +126,7 @@ def postings(docs: DataFrame, n: int, slices: int) -> DataFrame:
     """Packed postings by slice of the hash: each hash, in order, and which set of the blob has it."""
 
     def blob(sets: dict[bytes, np.ndarray]) -> Iterator[dict]:
-        digests = np.frombuffer(b"".join(sets), dtype=np.uint8).reshape(-1, 16)
+        digests = np.frombuffer(b"".join(sets), dtype=">u8")
         sizes = np.array([len(s) for s in sets.values()], dtype=np.uint64)
         hashes = np.concatenate(list(sets.values()))
         owners = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))
@@ -166,17 +166,17 @@ def shared_postings(blobs: DataFrame, buckets: int) -> DataFrame:
 
     def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         hashes = np.concatenate([unpacked(b, 7) for b in part["hashes"]])
-        digests = np.concatenate([np.frombuffer(b, dtype=">u8").reshape(-1, 2) for b in part["digests"]]).astype(np.uint64)
+        digests = np.concatenate([np.frombuffer(b, dtype=">u8") for b in part["digests"]]).astype(np.uint64)
         sizes = np.concatenate([unpacked(b, 5) for b in part["sizes"]])
-        shift = np.cumsum([0] + [len(b) // 16 for b in part["digests"]])
+        shift = np.cumsum([0] + [len(b) // 8 for b in part["digests"]])
         owners = np.concatenate([unpacked(b, 3).astype(np.int64) + s for b, s in zip(part["owners"], shift)])
         # One number per set, also where several blobs have it.
-        order = np.lexsort((digests[:, 1], digests[:, 0]))
-        ordered = digests[order]
-        new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)])
+        order = np.lexsort((sizes, digests))
+        digests, sizes = digests[order], sizes[order]
+        new = np.concatenate([[True], (digests[1:] != digests[:-1]) | (sizes[1:] != sizes[:-1])])
         number = np.empty(len(order), dtype=np.int64)
         number[order] = np.cumsum(new) - 1
-        digests, sizes, owners = ordered[new], sizes[order][new], number[owners]
+        digests, sizes, owners = digests[new], sizes[new], number[owners]
         order = np.lexsort((owners, hashes))
         hashes, owners = hashes[order], owners[order]
         new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])])
@@ -184,7 +184,7 @@ def shared_postings(blobs: DataFrame, buckets: int) -> DataFrame:
         edges = np.concatenate([[0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1, [len(hashes)]])
         often = np.repeat(np.diff(edges) > 1, np.diff(edges))
         ids, owners = hashes[often], owners[often]
-        bucket = (digests[:, 0] % np.uint64(buckets)).astype(np.int64)[owners]
+        bucket = (digests % np.uint64(buckets)).astype(np.int64)[owners]
         order = np.lexsort((owners, bucket))
         ids, owners, bucket = ids[order], owners[order], bucket[order]
         rows = []
@@ -205,20 +205,21 @@ def live_sets(shared: DataFrame, like: Likeness) -> DataFrame:
     """The sets that share enough shingles with others at all to be linked with one, with those shingles."""
 
     def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        digests = np.concatenate([np.frombuffer(b, dtype="V16") for b in part["digests"]])
-        sizes = np.concatenate([unpacked(b, 5) for b in part["sizes"]]).astype(np.int64)
+        digests = np.concatenate([np.frombuffer(b, dtype=">u8") for b in part["digests"]])
+        sizes = np.concatenate([unpacked(b, 5) for b in part["sizes"]])
         counts = np.concatenate([unpacked(b, 4) for b in part["counts"]]).astype(np.int64)
         ids = np.concatenate([unpacked(b, 7) for b in part["ids"]])
-        names, first, number = np.unique(digests, return_index=True, return_inverse=True)
-        sizes = sizes[first]
-        live = np.bincount(number, weights=counts, minlength=len(names)) >= like.least(sizes)
+        both = np.stack([digests, sizes.astype(">u8")], axis=1).view("V16").reshape(-1)
+        _, first, number = np.unique(both, return_index=True, return_inverse=True)
+        digests, sizes = digests[first].astype(">u8"), sizes[first].astype(np.int64)
+        live = np.bincount(number, weights=counts, minlength=len(first)) >= like.least(sizes)
         owner = np.repeat(number, counts)
         chosen = live[owner]
         owner, ids = owner[chosen], ids[chosen]
         order = np.argsort(owner, kind="stable")
         owner, ids = owner[order], ids[order]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]]) if len(owner) else np.array([0])
-        rows = [(names[owner[a]].tobytes(), int(sizes[owner[a]]), ids[a:b].view(np.int64)) for a, b in zip(edges[:-1], edges[1:])]
+        rows = [(digests[owner[a] : owner[a] + 1].tobytes(), int(sizes[owner[a]]), ids[a:b].view(np.int64)) for a, b in zip(edges[:-1], edges[1:])]
         return pd.DataFrame(rows, columns=["digest", "n", "ids"])
 
     return shared.groupBy("bucket").applyInPandas(work, LIVE)
@@ -341,12 +342,13 @@ def near_copies(docs: DataFrame, like: Likeness = Likeness(), leader_rounds: int
 
     # The row that names a component: smallest doc_id, null last, then smallest key.
     name = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY))
-    classes = sets.where("n_shingles > 0").groupBy("digest").agg(name.alias("first"))
-    member = numbered.select("set", "digest").join(labels, "set").join(classes, "digest")
+    same = ["digest", "n_shingles"]
+    classes = sets.where("n_shingles > 0").groupBy(*same).agg(name.alias("first"))
+    member = numbered.select("set", "digest", F.col("n").alias("n_shingles")).join(labels, "set").join(classes, same)
     least = member.groupBy("comp").agg(F.min("first").alias("least"))
-    linked = member.join(least, "comp").select("digest", "least")
-    classes = written(classes.join(linked, "digest", "left").select("digest", F.coalesce("least", "first").alias("first")), "classes")
-    full = sets.where("n_shingles > 0").join(classes, "digest")
+    linked = member.join(least, "comp").select(*same, "least")
+    classes = written(classes.join(linked, same, "left").select(*same, F.coalesce("least", "first").alias("first")), "classes")
+    full = sets.where("n_shingles > 0").join(classes, same)
     full = full.select(KEY, "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("first")[KEY].alias("component_key"))
     empty = sets.where("n_shingles = 0").select(KEY, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col(KEY).alias("component_key"))
     return full.unionAll(empty)
