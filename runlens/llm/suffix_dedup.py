@@ -30,8 +30,8 @@ from runlens.llm.planes import mixed, packed, slice_of, unpacked
 LENGTH = 100
 GRAM = 16
 SEGMENT = 1 << 20
-POSTINGS_PER_BLOB = 1_000_000
-POSTINGS_PER_SLICE = 1_000_000
+POSTINGS_PER_BLOB = 500_000
+POSTINGS_PER_SLICE = 500_000
 PIECES_PER_SHARD = 60_000
 # Rows of one anchor from which its windows are dealt one by one.
 COMMON = 5_000
@@ -70,7 +70,8 @@ def runs_of(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndar
         order = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
         owner = (sliding_least(order, width) & place).astype(np.int64)
         starts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
-        yield base + starts, np.diff(np.concatenate([starts, [len(owner)]])), hashes[owner[starts]]
+        # Least hashes are small ones; mixed again they spread evenly over the slices.
+        yield base + starts, np.diff(np.concatenate([starts, [len(owner)]])), mixed(hashes[owner[starts]])
 
 
 POSTINGS = "slice bigint, hashes binary, base bigint, keys binary, starts binary, windows binary"
@@ -189,7 +190,7 @@ def pieces(suspects: DataFrame, length: int, shards: int) -> DataFrame:
                             held += add(name, key, start + i, 1, data[start + i : start + i + length])
                     else:
                         held += add(run["anchor"], key, start, windows, data[start : start + windows + length - 1])
-                if held > 48 << 20:
+                if held > 32 << 20:
                     yield flush()
                     kept, gone, held = {}, [], 0
         yield flush()
