@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from runlens.session import checkpointed, hot_rows
 
-MAX_SLICES = 4096  # a power of two
+MAX_SLICES = 1 << 16  # a power of two; beyond 65 billion rows of one key slices grow
 SAMPLES_PER_SLICE = 16
 
 
