@@ -28,6 +28,7 @@ from runlens.llm.induced import suffix_order
 from runlens.llm.planes import mixed, packed, slice_of, unpacked
 
 LENGTH = 100
+RUNS = ("start", "windows", "anchor", "common")
 GRAM = 16
 SEGMENT = 1 << 20
 POSTINGS_PER_BLOB = 500_000
@@ -180,16 +181,15 @@ def pieces(suspects: DataFrame, length: int, shards: int) -> DataFrame:
             return 50
 
         for batch in batches:
-            for key, text, runs in zip(batch[KEY], batch["text"], batch["runs"]):
+            for key, text, *runs in zip(batch[KEY], batch["text"], *(batch[c] for c in RUNS)):
                 data = text.encode("utf-8", "surrogatepass")
-                for run in runs:
-                    start, windows = run["start"], run["windows"]
-                    if run["common"]:
+                for start, windows, anchor, common in zip(*(r.tolist() for r in runs)):
+                    if common:
                         part = np.frombuffer(data, dtype=np.uint8, count=windows + length - 1, offset=start)
                         for i, name in enumerate(window_hashes(part, windows, length).view(np.int64).tolist()):
                             held += add(name, key, start + i, 1, data[start + i : start + i + length])
                     else:
-                        held += add(run["anchor"], key, start, windows, data[start : start + windows + length - 1])
+                        held += add(anchor, key, start, windows, data[start : start + windows + length - 1])
                 if held > 32 << 20:
                     yield flush()
                     kept, gone, held = {}, [], 0
@@ -251,10 +251,10 @@ def repeated_windows(packed_pieces: DataFrame, length: int) -> DataFrame:
     return packed_pieces.groupBy("shard").applyInPandas(work, f"{KEY} bigint, start bigint, last bigint")
 
 
-def removed(text: bytes, runs: list, length: int) -> tuple[list[tuple[int, int]], bytes]:
-    """The maximal removed runs of bytes (begin, end), and the bytes that stay."""
+def removed(text: bytes, runs: list[tuple[int, int]], length: int) -> tuple[list[tuple[int, int]], bytes]:
+    """The maximal removed runs of bytes (begin, end), and the bytes that stay; `runs` of windows in order."""
     spans: list[tuple[int, int]] = []
-    for start, last in sorted((r["start"], r["last"]) for r in runs):
+    for start, last in runs:
         if spans and start <= spans[-1][1]:
             spans[-1] = (spans[-1][0], max(spans[-1][1], last + length))
         else:
@@ -289,19 +289,21 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, common: int = COMMON) ->
     # A run has about 43 windows, so a slice gets about POSTINGS_PER_SLICE anchors.
     runs = written(repeated_runs(anchor_postings(rows.select(KEY, "text"), length, slices), common), "runs")
     shards = max(1, -(-runs.count() // PIECES_PER_SHARD))
-    own = runs.groupBy(KEY).agg(F.collect_list(F.struct("start", "windows", "anchor", "common")).alias("runs"))
+    # A row's runs as arrays side by side: the text's own length bounds them.
+    own = runs.groupBy(KEY).agg(F.collect_list(F.struct(*RUNS)).alias("runs")).select(KEY, *[F.col(f"runs.{c}").alias(c) for c in RUNS])
     suspects = written(rows.select(KEY, "text").join(own.hint("merge"), KEY), "suspects")
     cut = written(pieces(suspects, length, shards), "pieces")
     found = repeated_windows(cut.where("shard is not null"), length).unionAll(
         cut.where("shard is null").select(KEY, "start", "last"))
     again = found.groupBy(KEY).agg(F.collect_list(F.struct("start", "last")).alias("found"))
+    again = again.select(KEY, F.col("found.start").alias("starts"), F.col("found.last").alias("lasts"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows_ = []
-            for key, text, runs_ in zip(batch[KEY], batch["text"], batch["found"]):
+            for key, text, starts, lasts in zip(batch[KEY], batch["text"], batch["starts"], batch["lasts"]):
                 data = text.encode("utf-8", "surrogatepass")
-                spans, kept = removed(data, list(runs_), length)
+                spans, kept = removed(data, sorted(zip(starts.tolist(), lasts.tolist())), length)
                 rows_.append((key, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
                               [{"begin": a, "end": b} for a, b in spans]))
             yield pd.DataFrame(rows_, columns=[KEY, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
