@@ -33,7 +33,8 @@ GRAM = 16
 SEGMENT = 1 << 20
 POSTINGS_PER_BLOB = 500_000
 POSTINGS_PER_SLICE = 500_000
-PIECES_PER_SHARD = 60_000
+# Text per shard; pieces are at most three to four times the repeated text.
+BYTES_PER_SHARD = 12 << 20
 # Rows of one anchor from which its windows are dealt one by one.
 COMMON = 5_000
 # Anchors go by the upper 56 bits of their hash.
@@ -130,7 +131,7 @@ def repeated_runs(blobs: DataFrame, common: int) -> DataFrame:
     return blobs.groupBy("slice").applyInPandas(work, f"{KEY} bigint, start bigint, windows int, anchor bigint, common boolean")
 
 
-PIECES = f"shard bigint, anchors binary, keys binary, starts binary, windows binary, bytes binary, {KEY} bigint, start bigint, last bigint"
+PIECES = "shard bigint, anchors binary, keys binary, starts binary, windows binary, bytes binary"
 
 
 def window_hashes(data: np.ndarray, count: int, length: int) -> np.ndarray:
@@ -142,7 +143,7 @@ def window_hashes(data: np.ndarray, count: int, length: int) -> np.ndarray:
 
 
 def pieces(suspects: DataFrame, length: int, shards: int) -> DataFrame:
-    """Packed pieces by shard, and as rows of their own the runs of windows (KEY, start, last) that a
+    """Packed pieces by shard; without bytes, for any shard to pass on, the runs of windows that a
     piece of the same task repeats."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,6 +153,11 @@ def pieces(suspects: DataFrame, length: int, shards: int) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             rows = []
+
+            def row(shard, anchors, keys, starts, windows, content) -> None:
+                rows.append({"shard": int(shard), "anchors": packed(anchors, 8), "keys": packed(keys, 8),
+                             "starts": packed(starts, 5), "windows": packed(windows, 3), "bytes": content})
+
             if kept:
                 anchors = np.array([v[0] for v in kept.values()], dtype=np.int64).view(np.uint64)
                 shard = slice_of(mixed(anchors), shards).astype(np.int64)
@@ -161,13 +167,12 @@ def pieces(suspects: DataFrame, length: int, shards: int) -> DataFrame:
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]])
                 for a, b in zip(edges[:-1], edges[1:]):
                     at = order[a:b]
-                    rows.append({"shard": int(shard[at[0]]), "anchors": packed(anchors[at], 8), "keys": packed(keys[at], 8),
-                                 "starts": packed(starts[at], 5), "windows": packed(windows[at], 3),
-                                 "bytes": b"".join([contents[i] for i in at])})
-            lost = pd.DataFrame(gone, columns=[KEY, "start", "last"])
-            return pd.concat([pd.DataFrame(rows, columns=["shard", "anchors", "keys", "starts", "windows", "bytes"]), lost])[
-                ["shard", "anchors", "keys", "starts", "windows", "bytes", KEY, "start", "last"]].astype(
-                {"shard": "Int64", KEY: "Int64", "start": "Int64", "last": "Int64"})
+                    row(shard[at[0]], anchors[at], keys[at], starts[at], windows[at], b"".join([contents[i] for i in at]))
+            if gone:
+                lost = np.array(gone, dtype=np.int64)
+                for i, part in enumerate(np.array_split(lost, max(1, len(lost) // 10_000))):
+                    row((int(lost[0, 0]) + i) % shards, np.zeros(len(part), np.uint64), *(part[:, j].astype(np.uint64) for j in range(3)), b"")
+            return pd.DataFrame(rows, columns=["shard", "anchors", "keys", "starts", "windows", "bytes"])
 
         def add(anchor: int, key: int, start: int, windows: int, content: bytes) -> int:
             old = kept.get(content)
@@ -177,7 +182,7 @@ def pieces(suspects: DataFrame, length: int, shards: int) -> DataFrame:
             if (key, start) < (old[1], old[2]):
                 kept[content] = (anchor, key, start, windows)
                 key, start = old[1], old[2]
-            gone.append((key, start, start + windows - 1))
+            gone.append((key, start, windows))
             return 50
 
         for batch in batches:
@@ -202,10 +207,19 @@ def repeated_windows(packed_pieces: DataFrame, length: int) -> DataFrame:
     """KEY, start, last: runs of windows that begin earlier too, found shard by shard in suffix order."""
 
     def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        anchors = np.concatenate([unpacked(b, 8) for b in part["anchors"]])
-        keys = np.concatenate([unpacked(b, 8) for b in part["keys"]]).astype(np.int64)
-        starts = np.concatenate([unpacked(b, 5) for b in part["starts"]]).astype(np.int64)
-        windows = np.concatenate([unpacked(b, 3) for b in part["windows"]]).astype(np.int64)
+        known = part["bytes"].map(len) == 0
+
+        def numbers(rows: pd.DataFrame, column: str, width: int) -> np.ndarray:
+            return np.concatenate([np.zeros(0, np.uint64), *[unpacked(b, width) for b in rows[column]]])
+
+        out = []
+        first, count = numbers(part[known], "starts", 5).astype(np.int64), numbers(part[known], "windows", 3).astype(np.int64)
+        out.append((numbers(part[known], "keys", 8).astype(np.int64), first, first + count - 1))
+        part = part[~known]
+        anchors = numbers(part, "anchors", 8)
+        keys = numbers(part, "keys", 8).astype(np.int64)
+        starts = numbers(part, "starts", 5).astype(np.int64)
+        windows = numbers(part, "windows", 3).astype(np.int64)
         data = b"".join(part["bytes"])
         sizes = windows + length - 1
         offsets = np.cumsum(sizes) - sizes
@@ -221,7 +235,8 @@ def repeated_windows(packed_pieces: DataFrame, length: int) -> DataFrame:
         # An anchor with one piece left has nothing to compare.
         _, number, times = np.unique(anchors[left], return_inverse=True, return_counts=True)
         left = left[times[number] > 1]
-        out = [(keys[gone], starts[gone], starts[gone] + windows[gone] - 1)] if gone else []
+        if gone:
+            out.append((keys[gone], starts[gone], starts[gone] + windows[gone] - 1))
         if len(left):
             text = np.frombuffer(b"".join([data[offsets[i] : offsets[i] + sizes[i]] for i in left.tolist()]), dtype=np.uint8)
             owner = np.repeat(np.arange(len(left)), sizes[left])
@@ -245,7 +260,7 @@ def repeated_windows(packed_pieces: DataFrame, length: int) -> DataFrame:
                 begin = np.flatnonzero(new)
                 end = np.concatenate([begin[1:], [len(row)]]) - 1
                 out.append((row[begin], place[begin], place[end]))
-        columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
+        columns = [np.concatenate([o[i] for o in out]) for i in range(3)]
         return pd.DataFrame(dict(zip((KEY, "start", "last"), columns)))
 
     return packed_pieces.groupBy("shard").applyInPandas(work, f"{KEY} bigint, start bigint, last bigint")
@@ -287,14 +302,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, common: int = COMMON) ->
     total = whole.agg(F.sum("n_bytes")).first()[0] or 0
     slices = max(1, -(-total // (40 * POSTINGS_PER_SLICE)))
     # A run has about 43 windows, so a slice gets about POSTINGS_PER_SLICE anchors.
-    runs = written(repeated_runs(anchor_postings(rows.select(KEY, "text"), length, slices), common), "runs")
-    shards = max(1, -(-runs.count() // PIECES_PER_SHARD))
+    runs = repeated_runs(anchor_postings(rows.select(KEY, "text"), length, slices), common)
+    shards = max(1, -(-total // BYTES_PER_SHARD))
     # A row's runs as arrays side by side: the text's own length bounds them.
     own = runs.groupBy(KEY).agg(F.collect_list(F.struct(*RUNS)).alias("runs")).select(KEY, *[F.col(f"runs.{c}").alias(c) for c in RUNS])
     suspects = written(rows.select(KEY, "text").join(own.hint("merge"), KEY), "suspects")
-    cut = written(pieces(suspects, length, shards), "pieces")
-    found = repeated_windows(cut.where("shard is not null"), length).unionAll(
-        cut.where("shard is null").select(KEY, "start", "last"))
+    found = repeated_windows(pieces(suspects, length, shards), length)
     again = found.groupBy(KEY).agg(F.collect_list(F.struct("start", "last")).alias("found"))
     again = again.select(KEY, F.col("found.start").alias("starts"), F.col("found.last").alias("lasts"))
 

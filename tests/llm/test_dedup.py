@@ -82,7 +82,7 @@ def removed_by_force(texts, length=100):
 @pytest.mark.parametrize("common", [2, 5000])
 def test_suffix_windows(docs, monkeypatch, common):
     monkeypatch.setattr(suffix, "POSTINGS_PER_SLICE", 50)
-    monkeypatch.setattr(suffix, "PIECES_PER_SHARD", 20)
+    monkeypatch.setattr(suffix, "BYTES_PER_SHARD", 4000)
     rng = random.Random(1)
     passage = "".join(rng.choice("abcde ") for _ in range(300))
     texts = {i: "".join(rng.choice("abc é") for _ in range(rng.randrange(0, 900))) for i in range(40)}
