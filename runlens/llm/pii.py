@@ -9,6 +9,7 @@ who holds the key can turn them back.
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 KEY = b"a key that is not a secret: pass your own"
 DAY_0, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900-01-01 to 2099-12-31
+# Ten digits that can be a number of the North American plan: area and exchange begin with 2 to 9.
+NATIONAL = re.compile(r"[2-9]\d\d[2-9]\d{6}")
 
 
 class Feistel:
@@ -61,6 +64,31 @@ def check_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def date_class(day: datetime.date) -> tuple[int, bool]:
+    """What the way a date is written may depend on: whether day and month take one digit, and whether
+    the day could be a month. Dates permute inside a class, so a pseudonym is read as its value was."""
+    return (0 if day.day < 10 else 1 if day.day <= 12 else 2), day.month < 10
+
+
+@functools.cache
+def dates_by_class() -> dict[tuple[int, bool], dict[int, int]]:
+    """Per class its days, each with its place."""
+    classes: dict[tuple[int, bool], dict[int, int]] = {}
+    for number in range(DAY_0, DAY_0 + DAYS):
+        members = classes.setdefault(date_class(datetime.date.fromordinal(number)), {})
+        members[number] = len(members)
+    return classes
+
+
+@functools.cache
+def days_of(name: tuple[int, bool]) -> list[int]:
+    return list(dates_by_class()[name])
+
+
+def is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and check_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
 def spread(template: str, characters: str, fits: Callable[[str], bool]) -> str:
     """`template` with its characters that fit replaced, in order; the others stay in their places."""
     new = iter(characters)
@@ -90,15 +118,34 @@ class Pseudonyms:
 
     def card(self, found: str) -> str | None:
         digits = re.sub(r"\D", "", found)
-        if not 13 <= len(digits) <= 19 or check_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+        if not is_card(digits):
             return None
         body = self.digits("card", digits[:-1])
         return spread(found, body + check_digit(body), str.isdigit)
 
+    def local(self, digits: str) -> str:
+        """The last ten digits of a number: those that can stand without separators permute among themselves,
+        the others too."""
+        area, exchange, rest = int(digits[0]), int(digits[3]), int(digits[1:3] + digits[4:])
+        if NATIONAL.fullmatch(digits):
+            value = self.feistel.permute("phone", 64 * 10**8, ((area - 2) * 8 + exchange - 2) * 10**8 + rest, self.back)
+            first, rest = divmod(value, 10**8)
+            area, exchange = first // 8 + 2, first % 8 + 2
+        else:
+            pairs = [(a, e) for a in range(10) for e in range(10) if a < 2 or e < 2]
+            value = self.feistel.permute("phone-other", len(pairs) * 10**8, pairs.index((area, exchange)) * 10**8 + rest, self.back)
+            first, rest = divmod(value, 10**8)
+            area, exchange = pairs[first]
+        tail = f"{rest:08d}"
+        return f"{area}{tail[:2]}{exchange}{tail[2:]}"
+
     def phone(self, found: str) -> str | None:
+        """What is before the last ten digits stays; of a shorter international number the first three."""
         digits = re.sub(r"\D", "", found)
-        local = digits[-10:]
-        return spread(found, digits[:-10] + self.digits("phone", local), str.isdigit) if len(digits) >= 10 else None
+        if not (8 if found[0] == "+" else 10) <= len(digits) <= 15:
+            return None
+        new = digits[:-10] + self.local(digits[-10:]) if len(digits) > 10 or found[0] != "+" else digits[:3] + self.digits("phone", digits[3:])
+        return spread(found, new, str.isdigit)
 
     def social(self, found: str) -> str | None:
         digits = re.sub(r"\D", "", found)
@@ -120,15 +167,28 @@ class Pseudonyms:
         return ".".join(str(p) for p in value.to_bytes(4))
 
     def date(self, found: str) -> str | None:
-        year, month, day = (int(p) for p in re.split(r"\D", found))
+        """Year first; or year last, and then day first with points or where only that is a date, else month first."""
+        parts = re.split(r"\D", found)
+        order = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0) if "." in found or int(parts[0]) > 12 else (2, 0, 1)
         try:
-            value = datetime.date(year, month, day).toordinal() - DAY_0
+            value = datetime.date(*(int(parts[i]) for i in order))
         except ValueError:
+            if "." not in found or order == (0, 1, 2) or int(parts[1]) <= 12:
+                return None
+            # With points too, a month of more than twelve is the day.
+            order = (2, 0, 1)
+            try:
+                value = datetime.date(*(int(parts[i]) for i in order))
+            except ValueError:
+                return None
+        if not 0 <= value.toordinal() - DAY_0 < DAYS:
             return None
-        if not 0 <= value < DAYS:
-            return None
-        new = datetime.date.fromordinal(self.feistel.permute("date", DAYS, value, self.back) + DAY_0)
-        return spread(found, f"{new.year:04d}{new.month:02d}{new.day:02d}", str.isdigit)
+        name = date_class(value)
+        members = days_of(name)
+        at = self.feistel.permute(f"date{name}", len(members), dates_by_class()[name][value.toordinal()], self.back)
+        new = datetime.date.fromordinal(members[at])
+        written = dict(zip(order, (new.year, new.month, new.day)))
+        return spread(found, "".join(f"{written[i]:0{len(part)}d}" for i, part in enumerate(parts)), str.isdigit)
 
     def account(self, found: str) -> str | None:
         """An international account number with right check digits: those behind the country permute."""
@@ -154,44 +214,98 @@ class Pseudonyms:
         return self.letters("secret", found, "0123456789abcdef")
 
 
-# What is looked for, in order of precedence where two begin at the same place.
+# What is looked for, in order of precedence where two begin at the same place; cards in what is then left.
 PATTERNS = {
     "mail": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "key_id": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?<=[=:\"' ])(?<![0-9a-f])(?=[a-f]*[0-9])(?:[0-9a-f]{40}|(?<=password=)[0-9a-f]{12,64}|[0-9a-f]{32}|[0-9a-f]{64})(?![0-9A-Za-z])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "address": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
-    "date": r"(?<![\d/.-])(?:19|20)\d\d([-/.])\d\d\1\d\d(?![\d]|[-/.]\d)",
+    "date": r"(?<![\d/.-])(?:(?:19|20)\d\d(?P<sep>[-/.])\d\d(?P=sep)\d\d|\d{1,2}(?P<by>[-/.])\d{1,2}(?P=by)(?:19|20)\d\d)(?![\d]|[-/.]\d)",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d])",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|-\d)",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+[1-9]\d{7,14}(?!\d)"
+             r"|\+[1-9]\d{0,6}(?:(?:[ .-]|[ .-]?\(\d{1,4}\)[ .-]?)\d{1,14}){1,6}(?!\d)|(?<!\d[.,-])[2-9]\d\d[2-9]\d{6}(?!\w|[.,-]\d))",
 }
-ANY = "|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()).replace(r"([-/.])\d\d\1", r"(?P<sep>[-/.])\d\d(?P=sep)")
+EACH = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
 KINDS = tuple(PATTERNS)
+RUN, GROUP = re.compile(r"(?<!\d)(?<!\d\.)\d(?:[ -]?\d){12,}"), re.compile(r"\d+")
+WAYS = ((4, 4, 4, 4), (4, 6, 5))  # how cards are grouped
 REMEMBERED = 200_000
 
 
+def cards(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Where the cards are between two places: of neighbouring groups of digits, any that together are a card.
+
+    Of those that overlap, one unbroken group goes first, then the usual ways of grouping, then the longest:
+    what is beside a card, such as its expiry or code, mostly does not decide what is taken for it.
+    """
+    for run in RUN.finditer(text, start, end):
+        groups = [m.span() for m in GROUP.finditer(text, *run.span())]
+        tried = []
+        for i in range(len(groups)):
+            sizes: list[int] = []
+            for a, b in groups[i:i + 19]:
+                sizes.append(b - a)
+                if sum(sizes) > 19:
+                    break
+                if sum(sizes) >= 13:
+                    usual = tuple(sizes) in WAYS and len(set(re.findall(r"[ -]", text[groups[i][0]:b]))) == 1
+                    rank = 0 if len(sizes) == 1 else 1 if usual else 2
+                    tried.append((rank, -sum(sizes), i, i + len(sizes)))
+        taken: set[int] = set()
+        for _, _, i, j in sorted(tried):
+            a, b = groups[i][0], groups[j - 1][1]
+            if taken.isdisjoint(range(i, j)) and is_card(re.sub(r"\D", "", text[a:b])):
+                taken.update(range(i, j))
+                yield a, b
+
+
+def shorter(kind: str, found: str) -> Iterator[str]:
+    """What is to be tried for a match: itself, and a number of a country without its last groups."""
+    yield found
+    while kind == "phone" and found[0] == "+" and (cut := re.search(r"[ .()-]+\d+$", found)):
+        found = found[:cut.start()]
+        yield found
+
+
 def scrubber(key: bytes, back: bool = False) -> Callable[[str], tuple[str, list[tuple[str, int, int]]]]:
     """text -> (text with pseudonyms, [(kind, start, length) of each]), with a memory of values."""
-    pattern, names, known = re.compile(ANY), Pseudonyms(key, back), {}
+    names, known = Pseudonyms(key, back), {}
+
+    def pseudonym(kind: str, found: str) -> str | None:
+        if (kind, found) not in known:
+            if len(known) > REMEMBERED:
+                known.clear()
+            known[kind, found] = getattr(names, kind)(found)
+        return known[kind, found]
+
+    def at(text: str, match: re.Match) -> tuple[str, int, str, str] | None:
+        """The first kind that has a valid value where a match begins: kind, start, value, pseudonym."""
+        start = match.start()
+        for kind in KINDS[KINDS.index(match.lastgroup):]:
+            own = match if kind == match.lastgroup else EACH[kind].match(text, start)
+            for found in shorter(kind, own[0]) if own else ():
+                if (new := pseudonym(kind, found)) is not None:
+                    return kind, start, found, new
+        return None
 
     def scrub(text: str) -> tuple[str, list[tuple[str, int, int]]]:
-        spans: list[tuple[str, int, int]] = []
-
-        def replace(match: re.Match) -> str:
-            kind = next(k for k in KINDS if match.group(k) is not None)
-            found = match[0]
-            if (kind, found) not in known:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                known[kind, found] = getattr(names, kind)(found)
-            new = known[kind, found]
-            if new is None:
-                return found
-            spans.append((kind, match.start(), len(found)))
-            return new
-
-        return pattern.sub(replace, text), spans
+        values, place, upto = [], 0, 0
+        # What is not valid is passed by one character only: something else may begin inside.
+        while match := ANY.search(text, place):
+            value = at(text, match)
+            place = match.start() + 1
+            if value is not None:
+                values += [("card", a, text[a:b], pseudonym("card", text[a:b])) for a, b in cards(text, upto, value[1])]
+                values.append(value)
+                place = upto = value[1] + len(value[2])
+        values += [("card", a, text[a:b], pseudonym("card", text[a:b])) for a, b in cards(text, upto, len(text))]
+        out, upto = [], 0
+        for _, start, found, new in sorted(values, key=lambda v: v[1]):
+            out += [text[upto:start], new]
+            upto = start + len(found)
+        return "".join([*out, text[upto:]]), [(kind, start, len(found)) for kind, start, found, _ in sorted(values, key=lambda v: v[1])]
 
     return scrub
 
@@ -203,9 +317,11 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataF
     """doc_id, text, n_found and spans (kind, start, length in the input) of every row of `docs`.
 
     Values that look like a format but are not valid in it, such as a card number with a wrong check
-    digit, stay. Null texts stay null, with nothing found; texts without a digit or an @ stay
+    digit, stay. Dates are written year first, day first or month first; where both may be meant, with points the day
+    is first. Phones are those of ten digits with or without separators, and any with a plus. Null texts stay null, with nothing found; texts without a digit or an @ stay
     as they are. Texts are read whole; repeated rows get the same result each; an empty table gives
-    no row. With `back` and the same key the values found are turned back.
+    no row. With `back` and the same key the values found are turned back; a card that overlaps other digits in
+    no usual grouping may then be taken for another one in one of ten cases.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,6 @@
 """Rules, mixing, packing, personal data and the pipeline against brute force."""
 
+import datetime
 import math
 import re
 import zlib
@@ -13,7 +14,7 @@ import corpus_pipeline
 from runlens.llm.common import documents, labels
 from runlens.llm.mixing import mix, mixed
 from runlens.llm.packing import Encoder, pack, plan, tokenizer_path
-from runlens.llm.pii import KEY, Feistel, check_digit, pseudonymise, scrubber
+from runlens.llm.pii import DAY_0, DAYS, KEY, Feistel, Pseudonyms, check_digit, pseudonymise, scrubber
 from runlens.llm.rules import Risk, binomial_tail, certify, good_documents, judge, labelled, measured
 from tests.llm.conftest import ODD, rows_of
 
@@ -148,6 +149,64 @@ def test_pseudonyms():
     assert scrubber(b"other")(TEXT)[0] != new
 
 
+def cards_by_force(text):
+    """Every stretch from one separator to another whose 13 to 19 digits are a card."""
+    found = []
+    for a, b in [(a, b) for a in range(len(text)) for b in range(a + 13, len(text) + 1)]:
+        part = text[a:b]
+        if re.fullmatch(r"\d(?:[ -]?\d){12,18}", part) and not text[b:b + 1].isdigit() and not (a and text[a - 1].isdigit()):
+            digits = re.sub(r"\D", "", part)
+            if check_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1:
+                found.append((a, b))
+    return found
+
+
+CARD_TEXTS = ["4111111111111111 12/25", "4111 1111 1111 1111 123", "order 12 4111111111111111", "ids 4111111111111111 5 items",
+              "1234 5678 4111 1111 1111 1111", "12-4111111111111111-7", "3782 822463 10005 1234 4111-1111-1111-1111 99",
+              "4111111111111111 555-123-4567", "555-123-4567 4111 1111 1111 1111", "1 2 3 4 5 6 7 8 9 4111111111111111"]
+
+
+def test_cards_beside_other_digits_are_found():
+    rng = np.random.default_rng(5)
+    texts = list(CARD_TEXTS)
+    for _ in range(200):
+        body = "".join(map(str, rng.integers(0, 10, 15)))
+        card = body + check_digit(body)
+        shown = card if rng.random() < 0.5 else " ".join(card[i : i + 4] for i in range(0, 16, 4))
+        texts.append(f"n {rng.integers(0, 1000)} {shown} {rng.integers(0, 1000)} x")
+    for text in texts:
+        new, spans = scrubber(KEY)(text)
+        held = [(s, s + n) for _, s, n in spans]
+        wanted = cards_by_force(text)
+        assert wanted and all(any(a < z and s < b for s, z in held) for a, b in wanted), text
+        assert all((s, s + n) in wanted for k, s, n in spans if k == "card"), text
+        assert scrubber(KEY, back=True)(new) == (text, spans), text
+
+
+def test_dates_and_phones_in_other_forms():
+    same = scrubber(KEY)
+    for text in ("28/02/1987", "28.02.1987", "02/28/1987", "02.28.1987", "3/4/1987", "28-2-1987", "1987/02/28"):
+        new, spans = same(f"born {text}, x")
+        assert spans == [("date", 5, len(text))] and len(new) == len(text) + 8, text
+        assert scrubber(KEY, back=True)(new)[0] == f"born {text}, x"
+    day = re.split(r"\D", same("28/02/1987")[0])
+    assert same("1987-02-28")[0] == "-".join(reversed(day)) and same("02/28/1987")[0] == "/".join((day[1], day[0], day[2]))
+    for text in ("9885552485", "+442079460958", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+45 12 34 56 78", "+49.89.12345678"):
+        new, spans = same(f"call {text}.")
+        assert spans == [("phone", 5, len(text))], text
+        assert scrubber(KEY, back=True)(new)[0] == f"call {text}."
+    assert same("9885552485")[0] == re.sub(r"\D", "", same("(988) 555-2485")[0])
+    for text in ("30/02/1987", "13/13/1987", "1700000000", "12345678", "+1", "v 2.3.4", "at 31.12."):
+        assert same(text) == (text, []), text
+
+
+def test_dates_permute_within_a_class():
+    names = Pseudonyms(KEY)
+    days = [datetime.date.fromordinal(DAY_0 + i) for i in range(0, DAYS, 37)]
+    new = [names.date(d.isoformat()) for d in days]
+    assert len(set(new)) == len(days) and all(Pseudonyms(KEY, back=True).date(n) == d.isoformat() for n, d in zip(new, days))
+
+
 def test_pseudonymise_rows(odd, docs, spark):
     got = pseudonymise(odd)
     assert rows_of(got, "doc_id", "text") == rows_of(odd, "doc_id", "text")
