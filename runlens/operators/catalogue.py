@@ -35,25 +35,33 @@ def stop_points(tools: DataFrame, calls: DataFrame) -> DataFrame:
     A callee's own points come before the call; a tool already open on the branch is not
     entered again. `calls` has (caller, pos, callee, is_call).
     """
-    spark = tools.sparkSession
     known = tools.select("tool", F.lit(True).alias("_known"))
     entered = calls.join(known.withColumnRenamed("tool", "callee"), "callee", "left").select(
         "caller", "pos", "callee", (F.col("is_call") & F.col("_known").isNotNull()).alias("enters"))
-    # A path grows by one call a level; its place ends in a high mark while it is compared,
-    # so that what lies inside a call sorts before the call itself.
-    walked = spark.sql(
-        """WITH RECURSIVE walk AS (
-             SELECT caller AS tool, callee AS last, callee AS point, array(pos) AS place, array(caller) AS open, enters
-             FROM {calls} WHERE starts
-             UNION ALL
-             SELECT w.tool, c.callee, concat(w.point, '/', c.callee), array_append(w.place, c.pos),
-                    array_append(w.open, w.last), c.enters AND NOT array_contains(w.open, c.callee) AND c.callee <> w.last
-             FROM walk w JOIN {calls} c ON c.caller = w.last
-             WHERE w.enters)
-           SELECT tool, point, last, array_append(place, 2147483647) AS place FROM walk""",
-        calls=checkpointed(entered.join(known.withColumnRenamed("tool", "caller"), "caller", "left").select(
-            "caller", "pos", "callee", (F.col("enters") & (F.col("caller") != F.col("callee"))).alias("enters"),
-            F.col("_known").isNotNull().alias("starts"))))
+    edges = checkpointed(entered.join(known.withColumnRenamed("tool", "caller"), "caller", "left").select(
+        "caller", "pos", "callee", (F.col("enters") & (F.col("caller") != F.col("callee"))).alias("enters"),
+        F.col("_known").isNotNull().alias("starts")))
+    # One level a round: a path grows by one call, until no path enters another tool.
+    level = checkpointed(edges.filter("starts").select(
+        F.col("caller").alias("tool"), F.col("callee").alias("last"), F.col("callee").alias("point"),
+        F.array("pos").alias("place"), F.array("caller").alias("open"), "enters"))
+    steps = edges.select(F.col("caller").alias("last"), F.col("pos").alias("_pos"), F.col("callee").alias("_callee"), F.col("enters").alias("_enters"))
+    levels = []
+    while True:
+        levels.append(level.select("tool", "point", "last", "place"))
+        inside = level.filter("enters")
+        if inside.isEmpty():
+            break
+        opened = F.array_append("open", F.col("last"))
+        level = checkpointed(inside.join(steps, "last").select(
+            "tool", F.col("_callee").alias("last"), F.concat("point", F.lit("/"), "_callee").alias("point"),
+            F.array_append("place", F.col("_pos")).alias("place"), opened.alias("open"),
+            (F.col("_enters") & ~F.array_contains(opened, F.col("_callee"))).alias("enters")))
+    while len(levels) > 1:
+        # In pairs, so that the plan is not as deep as the calls.
+        levels = [a.unionByName(b) for a, b in zip(levels[::2], levels[1::2])] + levels[len(levels) // 2 * 2:]
+    # A place ends in a high mark while it is compared, so that what lies inside a call sorts before the call itself.
+    walked = levels[0].withColumn("place", F.array_append("place", F.lit(2147483647)))
     return along(checkpointed(walked), ["tool"], ["place"], position=rank()).select("tool", "position", "point", "last")
 
 

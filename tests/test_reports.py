@@ -121,6 +121,14 @@ def test_points_inside_a_call_come_before_it(spark):
     assert [r["point"] for r in got] == ["B/C/A", "B/C/gone", "B/C", "B", "view"]
 
 
+def test_a_chain_of_calls_may_be_long(spark):
+    n = 130
+    tools = spark.createDataFrame([(f"t{i}",) for i in range(n)], "tool string")
+    calls = spark.createDataFrame([(f"t{i}", 1, f"t{i + 1}", True) for i in range(n)], "caller string, pos int, callee string, is_call boolean")
+    got = rows(catalogue.stop_points(tools, calls).filter("tool = 't0'"), "position")
+    assert [r["point"] for r in got] == ["/".join(f"t{i}" for i in range(1, k + 1)) for k in range(n, 0, -1)]
+
+
 def test_json_paths(spark):
     def side(text):
         return spark.createDataFrame([("x", text)], "name string, content string")
