@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
+from typing import BinaryIO
+from urllib.parse import quote
 
+import pandas as pd
+import pyarrow
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The longest array of bytes a row can hold.
 HASHED_BYTES = 2**31 - 1024
+BLOCK = 2**20
 
 
 def _relative(root: str) -> Column:
@@ -23,13 +30,44 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return found.select(_relative(root).alias("name"), F.col("length").alias("size"))
 
 
+def _opener(path: str) -> Callable[[], BinaryIO]:
+    """How to open a file that Spark listed; a store that cannot be reached from here is an error."""
+    scheme, _, rest = path.partition(":")
+    if path.startswith("/") or scheme == "file":
+        return lambda: open(path if path.startswith("/") else "/" + rest.lstrip("/"), "rb")
+    store, name = pyarrow.fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+    return lambda: store.open_input_stream(name)
+
+
+def sha256_of(path: str) -> str | None:
+    """The hash of a file read block by block; none where it cannot be read."""
+    digest, opened = hashlib.sha256(), _opener(path)
+    try:
+        with opened() as file:
+            while block := file.read(BLOCK):
+                digest.update(block)
+    except OSError:
+        return None
+    return digest.hexdigest()
+
+
+def _hash_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"name": batch["name"], "sha256": pd.Series([sha256_of(p) for p in batch["path"]], dtype=object), "size": batch["size"]})
+
+
 def file_inventory(spark: SparkSession, root: str, max_bytes: int = HASHED_BYTES) -> DataFrame:
-    """Relative name, hash and size of every file; a file too long to hold keeps its row without a hash."""
+    """Relative name, hash and size of every file.
+
+    Files of more than `max_bytes`, too long for one row, are opened by the task and hashed block by block:
+    local ones, and those in a store that Arrow knows. One that cannot be read keeps its row without a hash.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name, size = _relative(root).alias("name"), F.col("length").alias("size")
     hashed = files.filter(F.col("length") <= max_bytes).select(name, F.sha2("content", 256).alias("sha256"), size)
-    # Contents of the others are never asked for.
-    return hashed.unionByName(files.filter(F.col("length") > max_bytes).select(name, F.lit(None).cast("string").alias("sha256"), size))
+    # Contents of the others are never asked for as a column.
+    long = files.filter(F.col("length") > max_bytes).select(name, "path", size)
+    return hashed.unionByName(long.mapInPandas(_hash_long, "name string, sha256 string, size bigint"))
 
 
 def dataset_listing(spark: SparkSession, root: str, ignored: Sequence[str] = ()) -> DataFrame:

@@ -1,5 +1,7 @@
 """Worked expectations for the report, event and ledger operators."""
 
+import hashlib
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from runlens.functions import args as fa
 from runlens.operators import artifacts, benchmark, catalogue, events, ledger, series
 from runlens.operators.ordered import top_per_group
+from runlens.sources import files
 
 RECORD = ("n long, tool string, path string, status string, warmup boolean, total_seconds double, error_message string, "
           "concurrency long, window_seconds double, peak_mib map<string,long>, baseline_mib map<string,long>")
@@ -129,6 +132,21 @@ def test_a_chain_of_calls_may_be_long(spark):
     assert [r["point"] for r in got] == ["/".join(f"t{i}" for i in range(1, k + 1)) for k in range(n, 0, -1)]
 
 
+def test_files_too_long_for_a_row_have_a_hash(spark, tmp_path):
+    contents = {"left/a b%20.bin": b"x" * 3_000_000, "right/a b%20.bin": b"x" * 2_999_999 + b"y", "left/d/é#.bin": b"z" * 2000,
+                "right/d/é#.bin": b"z" * 2000, "left/short": b"s", "right/short": b"t"}
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    sides = {side: files.file_inventory(spark, f"{tmp_path}/{side}", max_bytes=1000) for side in ("left", "right")}
+    for side, found in sides.items():
+        expected = {(n.partition("/")[2], hashlib.sha256(c).hexdigest(), len(c)) for n, c in contents.items() if n.startswith(side)}
+        assert {(r["name"], r["sha256"], r["size"]) for r in rows(found)} == expected
+    status = {r["name"]: r["status"] for r in rows(artifacts.compare_artifacts(sides["left"], sides["right"]))}
+    assert status == {"a b%20.bin": "differing", "d/é#.bin": "identical", "short": "differing"}
+    assert files.sha256_of(f"{tmp_path}/none") is None
+
+
 def test_json_paths(spark):
     def side(text):
         return spark.createDataFrame([("x", text)], "name string, content string")
