@@ -1,6 +1,7 @@
 """Rules, mixing, packing, personal data and the pipeline against brute force."""
 
 import datetime
+import hashlib
 import math
 import re
 import zlib
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from runlens.llm.common import documents, labels
-from runlens.llm.mixing import mix, mixed
+from runlens.llm.mixing import MOST_PASSES, PACKET_WORDS, WEIGHTS, mix, mixed
 from runlens.llm.packing import Encoder, pack, plan, tokenizer_path
 from runlens.llm.pii import DAY_0, DAYS, KEY, Feistel, Pseudonyms, check_digit, pseudonymise, scrubber
-from runlens.llm.rules import Risk, binomial_tail, certify, good_documents, judge, labelled, measured
+from runlens.llm.rules import GRIDS, Risk, binomial_tail, certify, good_documents, judge, labelled, measured
 from tests.llm.conftest import ODD, rows_of
 
 SMALL = "/root/testdata/sf0.001"
@@ -230,3 +231,115 @@ def test_pipeline(spark):
     assert result.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert result.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).where("n != m or n > 2048").count() == 0
     assert {r[0] for r in result.select("doc_id").distinct().collect()} <= set(best.values())
+
+
+def kept_by_force(texts, good):
+    """Ids that the base rules and the cutoffs leave, each cutoff by the sum of exact binomial terms."""
+    risk = Risk()
+    allowed, level = risk.false_rejection / len(GRIDS), (1 - risk.confidence) / (len(GRIDS) * (len(risk.bands) + 1))
+    facts = {}
+    for i, text in texts.items():
+        n, chars, symbols, dup, _, failed = base_by_force(text)
+        lines = sum(bool(WORD.search(line)) for line in text.split("\n"))
+        share = lambda a, b: a / b if b else 0.0
+        facts[i] = (failed, sum(n >= edge for edge in risk.bands), {
+            "symbol_share": share(symbols, chars), "dup_line_share": share(dup, lines), "same_word_share": 1 - share(len(set(WORD.findall(text))), n),
+            "word_length": share(chars, n), "upper_share": share(sum("A" <= c <= "Z" for c in text), chars)})
+    cutoffs = []
+    for band in range(len(risk.bands) + 1):
+        held = [m for i, (failed, b, m) in facts.items() if i in good and b == band and not failed]
+        for rule, grid in GRIDS.items():
+            for cutoff in grid:
+                k = sum(m[rule] > cutoff for m in held)
+                tail = sum(math.comb(len(held), j) * allowed**j * (1 - allowed) ** (len(held) - j) for j in range(k + 1))
+                if k >= len(held) * allowed or tail > level:
+                    break
+                cutoffs.append((band, rule, cutoff))
+    return {i for i, (failed, b, m) in facts.items() if not failed and not any(b == band and m[rule] > cutoff for band, rule, cutoff in cutoffs)}
+
+
+def one_of_each_by_force(texts, n, percent):
+    sets = {}
+    for i, text in texts.items():
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        sets[i] = {tuple(words[j : j + n]) for j in range(max(1, len(words) - n + 1))} if words else set()
+    group = {i: i for i in sets}
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    return {i for i in ids if group[i] == i}
+
+
+def mixed_by_force(texts, sources):
+    """(id, text) of every row that the packets in order of their finish make."""
+    words = {i: WORD.findall(t) for i, t in texts.items()}
+    order = sorted(set(sources[i] for i in texts), key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: WEIGHTS[k % len(WEIGHTS)] for k, s in enumerate(order)}
+    size = {s: sum(len(words[i]) for i in texts if sources[i] == s) for s in order}
+    total, level = sum(size.values()), sum(size.values()) / sum(weight.values())
+    for _ in range(50):
+        full = {s for s in order if weight[s] * level > MOST_PASSES * size[s]}
+        if len(full) == len(order):
+            break
+        level = (total - sum(MOST_PASSES * size[s] for s in full)) / sum(weight[s] for s in order if s not in full)
+    turn = {i: int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:15], 16) for i in texts}
+    packets = []
+    for s in order:
+        target, ahead = min(weight[s] * level, MOST_PASSES * size[s]), 0
+        for i in sorted((i for i in texts if sources[i] == s), key=lambda i: (turn[i], i)):
+            n = len(words[i])
+            for turn_round in range(int(min(MOST_PASSES, target // size[s] + 1))):
+                for k in range(-(-n // PACKET_WORDS)):
+                    upto = min(n, (k + 1) * PACKET_WORDS)
+                    packets.append(((turn_round * size[s] + ahead + upto) / target, turn[i], i, turn_round, k, upto - k * PACKET_WORDS))
+            ahead += n
+    left, taken = total, Counter()
+    for *_, i, _, _, n in sorted(packets):
+        taken[i] += max(0, min(n, left))
+        left -= n
+    return [row for i in texts if words[i] for row in
+            [(i, texts[i])] * (taken[i] // len(words[i])) + [(i, " ".join(words[i][: taken[i] % len(words[i])]))] * (taken[i] % len(words[i]) > 0)]
+
+
+def test_pipeline_by_force(spark, docs, tmp_path):
+    given = documents(spark, SMALL).select("doc_id", "text", "lang", "source", "n_chars").collect()
+    long = [r for r in given if r.text and 60 <= len(r.text.split()) <= 400][:12]
+    # Copies with one word changed every so often: some are similar enough, some not, and one joins two.
+    near = [(10**6 + 100 * k + step, " ".join(w if (j + 1) % step else f"new{j}" for j, w in enumerate(r.text.split())), r.lang, r.source)
+            for k, r in enumerate(long) for step in (11, 40, 55, 90)]
+    folder = str(tmp_path)
+    docs([*[(r.doc_id, r.text, r.lang, r.source) for r in given], *near]).write.parquet(f"{folder}/documents.parquet")
+    labels(spark, SMALL).write.parquet(f"{folder}/labels.parquet")
+    texts = {**{r.doc_id: r.text or "" for r in given}, **{r[0]: r[1] for r in near}}
+    sources = {**{r.doc_id: r.source for r in given}, **{r[0]: r[3] for r in near}}
+    marks = {}
+    for r in labels(spark, SMALL).where("quality is not null").collect():
+        marks[r.doc_id] = min(marks.get(r.doc_id, 1), r.quality)
+    only = lambda ids: {i: t for i, t in texts.items() if i in ids}
+    stages = dict(corpus_pipeline.STAGES)
+    left = only(kept_by_force(texts, {i for i, q in marks.items() if q == 1}))
+    table = stages["quality rules"](spark, documents(spark, folder), folder)
+    assert {r[0] for r in table.select("doc_id").collect()} == set(left)
+    best = {}
+    for i in sorted(left):
+        best[re.sub("[A-Z]", lambda m: m[0].lower(), left[i])] = i
+    left = only(set(best.values()))
+    table = stages["exact dedup"](spark, table, folder)
+    assert {r[0] for r in table.select("doc_id").collect()} == set(left)
+    before, left = len(left), only(one_of_each_by_force(left, 5, 80))
+    assert len(left) < before
+    table = stages["n-gram Jaccard join"](spark, table, folder)
+    assert {r[0] for r in table.select("doc_id").collect()} == set(left)
+    expected = mixed_by_force(left, sources)
+    table = stages["mixing sources to target weights"](spark, table, folder)
+    assert Counter((r.doc_id, r.text) for r in table.collect()) == Counter(expected)
+    pieces, tokenizer = Counter(), Encoder(tokenizer_path()).tokenizer
+    for i, text in expected:
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
+        for start in range(0, len(ids), 2048):
+            part = ids[start : start + 2048]
+            pieces[i, start, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
+    assert Counter(tuple(r)[:5] for r in corpus_pipeline.run(spark, folder).collect()) == pieces
