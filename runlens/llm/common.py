@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,3 +109,14 @@ def numbered(df: DataFrame, order: list, name: str, number: str) -> DataFrame:
     starts = spark.createDataFrame(list(before.items()) or [(0, 0)], "__part int, __start bigint")
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return ranged.join(starts, "__part").withColumn(number, F.col("__start") + inside - 1).drop("__part", "__start")
+
+
+def kept_by_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What `make` returns, made once by a Python worker process and kept from task to task.
+
+    Only for memories that save time: a worker that starts anew makes its own.
+    """
+    store = sys.modules.setdefault("_runlens_worker", types.ModuleType("_runlens_worker"))
+    if not hasattr(store, name):
+        setattr(store, name, make())
+    return getattr(store, name)

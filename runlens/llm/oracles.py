@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from runlens.llm.mixing import MOST_PASSES, PACKET_WORDS, WEIGHTS
 from runlens.llm.rules import GRIDS, Risk
+from runlens.llm.spelling import LEAST_COUNT, LEAST_LENGTH, RATIO, TYPO_MODULUS
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
@@ -108,10 +109,32 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(co
 """
 
 
+def _spelling() -> str:
+    """Counts with crc32 spelled out, near words by equal strings with a code point left out, forms by recursion."""
+    return f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS tab),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all({LOWERED}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+k AS (SELECT doc_id, run, count(*) AS times, encode(doc_id || ':' || run) AS bytes FROM r WHERE length(run) >= {LEAST_LENGTH} GROUP BY doc_id, run),
+h AS (SELECT run, times, xor(list_reduce(list_transform(range(octet_length(bytes)), lambda i: CAST('0x' || hex(bytes[i + 1 : i + 1]) AS BIGINT)),
+  lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)]), 4294967295), 4294967295) AS h FROM k, crc),
+w AS (SELECT CASE WHEN h % {TYPO_MODULUS} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM w WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {LEAST_COUNT}),
+g AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT a.word AS x, b.word AS y FROM g a JOIN g b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, v.word FROM g JOIN v ON g.rest = v.word UNION SELECT v.word, g.word FROM g JOIN v ON g.rest = v.word),
+b AS (SELECT x AS word, count(*) AS n_near, min(struct_pack(minus := -v.n, other := encode(v.word))) AS best FROM e JOIN v ON e.y = v.word GROUP BY x),
+f AS MATERIALIZED (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.minus >= {RATIO} * n THEN decode(best.other) END AS form,
+  CASE WHEN -best.minus >= {RATIO} * n THEN -best.minus END AS form_n FROM v LEFT JOIN b ON v.word = b.word),
+c(word, reached, steps) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, steps + 1 FROM c JOIN f ON c.reached = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(reached, steps) AS root FROM c GROUP BY word) t ON f.word = t.word
+"""
+
+
 ORACLES = {
     "op2_suffix_dedup": OP2,
     "op3_ngram_jaccard": OP3,
     "op4_exact_dedup": OP4,
     "op8_quality_rules": _rules(),
     "op10_mixing": _mix(),
+    "op13_spelling": _spelling(),
 }

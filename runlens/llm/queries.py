@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from runlens.llm.common import documents, labels
@@ -15,8 +16,11 @@ from runlens.llm.packing import pack
 from runlens.llm.pii import pseudonymise
 from runlens.llm.quality import score_quality
 from runlens.llm.rules import judge
+from runlens.llm.spelling import spelling_variants
 from runlens.llm.suffix_dedup import suffix_dedup
+from runlens.llm.tokens import token_counts
 from runlens.llm.toxicity import score_toxicity
+from runlens.llm.whitening import whiten
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,6 +63,22 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(documents(spark, folder))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    explained = F.array(*[F.lit(float(v)) for v in found.explained]).cast("array<double>")
+    rows = found.rows.select(F.col("id").alias("vec_id"), "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(found.n).cast("bigint").alias("n"), "deviation",
+                       "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(found.identity_error).alias("identity_error"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(documents(spark, folder))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -74,6 +94,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "op11_token_counts": op11_token_counts,
+    "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 
