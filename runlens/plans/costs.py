@@ -11,18 +11,21 @@ from runlens.plans.registry import query
 KEY = ["tool", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "ram"]
 KEY_SQL = "tool, l_orderkey, l_linenumber, l_partkey, l_quantity, ram"
 
+# The first release of every tool, before 1995, had no epoch of its own.
+RELEASE_US = 788_918_400_000_000
 # A width is missing on one line in six, and stated as unknown on half of those.
-define("measured", """(SELECT * REPLACE (CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE width END AS width),
+define("measured", f"""(SELECT * REPLACE (CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE width END AS width, CASE WHEN ship_us >= {RELEASE_US} THEN epoch ELSE 0 END AS epoch),
   l_partkey % 12 = 0 AS width_stated, ram AS peak_ram FROM @peaks)""")
 define("guarded", """(SELECT tool, l_orderkey, l_linenumber, l_partkey, l_quantity, peak_ram, pos,
   CASE WHEN vram IS NOT NULL AND source = 'card' AND NOT solo THEN NULL ELSE coalesce(vram, 0) END AS vram, ram,
-  coalesce(width, 1) AS width, cores, own_only FROM @measured WHERE NOT (width IS NULL AND width_stated) AND ram > 0)""")
+  coalesce(width, 1) AS width, cores, own_only, epoch, ship_us FROM @measured WHERE NOT (width IS NULL AND width_stated) AND ram > 0)""")
 
 
 def measured(spark, sf):
     part = F.col("l_partkey")
     return peaks(spark, sf).withColumns({
-        "width": F.when(part % 6 != 0, F.col("width")), "width_stated": part % 12 == 0, "peak_ram": F.col("ram")})
+        "width": F.when(part % 6 != 0, F.col("width")), "width_stated": part % 12 == 0, "peak_ram": F.col("ram"),
+        "epoch": F.when(F.col("ship_us") >= RELEASE_US, F.col("epoch"))})
 
 
 GUARD_ORDER = [*PEAK_ORDER[:-1], "peak_ram"]
@@ -130,8 +133,8 @@ ENTRY = "STRUCT(v BIGINT, m BIGINT, w BIGINT, n BIGINT)"
 BOUND = ("CASE WHEN len(list_filter(win, lambda x: x.w = width AND x.{f} IS NOT NULL)) >= 3 THEN coalesce(nullif(2 * "
          "list_median(list_transform(list_filter(win, lambda x: x.w = width AND x.{f} IS NOT NULL), lambda x: x.{f})), 0), 'infinity') ELSE 'infinity' END")
 PAIRED = "(NOT {o} OR coalesce(held.{f} <= 2 * {f} AND {f} <= 2 * held.{f}, false))"
-define("folded", f"""(WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY pos) AS n, CAST((vram + width - 1) // width AS BIGINT) AS v,
-  CAST((ram + width - 1) // width AS BIGINT) AS m FROM @guarded),
+FOLD = f"""(WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY pos) AS n, CAST((vram + width - 1) // width AS BIGINT) AS v,
+  CAST((ram + width - 1) // width AS BIGINT) AS m FROM {{rows}}),
 f AS (SELECT DISTINCT tool, CAST(0 AS BIGINT) AS n, CAST([] AS {ENTRY}[]) AS win, CAST(NULL AS {ENTRY}) AS held, false AS own, CAST(0 AS BIGINT) AS samples,
   CAST([] AS STRUCT(n BIGINT, status VARCHAR)[]) AS fate FROM g
 UNION ALL
@@ -144,15 +147,20 @@ FROM (SELECT *, held IS NOT NULL AND held.w = width AND {PAIRED.format(o='ov', f
 FROM (SELECT *, coalesce(v > {BOUND.format(f='v')}, false) AS ov, coalesce(m > {BOUND.format(f='m')}, false) AS om
 FROM (SELECT f.tool, g.n, CASE WHEN own_only AND NOT own THEN CAST([] AS {ENTRY}[]) ELSE win END AS win, held, own OR own_only AS own, samples, g.width, g.v, g.m,
   CAST({{'v': g.v, 'm': g.m, 'w': g.width, 'n': g.n}} AS {ENTRY}) AS cur FROM f JOIN g ON g.tool = f.tool AND g.n = f.n + 1)))))
-SELECT * FROM f)""")
-NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY tool ORDER BY pos) AS n FROM @guarded)"
+SELECT * FROM f)"""
+define("folded", FOLD.replace("{rows}", "@guarded"))
+# Since the epoch of the tool last changed.
+define("current", """(SELECT * FROM (SELECT *, max(CASE WHEN before <> epoch THEN pos END) OVER (PARTITION BY tool) AS since
+  FROM (SELECT *, lag(epoch) OVER (PARTITION BY tool ORDER BY pos) AS before FROM @guarded)) WHERE since IS NULL OR pos >= since)""")
+define("refolded", FOLD.replace("{rows}", "@current"))
+NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY tool ORDER BY pos) AS n FROM {rows})"
 
 
 @query("quarantine_outliers", f"""WITH f AS (SELECT * FROM @folded),
 d AS (SELECT tool, unnest(fate) AS fate FROM f),
 s AS (SELECT tool, fate.n AS n, fate.status AS status FROM d UNION ALL SELECT tool, last.n, 'held' FROM (SELECT tool, arg_max(held, n) AS last FROM
   (SELECT tool, n, CASE WHEN held IS NULL THEN CAST({{'v': NULL, 'm': NULL, 'w': NULL, 'n': NULL}} AS {ENTRY}) ELSE held END AS held FROM f) GROUP BY tool) WHERE last.n IS NOT NULL)
-SELECT tool, l_orderkey, l_linenumber, l_partkey, l_quantity, status FROM s JOIN {NUMBERED} USING (tool, n)""")
+SELECT tool, l_orderkey, l_linenumber, l_partkey, l_quantity, status FROM s JOIN {NUMBERED.format(rows='@guarded')} USING (tool, n)""")
 def quarantine_outliers(spark, sf):
     rows = ops.per_channel(ops.learn_guard(measured(spark, sf)))
     return ops.quarantine_outliers(rows, GUARD_ORDER).select("tool", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "status")
@@ -165,10 +173,10 @@ def _spread_sql(fit: str, points: str) -> str:
   max(total / {expected}) AS most, min(total / {expected}) AS least FROM {points} p JOIN {fit} f USING (tool) JOIN counted c USING (tool) WHERE total > 0 GROUP BY tool))"""
 
 
-@query("cost_table", f"""WITH last AS (SELECT tool, arg_max(win, n) AS win, arg_max(samples, n) AS samples FROM @folded GROUP BY tool),
+@query("cost_table", f"""WITH last AS (SELECT tool, arg_max(win, n) AS win, arg_max(samples, n) AS samples FROM @refolded GROUP BY tool),
 w AS (SELECT tool, samples, unnest(win) AS e, unnest(range(len(win))) AS place FROM last),
 x AS (SELECT w.tool, samples, place, e.v AS v, e.m AS m, e.w AS width, round_even(CASE WHEN cores > 0 THEN cores ELSE 0 END / width * 1e3, 0) / 1e3 AS cores
-  FROM w JOIN {NUMBERED} g ON g.tool = w.tool AND g.n = e.n),
+  FROM w JOIN {NUMBERED.format(rows='@current')} g ON g.tool = w.tool AND g.n = e.n),
 recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY place DESC) AS age FROM x) WHERE age <= 20),
 carded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY place DESC) AS age FROM
   (SELECT *, max(v) OVER (PARTITION BY tool) AS top FROM x WHERE v IS NOT NULL) WHERE v <> 0 OR top = 0) WHERE age <= 20),
@@ -178,10 +186,12 @@ vf AS (SELECT * FROM {fit_sql('vp')}), rf AS (SELECT * FROM {fit_sql('rp')}),
 vs AS (SELECT * FROM {_spread_sql('vf', 'vp')}), rs AS (SELECT * FROM {_spread_sql('rf', 'rp')})
 SELECT tool, samples, counted.widths AS widths, cores, vf.one IS NOT NULL AS vram_known, coalesce(vf.one, 0) AS vram_one, coalesce(vf.marginal, 0) AS vram_marginal,
   coalesce(vs.spread, 1.0) AS vram_spread, coalesce(rf.one, 0) AS ram_one, coalesce(rf.marginal, 0) AS ram_marginal, coalesce(rs.spread, 1.0) AS ram_spread,
-  greatest(coalesce(vs.spread, 1.0), coalesce(rs.spread, 1.0)) >= 1.5 AS input_dependent
-FROM counted LEFT JOIN vf USING (tool) LEFT JOIN rf USING (tool) LEFT JOIN vs USING (tool) LEFT JOIN rs USING (tool)""")
+  greatest(coalesce(vs.spread, 1.0), coalesce(rs.spread, 1.0)) >= 1.5 AS input_dependent, updated, e.epoch AS epoch
+FROM counted JOIN (SELECT tool, max(ship_us) AS updated, max(epoch) AS epoch FROM @current GROUP BY tool) e USING (tool)
+LEFT JOIN (SELECT p_partkey AS tool, p_size % 3 AS declared FROM part) d USING (tool) LEFT JOIN vf USING (tool) LEFT JOIN rf USING (tool) LEFT JOIN vs USING (tool) LEFT JOIN rs USING (tool) WHERE declared IS NULL OR declared = e.epoch""")
 def cost_table(spark, sf):
-    return ops.cost_table(measured(spark, sf), GUARD_ORDER)
+    declared = table(spark, sf, "part").select(F.col("p_partkey").alias("tool"), (F.col("p_size") % 3).cast("long").alias("epoch"))
+    return ops.cost_table(measured(spark, sf), GUARD_ORDER, declared=declared)
 
 
 @query("cost_banner", """WITH w AS (SELECT * FROM @wide) SELECT 'heaviest' AS note, arg_min(tool, row(-vram_one, tool)) AS tool FROM w
@@ -192,11 +202,11 @@ def cost_banner(spark, sf):
 
 @query("epoch_reconcile", """SELECT p.tool, p.stored, d.declared, d.declared IS NULL OR p.stored = d.declared AS kept
 FROM (SELECT tool, CASE WHEN tool % 4 = 0 THEN 0 ELSE min(epoch) END AS stored FROM @peaks GROUP BY tool) p
-LEFT JOIN (SELECT p_partkey AS tool, CAST(p_size % 3 AS BIGINT) AS declared FROM part WHERE p_size > 5) d USING (tool)""")
+LEFT JOIN (SELECT p_partkey AS tool, CAST(p_size % 3 AS BIGINT) AS declared FROM part) d USING (tool)""")
 def epoch_reconcile(spark, sf):
     entries = peaks(spark, sf).groupBy("tool").agg(F.min("epoch").alias("_e")).select(
         "tool", F.when(F.col("tool") % 4 == 0, "none").otherwise(F.col("_e").cast("string")).alias("epoch"))
-    declared = table(spark, sf, "part").filter(F.col("p_size") > 5).select(
+    declared = table(spark, sf, "part").select(
         F.col("p_partkey").alias("tool"), (F.col("p_size") % 3).cast("long").alias("epoch"))
     return ops.epoch_reconcile(entries, declared).select("tool", "stored", "declared", "kept")
 
