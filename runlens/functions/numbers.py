@@ -12,6 +12,21 @@ def rounded(value: Column, digits: int = 4) -> Column:
     return F.rint(value * scale) / scale
 
 
+def rounded_exactly(value: Column, digits: int = 4) -> Column:
+    """The nearest number of `digits` decimals to the binary value itself, a true tie going to the even one.
+
+    The product with the scale may round to a tie that is none; what it lost tells on which side the value is.
+    """
+    scale = float(10 ** digits)
+    product = value * scale
+    # The value in two halves, whose products with the scale are exact.
+    upper = value * 134217729.0 - (value * 134217729.0 - value)
+    lost = (upper * scale - product) + (value - upper) * scale
+    below = F.floor(product).cast("double")
+    nearest = F.when(product - below != 0.5, F.rint(product)).when(lost > 0, below + 1).when(lost < 0, below).otherwise(F.rint(product))
+    return nearest / scale
+
+
 def as_micros(seconds: Column) -> Column:
     """Seconds as whole microseconds."""
     return F.rint(seconds * 1e6).cast("long")

@@ -64,6 +64,11 @@ def upcoming_first(value: Column, inclusive: bool = True) -> Step:
     return Step("first_ahead", value, inclusive)
 
 
+def upcoming_min(value: Column, inclusive: bool = True) -> Step:
+    """The smallest value from here on."""
+    return Step("min_ahead", value, inclusive)
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Join condition on `keys` that lets null match null."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
@@ -98,8 +103,8 @@ def _local(step: Step, partition: Sequence[str], order: Sequence[str]) -> Column
     if step.kind == "last":
         return F.last(step.value, ignorenulls=True).over(frame)
     # Backwards, since a frame that shrinks from the front is computed anew for every row.
-    return F.last(step.value, ignorenulls=True).over(
-        _reversed(partition, order).rowsBetween(Window.unboundedPreceding, end))
+    backwards = _reversed(partition, order).rowsBetween(Window.unboundedPreceding, end)
+    return F.min(step.value).over(backwards) if step.kind == "min_ahead" else F.last(step.value, ignorenulls=True).over(backwards)
 
 
 def _summary(step: Step, position: Column) -> Column:
@@ -109,6 +114,8 @@ def _summary(step: Step, position: Column) -> Column:
         return F.sum(step.value)
     if step.kind == "max":
         return F.max(step.value)
+    if step.kind == "min_ahead":
+        return F.min(step.value)
     boxed = F.struct(step.value.alias("v"))
     if step.kind == "prev":
         return F.max_by(boxed, position)
@@ -129,6 +136,8 @@ def _carry(step: Step, summary: Column, keys: Sequence[str]) -> Column:
         return F.max(summary).over(before)
     if step.kind in ("prev", "last"):
         return F.last(summary, ignorenulls=True).over(before)
+    if step.kind == "min_ahead":
+        return F.min(summary).over(after)
     return F.last(summary, ignorenulls=True).over(after)
 
 
@@ -137,6 +146,8 @@ def _combine(step: Step, local: Column, carry: Column) -> Column:
         return F.when(carry.isNull(), local).otherwise(F.coalesce(local, F.lit(0)) + carry)
     if step.kind == "max":
         return F.greatest(local, carry)
+    if step.kind == "min_ahead":
+        return F.least(local, carry)
     return F.coalesce(local, carry)
 
 
@@ -186,9 +197,9 @@ def slice_groups(df: DataFrame, points: DataFrame, keys: Sequence[str], order: S
     return join_on(df, points, keys, "left").withColumn("_slice", number.cast("int")).drop("_points")
 
 
-def fits(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether every group is small enough for one task: worth asking once before several passes."""
-    return not _hot(df, keys)
+def fits(df: DataFrame, keys: Sequence[str], share: int = 1) -> bool:
+    """Whether every group is small enough, or a `share` of it, for one task: worth asking once before several passes."""
+    return not _hot(df, keys, share)
 
 
 def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], fitting: bool = False, **steps: Step) -> DataFrame:

@@ -12,7 +12,7 @@ from runlens.plans.registry import query
 from runlens.registry import Argument, Transforms
 from runlens.session import scratch
 from runlens.streaming import events as stream
-from runlens.streaming.progress import progress_tree as batch_progress
+from runlens.operators.progress import progress_tree as batch_progress
 
 LOG_LINE = ("run_id long, at_us long, event_id long, phase string, fraction double, is_log boolean, level string, "
             "server boolean, depth long, tool string, message string, k long")
@@ -86,7 +86,47 @@ def weighted(rows):
         F.when(~marker, F.col("fraction")).alias("fraction"))
 
 
-@query("progress_tree")
+# The bound calls are 1, 1.1 and 2: each has its columns, running along the events of a run.
+CALLS = {"a": "1", "b": "1.1", "c": "2"}
+
+
+def _calls(text: str) -> str:
+    return ", ".join(text.format(c=c, call=call) for c, call in CALLS.items())
+
+
+def _nearest(value: str) -> str:
+    """Four decimals of the binary value itself."""
+    lost = f"(({value} * 134217729 - ({value} * 134217729 - {value})) * 1e4 - {value} * 1e4) + ({value} - ({value} * 134217729 - ({value} * 134217729 - {value}))) * 1e4"
+    return f"""CASE WHEN {value} * 1e4 - floor({value} * 1e4) <> 0.5 OR {lost} = 0 THEN round_even({value} * 1e4, 0) WHEN {lost} > 0 THEN floor({value} * 1e4) + 1 ELSE floor({value} * 1e4) END / 1e4"""
+
+
+PROGRESS_SQL = f"""WITH e AS (SELECT run_id, at_us, event_id, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS n, event_id % 11 = 0 AS server, event_id % 7 = 0 AS marker,
+  CASE WHEN event_id % 7 = 0 AND event_id % 2 = 0 THEN CASE WHEN event_id % 4 = 0 THEN 'open' ELSE 'close' END END AS edge,
+  CASE WHEN event_id % 7 = 0 AND event_id % 5 > 0 THEN k / 200 END AS low, CASE WHEN event_id % 7 = 0 AND event_id % 5 > 0 THEN 0.5 + k / 200 END AS high,
+  CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN (['1', '1.1', '2'])[1 + event_id % 3] END AS call,
+  CASE WHEN event_id % 7 = 0 THEN ([1, 2, 1])[1 + event_id % 3] WHEN event_id % 4 = 0 THEN event_id % 3 END AS depth,
+  CASE WHEN event_id % 7 <> 0 THEN fraction END AS fraction FROM @evt WHERE NOT is_log),
+o AS (SELECT *, marker AND NOT server AS m, count(*) FILTER (marker AND NOT server AND (edge IS NULL OR edge = 'open')) OVER (PARTITION BY run_id, call ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS known FROM e),
+t AS (SELECT *, m AND (edge IS NOT DISTINCT FROM 'open' OR (edge IS NULL AND NOT known)) AS opens FROM o),
+s AS (SELECT *, {_calls("bool_or(opens AND call = '{call}') OVER w AS open_{c}, bool_or(m AND NOT opens AND call = '{call}') OVER w AS over_{c}, "
+                        "last_value(CASE WHEN opens AND call = '{call}' THEN struct_pack(low := CASE WHEN low <= high THEN low END, high := high) END IGNORE NULLS) OVER w AS span_{c}")}
+  FROM t WINDOW w AS (PARTITION BY run_id ORDER BY n)),
+r AS (SELECT *, {_calls("coalesce(open_{c}, false) AND NOT coalesce(over_{c}, false) AS runs_{c}, span_{c}.low IS NOT NULL AS has_{c}")} FROM s),
+u AS (SELECT *, CASE WHEN server THEN NULL WHEN call IS NOT NULL THEN call WHEN depth = 0 THEN '' WHEN depth = 2 THEN CASE WHEN runs_b THEN '1.1' END
+  WHEN runs_a AND runs_c THEN NULL WHEN depth IS NULL AND runs_b THEN '1.1' WHEN runs_a THEN '1' WHEN runs_c THEN '2' WHEN depth IS NULL THEN '' END AS who FROM r),
+k AS (SELECT *, last_value(CASE WHEN NOT marker AND who = '' THEN fraction END IGNORE NULLS) OVER w AS mark,
+  {_calls("last_value(CASE WHEN NOT marker AND who = '{call}' THEN fraction END IGNORE NULLS) OVER w AS mark_{c}")} FROM u WINDOW w AS (PARTITION BY run_id ORDER BY n)),
+b AS (SELECT *, CASE WHEN over_b THEN 1.0 ELSE mark_b END AS at_b, CASE WHEN over_c THEN 1.0 ELSE mark_c END AS at_c FROM k),
+a AS (SELECT *, CASE WHEN over_a THEN 1.0 ELSE greatest(mark_a, CASE WHEN open_b THEN span_b.low + (span_b.high - span_b.low) * coalesce(at_b, 0) END) END AS at_a FROM b),
+g AS (SELECT *, greatest(mark, CASE WHEN open_a THEN span_a.low + (span_a.high - span_a.low) * coalesce(at_a, 0) END,
+  CASE WHEN open_c THEN span_c.low + (span_c.high - span_c.low) * coalesce(at_c, 0) END) AS at_run FROM a),
+h AS (SELECT *, CASE WHEN who = '' THEN CASE WHEN has_a OR has_c THEN at_run END WHEN who = '2' THEN CASE WHEN has_c THEN at_run END
+  WHEN who = '1' THEN CASE WHEN has_a THEN at_run WHEN has_b THEN at_a END WHEN who = '1.1' THEN CASE WHEN has_b AND has_a THEN at_run WHEN has_b THEN at_a END END AS bar FROM g)
+SELECT run_id, at_us, event_id, CASE WHEN bar IS NULL THEN fraction ELSE {_nearest('bar')} END AS fraction, CASE WHEN bar IS NOT NULL AND fraction <> bar THEN fraction END AS own_fraction,
+  CAST(CASE WHEN call IS NULL AND depth IS NULL AND who <> '' THEN len(string_split(who, '.')) ELSE coalesce(depth, 0) END AS BIGINT) AS depth FROM h"""
+
+
+@query("progress_tree", PROGRESS_SQL)
 def progress_tree(spark, sf):
     return batch_progress(weighted(events(spark, sf)), EVENT_ORDER)
 

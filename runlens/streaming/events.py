@@ -18,7 +18,7 @@ from runlens.functions.events import TERMINAL_PHASES, phase_state
 from runlens.functions.text import scrub_text
 from runlens.operators.events import KEPT_LOGS, MAX_NESTED, MAX_SPANS, SERIOUS
 from runlens.operators.ledger import ledger_upsert
-from runlens.streaming.progress import FIELDS, Bars, feed_row
+from runlens.operators.progress import FIELDS, progress_tree
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TTL_US, PAUSED_TTL_US = 900 * 1_000_000, 14_400 * 1_000_000
@@ -239,25 +239,35 @@ def stream_cohort_gaps(stream: DataFrame, time_column: str = "at", grace_us: int
         _CohortGaps(grace_us, forget_us), GAP_ROW, "append", "eventTime")
 
 
-class _Progress(_JsonState):
-    """The weighted bar of a run, event by event."""
+def progress_sink(path: str, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the bars of runs under `path`; a batch run twice writes the same place.
 
-    def __init__(self, order: list[str], schema: str):
-        self.order, self.schema = order, schema
+    Events are kept as they come. The runs that a batch concerns are read again from their first event, by the
+    partitions their ids fall in, and what the batch's own events show is added to the bars. Events of
+    a run come in order, as a log does.
+    """
+    buckets = 64
 
-    def handleInputRows(self, key, rows, timerValues):
-        state, make = Bars(self.load()), _maker(self.schema)
-        for row in _in_order(rows, self.order):
-            yield make(key[0], *[row[c] for c in self.order], *feed_row(state, [row[c] for c in FIELDS]))
-        self.save(state.data)
-
-
-def stream_progress(stream: DataFrame, order: list[str]) -> DataFrame:
-    """The stream twin of `progress_tree`."""
-    columns = ", ".join(f"{c} long" for c in order)
-    schema = f"run_id long, {columns}, fraction double, own_fraction double, depth long"
-    return stream.select("run_id", *order, *FIELDS).groupBy("run_id").transformWithState(
-        _Progress(order, schema), schema, "append", "none")
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        slot = F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("slot")
+        fresh = batch.select("run_id", *order, *FIELDS, slot, F.lit(number).alias("seen"))
+        fresh.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/events/batch={number}")
+        kept = spark.read.schema(fresh.schema.add("batch", "int")).option("basePath", f"{path}/events").parquet(f"{path}/events")
+        kept = kept.filter(F.col("batch") <= number)
+        runs = kept.filter(F.col("batch") == number).select("run_id", "slot").distinct()
+        slots = [r["slot"] for r in runs.select("slot").distinct().collect()]
+        told = kept.filter(F.col("slot").isin(slots)).join(runs, ["run_id", "slot"], "left_semi")
+        shown = progress_tree(told, order)
+        own = kept.filter(F.col("batch") == number).select("run_id", *order)
+        shown.join(own, ["run_id", *order], "left_semi").write.mode("overwrite").parquet(f"{path}/bars/batch={number}")
+
+    return write
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The bars as kept by `progress_sink`."""
+    return spark.read.parquet(f"{path}/bars").drop("batch")
 
 
 def ledger_sink(path: str) -> Callable[[DataFrame, int], None]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import events as ops
 from runlens.operators import ledger
+from runlens.operators.progress import FIELDS, progress_tree
 from runlens.plans.bindings import EVENT_ORDER, events
 from runlens.plans.ledger import ledger_records
 from runlens.plans.streams import TRANSFORMS, opened, weighted
@@ -13,7 +14,6 @@ from runlens.registry import Argument, ArgumentError, Transforms
 from runlens.session import scratch
 from runlens.sources import records, tables
 from runlens.streaming import events as stream
-from runlens.streaming.progress import Bars, feed_row, progress_tree
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -32,13 +32,13 @@ def test_listing_equals_batch(spark):
 
 
 def test_progress_equals_batch(spark):
-    path = scratch(spark, "weighted")
-    batch = weighted(events(spark, FOLDER))
-    batch.write.parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.ROCKSDB)
-    tail = spark.readStream.schema(batch.schema).parquet(path)
-    got = stream.run_to_end(stream.stream_progress(tail, EVENT_ORDER), scratch(spark, "bars"))
-    assert as_set(got) == as_set(progress_tree(batch, EVENT_ORDER))
+    path, kept = scratch(spark, "weighted"), scratch(spark, "bars")
+    batch = weighted(events(spark, FOLDER)).filter("run_id % 10 = 1")
+    batch.repartitionByRange(2, "at_us").sortWithinPartitions("at_us").write.parquet(path)
+    tail = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
+    query = tail.writeStream.foreachBatch(stream.progress_sink(kept, EVENT_ORDER)).option("checkpointLocation", f"{kept}-c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert as_set(stream.read_progress(spark, kept)) == as_set(progress_tree(batch, EVENT_ORDER))
 
 
 def test_expiry_by_timer(spark):
@@ -75,24 +75,6 @@ def test_ledger_kept_by_batches(spark):
     assert as_set(stream.read_ledger(spark, path, EVENT_ORDER)) == as_set(ledger.ledger_upsert(batch, EVENT_ORDER))
 
 
-def test_a_leaf_moves_the_root():
-    bar = Bars()
-    assert feed_row(bar, [False, "A", "open", 0.2, 0.6, "1", 1, None]) == (0.2, None, 1)
-    assert feed_row(bar, [False, "B", "open", 0.5, 1.0, "1.1", 2, None]) == (0.4, None, 2)
-    assert feed_row(bar, [False, None, None, None, None, None, None, 0.6])[0] == round(0.2 + 0.4 * (0.5 + 0.5 * 0.6), 4)
-    assert feed_row(bar, [False, "B", "close", None, None, "1.1", 2, None])[0] == 0.6
-    assert feed_row(bar, [False, "A", "close", None, None, "1", 1, None])[0] == 0.6
-    assert feed_row(bar, [False, None, None, None, None, "", 0, 0.9])[0] == 0.9
-
-
-def test_siblings_open_at_once_are_not_guessed():
-    bar = Bars()
-    feed_row(bar, [False, "A", "open", 0.0, 0.5, "1", 1, None])
-    feed_row(bar, [False, "B", "open", 0.5, 1.0, "2", 1, None])
-    assert feed_row(bar, [False, None, None, None, None, None, None, 0.7]) == (0.7, None, 0)
-    assert feed_row(bar, [True, None, None, None, None, None, None, 0.1]) == (0.1, None, 0)
-
-
 def test_torn_lines_are_numbered(spark):
     path = scratch(spark, "torn")
     spark.createDataFrame([('{"a": 1}',), ("",), ('{"a": 2',), ('{"a": 3}',)], "value string").coalesce(1).write.text(path)
