@@ -3,71 +3,156 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator, Sequence
-from typing import BinaryIO
+import os
+from collections import deque
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from itertools import islice
 from urllib.parse import quote
 
-import pandas as pd
 import pyarrow
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
-# The longest array of bytes a row can hold.
-HASHED_BYTES = 2**31 - 1024
 BLOCK = 2**20
+# Folders that the driver looks for before tasks walk one each, and files of folders it has seen in one task.
+FOLDERS, FILES_PER_TASK = 64, 64
+ROWS_PER_BATCH = 1000
+# Names that a store has in Spark and in Arrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+class Tree:
+    """A folder of a local file system or of a store that Arrow knows, and what is in it."""
+
+    def __init__(self, root: str):
+        scheme, _, rest = root.partition(":")
+        self.store = None
+        if scheme == "file" or root.startswith("/") or not _:
+            self.base = os.path.abspath("/" + rest.lstrip("/") if scheme == "file" else root)
+        else:
+            self.store, self.base = pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{quote(rest)}")
+
+    def at(self, name: str) -> str:
+        return f"{self.base.rstrip('/')}/{name}" if name else self.base
+
+    def kind(self) -> str:
+        """What the root is: folder, file or nothing."""
+        if self.store is None:
+            return "folder" if os.path.isdir(self.base) else "file" if os.path.isfile(self.base) else "nothing"
+        found = self.store.get_file_info(self.base).type
+        return {pyarrow.fs.FileType.Directory: "folder", pyarrow.fs.FileType.File: "file"}.get(found, "nothing")
+
+    def children(self, folder: str) -> tuple[list[str], list[str]]:
+        """Folders and files of a folder by relative name, sorted. Links to folders are neither, so that none is walked twice."""
+        lead = f"{folder}/" if folder else ""
+        if self.store is None:
+            try:
+                with os.scandir(self.at(folder)) as entries:
+                    found = [(lead + e.name, e.is_dir(follow_symlinks=False), e.is_symlink() and e.is_dir()) for e in entries]
+            except OSError:
+                return [], []
+            return sorted(n for n, is_folder, _ in found if is_folder), sorted(n for n, is_folder, link in found if not is_folder and not link)
+        infos = self.store.get_file_info(pyarrow.fs.FileSelector(self.at(folder)))
+        folders = [lead + i.base_name for i in infos if i.type == pyarrow.fs.FileType.Directory]
+        return sorted(folders), sorted(lead + i.base_name for i in infos if i.type != pyarrow.fs.FileType.Directory)
+
+    def size(self, name: str) -> int | None:
+        try:
+            return os.stat(self.at(name)).st_size if self.store is None else self.store.get_file_info(self.at(name)).size
+        except OSError:
+            return None
+
+    def sha256(self, name: str) -> str | None:
+        """The hash of a file read block by block; none where it cannot be read."""
+        digest = hashlib.sha256()
+        try:
+            with open(self.at(name), "rb") if self.store is None else self.store.open_input_stream(self.at(name)) as file:
+                while block := file.read(BLOCK):
+                    digest.update(block)
+        except OSError:
+            return None
+        return digest.hexdigest()
+
+    def walk(self, folder: str) -> Iterator[str]:
+        """Every file below a folder; what is still to be walked is one list of names per level."""
+        waiting = [folder]
+        while waiting:
+            folders, files = self.children(waiting.pop())
+            yield from files
+            waiting.extend(reversed(folders))
+
+
+@dataclass
+class TreePart(InputPartition):
+    """A folder to walk, or files that were met on the way to folders."""
+
+    folder: str | None
+    files: list[str]
+
+
+class FileTreeReader(DataSourceReader):
+    def __init__(self, root: str, hashed: bool):
+        self.root, self.hashed = root, hashed
+
+    def partitions(self) -> list[TreePart]:
+        """Breadth first until there are enough folders for tasks, or no folder is left to open."""
+        tree = Tree(self.root)
+        if tree.kind() != "folder":
+            return [TreePart(None, [""] if tree.kind() == "file" else [])]
+        folders, files = deque([""]), []
+        while folders and len(folders) < FOLDERS:
+            below, here = tree.children(folders.popleft())
+            folders.extend(below)
+            files.extend(here)
+        parts = [TreePart(None, files[at : at + FILES_PER_TASK]) for at in range(0, len(files), FILES_PER_TASK)]
+        return [*parts, *[TreePart(folder, []) for folder in folders]] or [TreePart(None, [])]
+
+    def read(self, partition: TreePart) -> Iterator[pyarrow.RecordBatch]:
+        tree = Tree(self.root)
+        names = iter(partition.files) if partition.folder is None else tree.walk(partition.folder)
+        while some := list(islice(names, ROWS_PER_BATCH if not self.hashed else 1)):
+            hashes = [tree.sha256(name) for name in some] if self.hashed else []
+            sizes = [None if self.hashed and hashes[i] is None else tree.size(name) for i, name in enumerate(some)]
+            columns = [pyarrow.array([name or tree.base.rpartition("/")[2] for name in some], pyarrow.string()), pyarrow.array(sizes, pyarrow.int64())]
+            columns += [pyarrow.array(hashes, pyarrow.string())] if self.hashed else []
+            yield pyarrow.record_batch(columns, names=["name", "size", "sha256"][: len(columns)])
+
+
+class FileTree(DataSource):
+    """`spark.read.format("file_tree").load(root)`: every file below a root by relative name, with its size.
+
+    Empty files and those whose name begins with `_` or `.` are listed like any other. With the option
+    `hash` each file is opened by the task that lists it and has its sha256; one that cannot be read keeps its
+    row with nulls. A root that is a file is one row, one that is not there is none.
+    """
 
+    @classmethod
+    def name(cls) -> str:
+        return "file_tree"
 
-def _relative(root: str) -> Column:
-    path = F.regexp_replace("path", "^file:/+", "/")
-    base = root.rstrip("/") + "/"
-    return F.when(F.startswith(path, F.lit(base)), F.substring(path, F.lit(len(base) + 1), F.char_length(path))).otherwise(path)
-
-
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below a folder by relative name, with its size; contents are not opened."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return found.select(_relative(root).alias("name"), F.col("length").alias("size"))
-
-
-def _opener(path: str) -> Callable[[], BinaryIO]:
-    """How to open a file that Spark listed; a store that cannot be reached from here is an error."""
-    scheme, _, rest = path.partition(":")
-    if path.startswith("/") or scheme == "file":
-        return lambda: open(path if path.startswith("/") else "/" + rest.lstrip("/"), "rb")
-    store, name = pyarrow.fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
-    return lambda: store.open_input_stream(name)
-
+    def hashed(self) -> bool:
+        return self.options.get("hash", "false").lower() == "true"
 
-def sha256_of(path: str) -> str | None:
-    """The hash of a file read block by block; none where it cannot be read."""
-    digest, opened = hashlib.sha256(), _opener(path)
-    try:
-        with opened() as file:
-            while block := file.read(BLOCK):
-                digest.update(block)
-    except OSError:
-        return None
-    return digest.hexdigest()
+    def schema(self) -> str:
+        return "name string, size bigint" + (", sha256 string" if self.hashed() else "")
 
+    def reader(self, schema: StructType) -> FileTreeReader:
+        return FileTreeReader(self.options["path"], self.hashed())
 
-def _hash_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"name": batch["name"], "sha256": pd.Series([sha256_of(p) for p in batch["path"]], dtype=object), "size": batch["size"]})
 
+def list_files(spark: SparkSession, root: str, hashed: bool = False) -> DataFrame:
+    """Every file below a folder by relative name, with its size; contents are not opened unless hashes are asked for."""
+    spark.dataSource.register(FileTree)
+    return spark.read.format("file_tree").option("hash", str(hashed).lower()).load(root)
 
-def file_inventory(spark: SparkSession, root: str, max_bytes: int = HASHED_BYTES) -> DataFrame:
-    """Relative name, hash and size of every file.
 
-    Files of more than `max_bytes`, too long for one row, are opened by the task and hashed block by block:
-    local ones, and those in a store that Arrow knows. One that cannot be read keeps its row without a hash.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    name, size = _relative(root).alias("name"), F.col("length").alias("size")
-    hashed = files.filter(F.col("length") <= max_bytes).select(name, F.sha2("content", 256).alias("sha256"), size)
-    # Contents of the others are never asked for as a column.
-    long = files.filter(F.col("length") > max_bytes).select(name, "path", size)
-    return hashed.unionByName(long.mapInPandas(_hash_long, "name string, sha256 string, size bigint"))
+def file_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Relative name, hash and size of every file, hashed block by block whatever its length; see `FileTree`."""
+    return list_files(spark, root, True).select("name", "sha256", "size")
 
 
 def dataset_listing(spark: SparkSession, root: str, ignored: Sequence[str] = ()) -> DataFrame:

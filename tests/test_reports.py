@@ -132,19 +132,67 @@ def test_a_chain_of_calls_may_be_long(spark):
     assert [r["point"] for r in got] == ["/".join(f"t{i}" for i in range(1, k + 1)) for k in range(n, 0, -1)]
 
 
-def test_files_too_long_for_a_row_have_a_hash(spark, tmp_path):
+TREE = {"empty": b"", "_x": b"1", ".x": b"22", "a/_SUCCESS": b"", "a/.hidden/deep/er": b"333", "a/b c%20é#.bin": b"4444", "_temporary/0/part": b"5"}
+
+
+@pytest.fixture
+def tree(tmp_path):
+    root = tmp_path / "tree"
+    for name, content in TREE.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+    (root / "bare" / "folder").mkdir(parents=True)
+    (root / "gone").symlink_to(root / "nowhere")
+    (root / "a" / "up").symlink_to(root)
+    return root
+
+
+@pytest.mark.parametrize("form", ["{}", "{}/", "file:{}", "file://{}", "file://{}/"])
+def test_every_file_of_a_tree(spark, tree, form):
+    """Empty and hidden files, links that lead nowhere, none twice by a link to a folder; by relative name whatever the root is written like."""
+    root = form.format(tree)
+    sizes = {r["name"]: r["size"] for r in rows(files.list_files(spark, root))}
+    assert sizes == {n: len(c) for n, c in TREE.items()} | {"gone": None}
+    found = {r["name"]: (r["sha256"], r["size"]) for r in rows(files.file_inventory(spark, root))}
+    assert found == {n: (hashlib.sha256(c).hexdigest(), len(c)) for n, c in TREE.items()} | {"gone": (None, None)}
+
+
+def test_roots_that_are_no_folder(spark, tree):
+    assert [(r["name"], r["size"]) for r in rows(files.file_inventory(spark, f"{tree}/.x"))] == [(".x", 2)]
+    assert rows(files.file_inventory(spark, f"{tree}/none")) == [] and rows(files.list_files(spark, f"{tree}/bare")) == []
+
+
+def test_a_wide_tree_is_walked_in_tasks(spark, tmp_path):
+    names = {f"{i % 100}/{i % 7}/{i}.txt" for i in range(700)} | {f"f{i}" for i in range(150)}
+    for name in names:
+        (tmp_path / "wide" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "wide" / name).touch()
+    found = files.list_files(spark, f"{tmp_path}/wide")
+    assert sorted(r["name"] for r in rows(found)) == sorted(names)
+    assert found.rdd.getNumPartitions() >= files.FOLDERS
+
+
+def test_entries_of_a_dataset_tree(spark, tmp_path):
+    for name, content in {"A/models/x": b"12", "A/models/_y/p/q": b"3", "A/models/_y/r": b"", "A/models/.z": b"4", "A/models/skip": b"5", "B/testfiles/empty": b"", "loose": b"6"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = rows(files.dataset_listing(spark, f"file:{tmp_path}", ["skip"]), "tool", "entry")
+    assert [tuple(r.values()) for r in got] == [("A", "models", "_y", "folder", 1), ("A", "models", "x", "file", 2), ("B", "testfiles", "empty", "file", 0)]
+
+
+def test_files_of_any_length_have_a_hash(spark, tmp_path):
     contents = {"left/a b%20.bin": b"x" * 3_000_000, "right/a b%20.bin": b"x" * 2_999_999 + b"y", "left/d/é#.bin": b"z" * 2000,
                 "right/d/é#.bin": b"z" * 2000, "left/short": b"s", "right/short": b"t"}
     for name, content in contents.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(content)
-    sides = {side: files.file_inventory(spark, f"{tmp_path}/{side}", max_bytes=1000) for side in ("left", "right")}
+    sides = {side: files.file_inventory(spark, f"{tmp_path}/{side}") for side in ("left", "right")}
     for side, found in sides.items():
         expected = {(n.partition("/")[2], hashlib.sha256(c).hexdigest(), len(c)) for n, c in contents.items() if n.startswith(side)}
         assert {(r["name"], r["sha256"], r["size"]) for r in rows(found)} == expected
     status = {r["name"]: r["status"] for r in rows(artifacts.compare_artifacts(sides["left"], sides["right"]))}
     assert status == {"a b%20.bin": "differing", "d/é#.bin": "identical", "short": "differing"}
-    assert files.sha256_of(f"{tmp_path}/none") is None
+    assert files.Tree(str(tmp_path)).sha256("none") is None
 
 
 def test_json_paths(spark):
