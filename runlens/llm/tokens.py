@@ -25,9 +25,11 @@ from runlens.llm.common import kept_by_worker, text_of
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 BLANK = "▁"
-# Distinct words with their counts, and pairs of pieces, that a worker remembers; when full, the memory starts anew.
-# Longer words are not remembered.
+# Distinct words and their parts with their counts, and pairs of pieces, that a worker remembers; when full, the
+# memory starts anew. Longer words are not remembered.
 REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+# First characters of a part whose counts are remembered for all parts that begin so.
+HEAD = 7
 CONTROL_WHITE_SPACE = "\n\r\t"
 
 
@@ -58,67 +60,133 @@ class Pieces:
         inside = set("".join(joined))
         apart = "".join(c for c in CONTROL_WHITE_SPACE if c not in inside)
         self.words = re.compile(f"{BLANK}*[^{BLANK}{apart}]+|{BLANK}+" + (f"|[{apart}]" if apart else "")).findall
-        self.whole: dict[str, bool] = {}
+        # Where two characters stand side by side in no piece, a text falls apart.
+        self.beside = {piece[i : i + 2] for piece in joined for i in range(len(piece) - 1)}
+        self.histories: dict[str, tuple[list, list, bool]] = {}
         self.follows: dict[tuple[str, str], bool] = {}
+        # Lengths of the pieces that come out whole, longest first, by their last two characters.
+        self.lengths: dict[str, list[int]] = {}
+        self.tokens = {piece for piece in joined if self.is_whole(piece)}
+        for piece in self.tokens:
+            self.lengths.setdefault(piece[-2:], []).append(len(piece))
+        self.lengths = {end: sorted(set(found), reverse=True) for end, found in self.lengths.items()}
+        self.heads: dict[str, tuple[list[int], list[str]]] = {}
         self.known: dict[str, list[int]] = {}
         self.sums: dict[str, int] = {}
 
-    def encode(self, text: str) -> list[str]:
-        """Pieces of a short string: the neighbours of best score are joined, of ties the first."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    def history(self, piece: str) -> tuple[list, list, bool]:
+        """How the two ends of a piece grow while it is encoded: (score of the next join, end) for the
+        left and for the right end, a last one without a score; and whether the piece comes out whole."""
+        known = self.histories.get(piece)
+        if known is None:
+            parts, left, right = list(piece), [], []
+            while True:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    score = self.scores.get(parts[i] + parts[i + 1])
+                    if score is not None and (best is None or score > best):
+                        best, at = score, i
+                left.append((best, parts[0]))
+                right.append((best, parts[-1]))
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known = self.histories[piece] = left, right, len(parts) == 1
+        return known
 
     def is_whole(self, piece: str) -> bool:
-        if piece not in self.whole:
-            self.whole[piece] = self.encode(piece) == [piece]
-        return self.whole[piece]
+        return self.history(piece)[2]
 
     def may_follow(self, left: str, right: str) -> bool:
+        """Whether two whole pieces side by side stay apart: at no time is the join across them the best one, of ties the first."""
         pair = left, right
-        if pair not in self.follows:
+        known = self.follows.get(pair)
+        if known is None:
             if len(self.follows) >= REMEMBERED:
                 self.follows.clear()
-            self.follows[pair] = self.encode(left + right) == [left, right]
-        return self.follows[pair]
+            known = self.follows[pair] = self.stay_apart(self.history(left)[1], self.history(right)[0])
+        return known
+
+    def stay_apart(self, left: list, right: list) -> bool:
+        i = j = 0
+        while True:
+            (score, end), (other, begin) = left[i], right[j]
+            across = self.scores.get(end + begin)
+            if across is not None and (score is None or across > score) and (other is None or across >= other):
+                return False
+            if score is None and other is None:
+                return True
+            if other is None or (score is not None and score >= other):
+                i += 1
+            else:
+                j += 1
 
     def cost(self, piece: str) -> int:
         """Ids of a piece: one, or one per byte of a character the model does not know."""
         return 1 if piece in self.scores or not self.bytes_fall_back else len(piece.encode("utf-8", "surrogatepass"))
 
-    def prefixes(self, word: str) -> list[int]:
-        """The number of ids of each prefix of `word`, from one character to all."""
-        counts, last = [0], [""]
-        for end in range(1, len(word) + 1):
-            for length in range(min(self.longest, end), 0, -1):
-                piece, before = word[end - length : end], last[end - length]
-                if length > 1 and (piece not in self.scores or not self.is_whole(piece)):
-                    continue
-                if not before or self.may_follow(before, piece):
-                    break
-            counts.append(counts[end - length] + self.cost(piece))
+    def parts(self, word: str) -> list[str]:
+        """A word cut where its characters stand side by side in no piece."""
+        beside = self.beside
+        edges = [0, *[i for i in range(1, len(word)) if word[i - 1 : i + 1] not in beside], len(word)]
+        return [word[a:b] for a, b in zip(edges, edges[1:])]
+
+    def prefixes(self, part: str) -> list[int]:
+        """The number of ids of each prefix of a part, from one character to all."""
+        head = part[:HEAD]
+        if len(part) > HEAD:
+            known = self.heads.get(head)
+            if known is None:
+                if len(self.heads) >= REMEMBERED:
+                    self.heads.clear()
+                known = self.heads[head] = self.extend(head, [0], [""])
+            counts, last = known[0].copy(), known[1].copy()
+        else:
+            counts, last = [0], [""]
+        return self.extend(part, counts, last)[0][1:]
+
+    def extend(self, part: str, counts: list[int], last: list[str]) -> tuple[list[int], list[str]]:
+        """Counts and last pieces of a part's prefixes, given those of its first ones."""
+        lengths, tokens, follows = self.lengths, self.tokens, self.follows
+        for end in range(len(counts), len(part) + 1):
+            piece = part[end - 1]
+            for length in lengths.get(part[end - 2 : end], ()) if end > 1 else ():
+                longer = part[end - length : end] if length <= end else ""
+                if longer in tokens:
+                    # Nothing is before the first piece.
+                    if length == end:
+                        piece = longer
+                        break
+                    apart = follows.get((last[end - length], longer))
+                    if apart if apart is not None else self.may_follow(last[end - length], longer):
+                        piece = longer
+                        break
+            counts.append(counts[end - len(piece)] + (1 if piece in self.scores else self.cost(piece)))
             last.append(piece)
-        return counts[1:]
-
-    def of_word(self, word: str) -> list[int]:
-        """`prefixes`, remembered for words of ordinary length."""
-        if word in self.known:
-            return self.known[word]
-        counts = self.prefixes(word)
-        if len(word) <= REMEMBERED_LENGTH:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-                self.sums.clear()
-            self.known[word], self.sums[word] = counts, counts[-1]
+        return counts, last
+
+    def of_part(self, part: str) -> list[int]:
+        """`prefixes`, remembered for parts of ordinary length."""
+        counts = self.known.get(part)
+        if counts is None:
+            counts = self.prefixes(part)
+            if len(part) <= REMEMBERED_LENGTH:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[part] = counts
         return counts
 
+    def of_word(self, word: str) -> int:
+        """The number of ids of a word, remembered if it is of ordinary length."""
+        total = self.sums.get(word)
+        if total is None:
+            total = sum(self.of_part(part)[-1] for part in self.parts(word))
+            if len(word) <= REMEMBERED_LENGTH:
+                if len(self.sums) >= REMEMBERED:
+                    self.sums.clear()
+                self.sums[word] = total
+        return total
+
     def split(self, text: str) -> list[str]:
         return self.words(BLANK + text.replace(" ", BLANK)) if text else []
 
@@ -128,12 +196,11 @@ class Pieces:
         try:
             return sum(map(self.sums.__getitem__, words))
         except KeyError:
-            return sum(self.of_word(word)[-1] for word in words)
+            return sum(map(self.of_word, words))
 
     def of_text(self, text: str) -> np.ndarray:
         """The number of ids of each prefix of `text`, from the empty one to all of it."""
-        words = self.split(text)
-        parts = [self.of_word(word) for word in words]
+        parts = [self.of_part(part) for word in self.split(text) for part in self.parts(word)]
         before = np.cumsum([0, *(part[-1] for part in parts)])[:-1]
         out = np.concatenate([np.array(p, dtype=np.int32) + b for p, b in zip(parts, before)]) if parts else np.zeros(1, np.int32)
         # The mark at the beginning is no character of the text, and the empty prefix has no id.
