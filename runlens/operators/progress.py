@@ -50,7 +50,7 @@ def call_states(marks: DataFrame, fitting: bool) -> DataFrame:
     span = F.when(ordered, F.struct(F.col("span_start").cast("double").alias("low"), F.col("span_end").cast("double").alias("high"))).otherwise(none)
     rows = seen.withColumns({
         "_opens": opens, "_span": F.when(opens, span),
-        "_level": F.when(opens, F.least(F.col("depth").cast("int"), F.lit(MAX_DEPTH)))})
+        "_level": F.when(opens & F.col("depth").isNotNull(), F.least(F.col("depth").cast("int"), F.lit(MAX_DEPTH)))})
     opened, ended = F.col("_opens").cast("int"), (~F.col("_opens")).cast("int")
     states = along(rows, key, N, fitting,
                    opened=running_max(opened), ended=running_max(ended), span=running_last(F.col("_span")), level=running_last(F.col("_level")),

@@ -6,12 +6,10 @@ would be a range or as-of join is a merge of both sides in time order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from runlens.functions.numbers import rounded
 from runlens.operators.ordered import (along, fits, join_on, prev, rank, running_last, running_max, running_sum,
@@ -34,7 +32,8 @@ def concurrency_curve(spans: DataFrame) -> DataFrame:
     Spans ending at an instant are counted out before those starting then.
     """
     closed = spans.filter((F.col("phase") == "running") & F.col("end_us").isNotNull())
-    curve = along(_steps(closed, "start_us", "end_us"), [], ["at_us", "kind"], open=running_sum(F.col("_delta")))
+    # Read twice, for the curve and for its peak.
+    curve = checkpointed(along(_steps(closed, "start_us", "end_us"), [], ["at_us", "kind"], open=running_sum(F.col("_delta"))))
     peak = curve.agg(F.max("open").alias("peak"))
     return curve.drop("_delta").join(F.broadcast(peak))
 
@@ -75,52 +74,50 @@ def counter_rate(samples: DataFrame, keys: Sequence[str], order: Sequence[str])
     return marked.withColumn("percent", rounded(F.when(total > 0, share), 1)).drop("_busy", "_total")
 
 
-def _burst_ends(batches: Iterator[pd.DataFrame], keys: list[str], least_us: int) -> Iterator[pd.DataFrame]:
-    """Follow the marks of each burst in a partition sorted by key, burst and time, one burst in memory at a time."""
-    columns = [*keys, "_burst", "_t", "_k", "_end_t", "_end_k", "_peak"]
-    burst, first, mark, peak = None, None, None, 0.0
-    for batch in batches:
-        out = []
-        for *name, t, k in zip(*[batch[c].tolist() for c in [*keys, "_burst", "at_us", "ticks"]]):
-            if name != burst:
-                if burst is not None:
-                    out.append((*burst, *first, *mark, peak))
-                burst, first, mark, peak = name, (t, k), (t, k), 0.0
-            elif t - mark[0] >= least_us:
-                peak, mark = max(peak, (k - mark[1]) * 1e6 / (t - mark[0])), (t, k)
-            elif t == mark[0]:
-                mark = (t, k)
-        yield pd.DataFrame(out, columns=columns)
-    yield pd.DataFrame([] if burst is None else [(*burst, *first, *mark, peak)], columns=columns)
+def _next_marks(times: DataFrame, keys: list[str], least_us: int) -> DataFrame:
+    """Each instant with the first one of its key at least `least_us` later, null if there is none."""
+    asked = times.select(*keys, (F.col("at_us") + least_us).alias("x"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("t"))
+    merged = asked.union(times.select(*keys, F.col("at_us").alias("x"), F.lit(1).alias("_side"), F.col("at_us").alias("t")))
+    found = along(merged, keys, ["x", "_side"], next=upcoming_first(F.col("t")))
+    return found.filter("_side = 0").select(*keys, (F.col("x") - least_us).alias("at_us"), "next")
+
+
+def _reached(roots: DataFrame, jumps: DataFrame, keys: list[str]) -> DataFrame:
+    """What pointers lead to from `roots`, the roots included: the jumps are doubled until none is left."""
+    at = [*keys, "at_us"]
+    reached, jumps = checkpointed(roots), checkpointed(jumps)
+    while not jumps.isEmpty():
+        new = join_on(reached, jumps, at).select(*keys, F.col("next").alias("at_us"))
+        reached = checkpointed(reached.union(new).distinct())
+        further = jumps.select(*keys, F.col("at_us").alias("next"), F.col("next").alias("_further"))
+        jumps = checkpointed(join_on(jumps, further, [*keys, "next"]).select(*at, F.col("_further").alias("next")))
+    return reached
 
 
 def peak_rate(samples: DataFrame, keys: Sequence[str], order: Sequence[str], least_us: int = 500_000) -> DataFrame:
     """The highest rate of a counter per key, between marks at least `least_us` apart.
 
-    A reading too close to the mark is passed over and the mark kept; one at the very
-    instant of the mark replaces it. Whatever the mark, a reading that follows a pause
-    of `least_us` becomes one, so the series falls apart there into bursts that are
-    followed on their own, in any task.
+    A reading too close to the mark is passed over and the mark kept; one at the very instant of the mark replaces
+    it. The mark after an instant is the first one far enough from it, wherever marks are; the marks are the
+    instants that those pointers lead to from the first one. An instant after a pause of `least_us` is a mark
+    whatever was before, so the doubling starts from all of them and ends with the longest chain between pauses.
     """
-    keys = list(keys)
-    fitting = fits(samples, keys)
-    marked = along(samples, keys, order, fitting, _at=prev(F.col("at_us")))
-    fresh = F.col("_at").isNull() | (F.col("at_us") - F.col("_at") >= least_us)
-    bursts = along(marked.withColumn("_fresh", F.when(fresh, 1).otherwise(0)), keys, order, fitting,
-                   _burst=running_sum(F.col("_fresh")))
-    types = {f.name: f.dataType for f in bursts.schema.fields}
-    schema = T.StructType([*[T.StructField(k, types[k]) for k in keys], T.StructField("_burst", T.LongType()),
-                           *[T.StructField(c, T.LongType()) for c in ("_t", "_k", "_end_t", "_end_k")],
-                           T.StructField("_peak", T.DoubleType())])
-    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    followed = bursts.select(*keys, "_burst", *order, F.col("ticks").cast("long").alias("ticks")).repartition(
-        tasks, *keys, "_burst").sortWithinPartitions(*keys, "_burst", *order).mapInPandas(
-        lambda batches: _burst_ends(batches, keys, least_us), schema)
-    # Between bursts: from the mark the earlier one ended on to the first reading of the next.
-    linked = along(checkpointed(followed), keys, ["_burst"], fitting, _before=prev(F.struct("_end_t", "_end_k")))
-    across = (F.col("_k") - F.col("_before._end_k")) * 1e6 / (F.col("_t") - F.col("_before._end_t"))
-    return linked.groupBy(*keys).agg(
-        F.max(F.greatest(F.col("_peak"), F.coalesce(across, F.lit(0.0)))).alias("peak_rate"))
+    keys, place = list(keys), F.struct(*order)
+    ticks = F.col("ticks").cast("long")
+    times = checkpointed(samples.groupBy(*keys, "at_us").agg(
+        F.min_by(ticks, place).alias("_first"), F.max_by(ticks, place).alias("_last")))
+    before = along(times.select(*keys, "at_us"), keys, ["at_us"], _before=prev(F.col("at_us")))
+    pause = F.col("_before").isNull() | (F.col("at_us") - F.col("_before") >= least_us)
+    roots = checkpointed(before.filter(pause).select(*keys, "at_us"))
+    pointers = checkpointed(_next_marks(times, keys, least_us).filter("next is not null"))
+    inner = join_on(pointers, roots.select(*keys, F.col("at_us").alias("next"), F.lit(True).alias("_root")), [*keys, "next"], "left")
+    marks = _reached(roots, inner.filter("_root is null").drop("_root"), keys)
+    moves = join_on(join_on(marks, pointers, [*keys, "at_us"]), times.select(*keys, "at_us", "_last"), [*keys, "at_us"])
+    moves = join_on(moves, times.select(*keys, F.col("at_us").alias("next"), "_first"), [*keys, "next"])
+    rate = (F.col("_first") - F.col("_last")) * 1e6 / (F.col("next") - F.col("at_us"))
+    peaks = moves.groupBy(*keys).agg(F.greatest(F.max(rate), F.lit(0.0)).alias("peak_rate"))
+    named = roots.select(*keys).distinct()
+    return join_on(named, peaks, keys, "left").select(*keys, F.coalesce("peak_rate", F.lit(0.0)).alias("peak_rate"))
 
 
 def _merged(instants: DataFrame, samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

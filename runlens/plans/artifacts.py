@@ -87,7 +87,7 @@ def byte_diff(spark, sf):
 
 
 @query("numeric_distance", """WITH p AS (SELECT a.vec_id, a.embedding AS x, CASE WHEN a.vec_id % 10 = 0 THEN list_slice(b.embedding, 1, 5) ELSE b.embedding END AS y
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.label = b.label),
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
 g AS (SELECT *, CASE WHEN len(x) = len(y) THEN list_transform(list_zip(x, y), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE)) END AS g FROM p)
 SELECT vec_id, len(x) = len(y) AS size_equal, len(g) AS elements, len(list_filter(g, lambda v: v <> 0)) AS differing,
   len(list_filter(g, lambda v: v <> 0)) / len(g) AS differing_fraction, list_max(g) AS max_abs, round_even(list_sum(g) / len(g) * 1e9, 0) / 1e9 AS mean_abs,
@@ -96,8 +96,8 @@ SELECT vec_id, len(x) = len(y) AS size_equal, len(g) AS elements, len(list_filte
 def numeric_distance(spark, sf):
     vectors = table(spark, sf, "embeddings")
     other = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.when((F.col("vec_id") - 1) % 10 == 0, F.slice("embedding", 1, 5))
-                           .otherwise(F.col("embedding")).alias("right"), "label")
-    pairs = vectors.withColumnRenamed("embedding", "left").join(other, ["vec_id", "label"]).drop("label")
+                           .otherwise(F.col("embedding")).alias("right"))
+    pairs = vectors.select("vec_id", F.col("embedding").alias("left")).join(other, "vec_id")
     out = ops.numeric_distance(pairs)
     return out.withColumns({c: F.rint(F.col(c) * 1e9) / 1e9 for c in ("mean_abs", "rms")})
 

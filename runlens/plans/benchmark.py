@@ -212,7 +212,7 @@ def config_compare(spark, sf):
 
 
 define("params", """(SELECT tool AS config, concat('p', l_partkey % 200) AS param,
-  CAST(CAST(max(upload) AS BIGINT) AS VARCHAR) AS value FROM @bench WHERE status = 'failed' GROUP BY 1, 2)""")
+  CAST(CAST(max(upload) AS BIGINT) AS VARCHAR) AS value FROM @bench GROUP BY 1, 2)""")
 
 
 @query("config_diff", """WITH c AS (SELECT DISTINCT config FROM @params), k AS (SELECT DISTINCT param FROM @params),
@@ -221,7 +221,7 @@ g AS (SELECT param, config, coalesce(value, 'default') AS value FROM k CROSS JOI
 SELECT param, string_agg(concat(config, '=', value), ';' ORDER BY config) AS values FROM g
 GROUP BY param HAVING count(DISTINCT value) > 1""")
 def config_diff(spark, sf):
-    params = bench(spark, sf).filter(F.col("status") == "failed").groupBy(
+    params = bench(spark, sf).groupBy(
         F.col("tool").alias("config"), F.concat(F.lit("p"), F.col("l_partkey") % 200).alias("param")).agg(
         F.max("upload").cast("long").cast("string").alias("value"))
     return ops.config_diff(params)

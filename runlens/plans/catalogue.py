@@ -113,10 +113,8 @@ def case_of_files(spark, sf):
     return ops.case_of_files(cases, files).select("page_id", "case_id")
 
 
-define("jobs", """(SELECT source AS job, CASE WHEN doc_id % 2 = 0 THEN 't1' ELSE 't2' END AS argument, concat(lang, '/', doc_id) AS path, doc_id FROM documents
-  WHERE source <> 'src3' OR doc_id % 2 = 0)""")
-define("askedcases", """(SELECT d.source AS job, CAST(d.doc_id AS VARCHAR) AS case_id, d.doc_id, d.lang FROM documents d JOIN labels l USING (doc_id)
-  WHERE l.toxic = 1 OR d.source = 'src5')""")
+define("jobs", """(SELECT source AS job, CASE WHEN doc_id % 2 = 0 THEN 't1' ELSE 't2' END AS argument, concat(lang, '/', doc_id) AS path, doc_id FROM documents)""")
+define("askedcases", """(SELECT d.source AS job, CAST(d.doc_id AS VARCHAR) AS case_id, d.doc_id, d.lang FROM documents d JOIN labels l USING (doc_id))""")
 
 
 @query("narrow_to_cases", """WITH s AS (SELECT a.job, a.case_id, g.argument, CASE WHEN (a.doc_id % 2 = 0) = (g.argument = 't1') OR a.job <> 'src7' THEN coalesce(
@@ -130,10 +128,9 @@ def narrow_to_cases(spark, sf):
     number = F.col("doc_id")
     path = F.concat("lang", F.lit("/"), "doc_id")
     argument = F.when(number % 2 == 0, "t1").otherwise("t2")
-    inputs = documents.filter((F.col("source") != "src3") | (number % 2 == 0)).select(
+    inputs = documents.select(
         F.col("source").alias("job"), argument.alias("argument"), path.alias("path"))
-    asked = documents.join(table(spark, sf, "labels"), "doc_id").filter(
-        (F.col("toxic") == 1) | (F.col("source") == "src5")).select(F.col("source").alias("job"), number.cast("string").alias("case_id"), number, "lang")
+    asked = documents.join(table(spark, sf, "labels"), "doc_id").select(F.col("source").alias("job"), number.cast("string").alias("case_id"), number, "lang")
     first = documents.groupBy(F.col("source").alias("job"), "lang", argument.alias("argument")).agg(F.min("doc_id").alias("_first"))
     pairs = asked.join(inputs.select("job", "argument").distinct(), "job").join(first, ["job", "lang", "argument"], "left")
     aside = (F.col("job") == "src7") & ((number % 2 == 0) != (F.col("argument") == "t1"))

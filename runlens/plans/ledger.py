@@ -103,14 +103,13 @@ def run_compute(spark, sf):
 
 
 @query("history_kpis", """WITH c AS (SELECT run_id, sum(end_us - start_us) AS ran FROM @spans WHERE phase = 'running' AND end_us IS NOT NULL
-  GROUP BY run_id), f AS (SELECT r.*, coalesce(ran, 0) AS ran, coalesce(end_us - start_us, 0) AS took FROM @runs r LEFT JOIN c USING (run_id)
-  WHERE client % 10 < 5)
+  GROUP BY run_id), f AS (SELECT r.*, coalesce(ran, 0) AS ran, coalesce(end_us - start_us, 0) AS took FROM @runs r LEFT JOIN c USING (run_id))
 SELECT tool, count(*) AS runs, count(*) - count(*) FILTER (outcome = 'done') AS failed,
   CAST(floor(count(*) FILTER (outcome = 'done') * 100 / count(*) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS succeeded_percent,
   sum(ran) / 1e6 AS ran, sum(waited_us) / 1e6 AS waited, sum(took) / 1e6 AS took, max(took) / 1e6 AS longest
 FROM f GROUP BY GROUPING SETS ((tool), ())""")
 def history_kpis(spark, sf):
-    return ops.history_kpis(runs(spark, sf).filter(F.col("client") % 10 < 5), spans(spark, sf))
+    return ops.history_kpis(runs(spark, sf), spans(spark, sf))
 
 
 @query("client_activity", f"""WITH p AS (SELECT client, CASE WHEN end_us IS NOT NULL THEN batch_id END AS batch_id, batch_total, tool,
@@ -150,18 +149,22 @@ def nested_share(spark, sf):
     return ops.nested_share(runs(spark, sf), spans(spark, sf))
 
 
-@query("live_ledger_join", f"""WITH l AS (SELECT run_id, arg_max(phase, row(start_us, l_linenumber, l_partkey, l_suppkey)) AS phase FROM @spans
-  WHERE start_us < 946684800000000 GROUP BY run_id), g AS (SELECT * FROM @runs WHERE start_us >= 852076800000000)
+# The listing is of other runs than the ledger, but for those that both have.
+SHIFT = 1000
+
+
+@query("live_ledger_join", f"""WITH l AS (SELECT run_id + {SHIFT} AS run_id, arg_max(phase, row(start_us, l_linenumber, l_partkey, l_suppkey)) AS phase FROM @spans
+  GROUP BY run_id), g AS (SELECT * FROM @runs)
 SELECT coalesce(l.run_id, g.run_id) AS run_id, phase, {STATE.format(p='phase')} AS state, tool, outcome, l.run_id IS NOT NULL AS in_live,
   g.run_id IS NOT NULL AS in_ledger, NOT coalesce({STATE.format(p='phase')} IN ('running', 'pending'), false) AND end_us IS NOT NULL AS in_history
 FROM l FULL JOIN g ON l.run_id = g.run_id""")
 def live_ledger_join(spark, sf):
     from runlens.functions.events import phase_state
 
-    listing = spans(spark, sf).filter(F.col("start_us") < 946684800000000).groupBy("run_id").agg(F.max_by(
+    listing = spans(spark, sf).groupBy((F.col("run_id") + SHIFT).alias("run_id")).agg(F.max_by(
         "phase", F.struct("start_us", "l_linenumber", "l_partkey", "l_suppkey")).alias("phase")).withColumn(
         "state", phase_state(F.col("phase")))
-    return ops.live_ledger_join(listing, runs(spark, sf).filter(F.col("start_us") >= 852076800000000))
+    return ops.live_ledger_join(listing, runs(spark, sf))
 
 
 SPAN_ORDER = ["run_id", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
@@ -313,9 +316,9 @@ def inflight_peak(spark, sf):
 
 
 @query("queue_peaks", """SELECT run_id AS arm, count(*) AS points, max(k) AS run_peak, max(depth) AS held_peak, greatest(max(k + depth), 1) AS top
-FROM @evt WHERE k > 40 GROUP BY run_id HAVING count(*) >= 2""")
+FROM @evt GROUP BY run_id HAVING count(*) >= 2""")
 def queue_peaks(spark, sf):
-    return series.queue_peaks(events(spark, sf).filter(F.col("k") > 40).select(
+    return series.queue_peaks(events(spark, sf).select(
         F.col("run_id").alias("arm"), F.col("k").alias("running"), F.col("depth").alias("waiting")))
 
 
@@ -391,13 +394,12 @@ def asof_nearest(spark, sf):
 
 
 @query("interval_contains", f"""WITH m AS (SELECT start_us, coalesce(end_us, {RUNS_NOW_US}) AS e FROM @spans
-  WHERE phase = 'paused' AND (end_us IS NOT NULL OR start_us > 986000000000000)),
+  WHERE phase = 'paused'),
 s AS (SELECT start_us, max(e) OVER (ORDER BY start_us ROWS UNBOUNDED PRECEDING) AS e FROM m)
 SELECT i.run_id AS id, i.start_us AS at_us, coalesce(max(s.e) >= i.start_us, false) AS inside
 FROM (SELECT run_id, start_us + waited_us * 1000 AS start_us FROM @runs) i ASOF LEFT JOIN (SELECT start_us, max(e) AS e FROM s GROUP BY start_us) s
   ON i.start_us >= s.start_us GROUP BY i.run_id, i.start_us""")
 def interval_contains(spark, sf):
     moments = runs(spark, sf).select(F.col("run_id").alias("id"), (F.col("start_us") + F.col("waited_us") * 1000).alias("at_us"))
-    marks = spans(spark, sf).filter((F.col("phase") == "paused") & (
-        F.col("end_us").isNotNull() | (F.col("start_us") > 986000000000000)))
+    marks = spans(spark, sf).filter(F.col("phase") == "paused")
     return series.interval_contains(moments, marks, RUNS_NOW_US)

@@ -13,6 +13,7 @@ from itertools import zip_longest
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from runlens.functions.events import TERMINAL_PHASES, phase_state
 from runlens.functions.text import scrub_text
@@ -253,7 +254,7 @@ def progress_sink(path: str, order: list[str]) -> Callable[[DataFrame, int], Non
         slot = F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("slot")
         fresh = batch.select("run_id", *order, *FIELDS, slot, F.lit(number).alias("seen"))
         fresh.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/events/batch={number}")
-        kept = spark.read.schema(fresh.schema.add("batch", "int")).option("basePath", f"{path}/events").parquet(f"{path}/events")
+        kept = spark.read.schema(StructType([*fresh.schema.fields, StructField("batch", IntegerType())])).option("basePath", f"{path}/events").parquet(f"{path}/events")
         kept = kept.filter(F.col("batch") <= number)
         runs = kept.filter(F.col("batch") == number).select("run_id", "slot").distinct()
         slots = [r["slot"] for r in runs.select("slot").distinct().collect()]

@@ -1,5 +1,7 @@
 """Streams against their batch twins, the progress tree, sources and the transform registry."""
 
+import time
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -34,8 +36,12 @@ def test_listing_equals_batch(spark):
 def test_progress_equals_batch(spark):
     path, kept = scratch(spark, "weighted"), scratch(spark, "bars")
     batch = weighted(events(spark, FOLDER)).filter("run_id % 10 = 1")
-    batch.repartitionByRange(2, "at_us").sortWithinPartitions("at_us").write.parquet(path)
-    tail = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
+    middle = batch.agg(F.expr("cast(median(at_us) as long)")).first()[0]
+    # A log comes in order: the earlier half is there before the later one.
+    for part in (batch.filter(F.col("at_us") <= middle), batch.filter(F.col("at_us") > middle)):
+        part.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    tail = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
     query = tail.writeStream.foreachBatch(stream.progress_sink(kept, EVENT_ORDER)).option("checkpointLocation", f"{kept}-c").trigger(availableNow=True).start()
     query.awaitTermination()
     assert as_set(stream.read_progress(spark, kept)) == as_set(progress_tree(batch, EVENT_ORDER))
