@@ -18,13 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import KEY, keyed, text_of, written
+from runlens.llm.common import KEY, kept_by_worker, keyed, text_of, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
 WINDOW = 2048
-# Chunks of text with their ids that a worker remembers; when full, the memory starts anew.
-REMEMBERED = 600_000
+# Chunks of text, and words, with their ids that a worker remembers; when full, the memory starts anew.
+REMEMBERED = 800_000
 ROWS_PER_BUCKET = 4_000
 
 
@@ -40,7 +40,7 @@ class Encoder:
     The tokenizer's pattern never joins what a blank followed by a visible character separates, so a
     text is encoded chunk by chunk, each but the first with its leading blank. A chunk not met before
     is split by the pattern into words, and only words not met before are encoded. The memory only
-    saves time.
+    saves time. A text with a special token's string in it is encoded whole, as the tokenizer does it.
     """
 
     def __init__(self, path: str):
@@ -52,7 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.words_of = regex.compile(public_tokenizers.PATTERN).findall
         self.cut = regex.compile(r" (?=\S)")
         self.odd = regex.compile(r" \s| $")
@@ -75,6 +75,8 @@ class Encoder:
             self.known[part] = b"".join([self.words[word] for word in words])
 
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         first, *parts = self.cut.split(text) if self.odd.search(text) else text.split(" ")
         begin = np.array(self.tokenizer.encode(first, add_special_tokens=False).ids, dtype="<u4").tobytes()
         try:
@@ -97,7 +99,7 @@ def cut_documents(docs: DataFrame, path: str, window: int) -> DataFrame:
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = kept_by_worker(f"encoder {path}", lambda: Encoder(path))
         for batch in batches:
             keys, ids, starts, lengths, crcs, tokens = [], [], [], [], [], []
             for key, doc_id, text in zip(batch[KEY], batch["doc_id"], batch["text"]):
