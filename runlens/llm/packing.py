@@ -11,7 +11,8 @@ combinations with repeat counts. Pieces then take the places of their length by
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,10 @@ from runlens.llm.common import KEY, kept_by_worker, keyed, text_of, written
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
 WINDOW = 2048
-# Chunks of text, and words, with their ids that a worker remembers; when full, the memory starts anew.
-REMEMBERED = 800_000
+# Chunks of text, and words, with their ids that a worker remembers; a full memory is kept as the one before, once.
+REMEMBERED = 400_000
+# Characters of text that are split before what is new in them is learned.
+TEXT_AT_ONCE = 1_000_000
 ROWS_PER_BUCKET = 4_000
 
 
@@ -58,32 +61,66 @@ class Encoder:
         self.odd = regex.compile(r" \s| $")
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
 
-    def learn(self, parts: set[str]) -> None:
-        """Ids of chunks, given without their leading blank, and of the words in them."""
+    def age(self) -> None:
+        """A full memory becomes the one before; what is met again moves over, so that only rare words are forgotten."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known, self.known_before = {}, self.known
         if len(self.words) > REMEMBERED:
-            self.words = {}
-        split = {part: self.words_of(" " + part) for part in parts if part not in self.known}
-        new = list({word for words in split.values() for word in words if word not in self.words})
+            self.words, self.words_before = {}, self.words
+
+    def learn(self, parts: set[str]) -> None:
+        """Ids of chunks that are not known, given without their leading blank, and of the words in them."""
+        known, words, split, new = self.known, self.words, {}, []
+        for part in parts:
+            coded = self.known_before.get(part)
+            if coded is None:
+                split[part] = self.words_of(" " + part)
+            else:
+                known[part] = coded
+        for word in {word for found in split.values() for word in found}.difference(words):
+            coded = self.words_before.get(word)
+            if coded is None:
+                new.append(word)
+            else:
+                words[word] = coded
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.words[word] = np.array(coded.ids, dtype="<u4").tobytes()
-        for part, words in split.items():
-            self.known[part] = b"".join([self.words[word] for word in words])
+                words[word] = array("I", coded.ids).tobytes()
+        for part, found in split.items():
+            known[part] = words[found[0]] if len(found) == 1 else b"".join([words[word] for word in found])
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what is new in any of them is learned at once."""
+        self.age()
+        split = [None if any(token in text for token in self.special) else
+                 self.cut.split(text) if self.odd.search(text) else text.split(" ") for text in texts]
+        firsts = [None if parts is None else parts.pop(0) for parts in split]
+        self.learn(set().union(*[parts for parts in split if parts]).difference(self.known))
+        ids_of = self.known.__getitem__
+        return [self.whole(text) if parts is None else self.whole(first) + b"".join(map(ids_of, parts))
+                for text, first, parts in zip(texts, firsts, split)]
 
     def encode(self, text: str) -> bytes:
-        if any(token in text for token in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        first, *parts = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-        begin = np.array(self.tokenizer.encode(first, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        try:
-            return begin + b"".join([self.known[part] for part in parts])
-        except KeyError:
-            self.learn(set(parts))
-            return begin + b"".join([self.known[part] for part in parts])
+        return self.encode_all([text])[0]
+
+
+def portions(texts: Sequence[str], size: int = TEXT_AT_ONCE) -> Iterator[slice]:
+    """Neighbouring texts of about `size` characters together."""
+    start, held = 0, 0
+    for at, text in enumerate(texts):
+        held += len(text)
+        if held >= size:
+            yield slice(start, at + 1)
+            start, held = at + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def pieces_of(coded: bytes, window: int) -> Iterator[tuple[int, int, int]]:
@@ -102,8 +139,9 @@ def cut_documents(docs: DataFrame, path: str, window: int) -> DataFrame:
         encoder = kept_by_worker(f"encoder {path}", lambda: Encoder(path))
         for batch in batches:
             keys, ids, starts, lengths, crcs, tokens = [], [], [], [], [], []
-            for key, doc_id, text in zip(batch[KEY], batch["doc_id"], batch["text"]):
-                coded = encoder.encode(text) + end
+            texts = batch["text"].tolist()
+            encoded = (coded + end for portion in portions(texts) for coded in encoder.encode_all(texts[portion]))
+            for key, doc_id, coded in zip(batch[KEY], batch["doc_id"], encoded):
                 for start, length, crc in pieces_of(coded, window):
                     keys.append(key), ids.append(doc_id), starts.append(start)
                     lengths.append(length), crcs.append(crc), tokens.append(len(coded) // 4)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from runlens.llm.common import documents, labels
 from runlens.llm.mixing import MOST_PASSES, PACKET_WORDS, WEIGHTS, mix, mixed
+import runlens.llm.packing as packing
 from runlens.llm.packing import Encoder, pack, plan, tokenizer_path
 from runlens.llm.pii import DAY_0, DAYS, KEY, Feistel, Pseudonyms, check_digit, pseudonymise, scrubber
 from runlens.llm.rules import GRIDS, Risk, binomial_tail, certify, good_documents, judge, labelled, measured
@@ -63,6 +64,19 @@ def test_rules_keep_the_promise(spark, docs):
     assert left.columns == table.columns and left.count() == sum(verdicts.values())
 
 
+def test_rules_decide_with_the_usual_risk(spark):
+    """On the largest test table cutoffs are certified with the default risk, and the good documents stay."""
+    folder = "/root/testdata/sf0.1"
+    table, marks = documents(spark, folder), labels(spark, folder)
+    measures = measured(table.select("doc_id", "text")).cache()
+    assert {c["stratum"] for c in certify(labelled(measures, marks)).collect()} >= {1, 2}
+    verdicts = judge(table, marks).join(marks, "doc_id").where("not base_failed")
+    good, bad = verdicts.where("quality = 1"), verdicts.where("quality = 0")
+    assert good.where("not kept").count() <= 0.01 * good.count()
+    assert bad.where("not kept").count() >= 0.5 * bad.count()
+    measures.unpersist()
+
+
 def test_mix_shares(docs, odd):
     table = docs([(i, "w " * (i % 40 + 1), None, ["a", "b", "c", None][min(i % 7, 3)]) for i in range(600)])
     got = mix(table).join(table.select("doc_id", "source"), "doc_id").collect()
@@ -81,9 +95,18 @@ def test_mix_shares(docs, odd):
     assert mix(odd).count() == odd.count() and mix(docs([])).count() == 0
 
 
+def fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+SPECIAL = ["some <|endoftext|> text", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|>\n c", "<|endoftext|", "endoftext |>"]
+
+
 def test_packing_round_trip(docs, odd, spark):
-    tokenizer = Encoder(tokenizer_path()).tokenizer
-    for table in (odd, documents(spark, SMALL)):
+    tokenizer = fresh_tokenizer()
+    for table in (odd, documents(spark, SMALL), docs(list(enumerate(SPECIAL)))):
         texts = [(r.doc_id, r.text or "") for r in table.collect()]
         got = pack(table).collect()
         expected = Counter()
@@ -102,9 +125,17 @@ def test_packing_round_trip(docs, odd, spark):
 
 
 def test_encoder_joins_chunks_as_the_tokenizer_does():
-    encoder = Encoder(tokenizer_path())
-    for text in [*[t for t in ODD if t], "  a  b \n c\n\n d  ", " x", "\t a\t b  \n", "it's I'll  don't 12 a1", "é  ü b  c", "   x  y"]:
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    encoder, tokenizer = Encoder(tokenizer_path()), fresh_tokenizer()
+    for text in [*SPECIAL, *[t for t in ODD if t], "  a  b \n c\n\n d  ", " x", "\t a\t b  \n", "it's I'll  don't 12 a1", "é  ü b  c", "   x  y"]:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_with_a_small_memory(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    encoder, tokenizer = Encoder(tokenizer_path()), fresh_tokenizer()
+    for n in range(60):
+        text = " ".join(f"w{(n * k) % 11}," for k in range(1, 9))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_plan_holds_every_piece_once():
@@ -236,7 +267,7 @@ def test_pipeline(spark):
 def kept_by_force(texts, good):
     """Ids that the base rules and the cutoffs leave, each cutoff by the sum of exact binomial terms."""
     risk = Risk()
-    allowed, level = risk.false_rejection / len(GRIDS), (1 - risk.confidence) / (len(GRIDS) * (len(risk.bands) + 1))
+    allowed, level = risk.false_rejection, (1 - risk.confidence) / (len(risk.bands) + 1)
     facts = {}
     for i, text in texts.items():
         n, chars, symbols, dup, _, failed = base_by_force(text)
@@ -248,13 +279,13 @@ def kept_by_force(texts, good):
     cutoffs = []
     for band in range(len(risk.bands) + 1):
         held = [m for i, (failed, b, m) in facts.items() if i in good and b == band and not failed]
-        for rule, grid in GRIDS.items():
-            for cutoff in grid:
-                k = sum(m[rule] > cutoff for m in held)
-                tail = sum(math.comb(len(held), j) * allowed**j * (1 - allowed) ** (len(held) - j) for j in range(k + 1))
-                if k >= len(held) * allowed or tail > level:
-                    break
-                cutoffs.append((band, rule, cutoff))
+        for step in range(max(map(len, GRIDS.values()))):
+            at = {rule: grid[min(step, len(grid) - 1)] for rule, grid in GRIDS.items()}
+            k = sum(any(m[rule] > cutoff for rule, cutoff in at.items()) for m in held)
+            tail = sum(math.comb(len(held), j) * allowed**j * (1 - allowed) ** (len(held) - j) for j in range(k + 1))
+            if k >= len(held) * allowed or tail > level:
+                break
+            cutoffs += [(band, rule, cutoff) for rule, cutoff in at.items()]
     return {i for i, (failed, b, m) in facts.items() if not failed and not any(b == band and m[rule] > cutoff for band, rule, cutoff in cutoffs)}
 
 
@@ -336,7 +367,7 @@ def test_pipeline_by_force(spark, docs, tmp_path):
     expected = mixed_by_force(left, sources)
     table = stages["mixing sources to target weights"](spark, table, folder)
     assert Counter((r.doc_id, r.text) for r in table.collect()) == Counter(expected)
-    pieces, tokenizer = Counter(), Encoder(tokenizer_path()).tokenizer
+    pieces, tokenizer = Counter(), fresh_tokenizer()
     for i, text in expected:
         ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
         for start in range(0, len(ids), 2048):
