@@ -51,8 +51,7 @@ def _metric(rule: str) -> str:
 
 
 def _rules(risk: Risk = Risk()) -> str:
-    tests = len(GRIDS) * (len(risk.bands) + 1)
-    allowed, level = risk.false_rejection / len(GRIDS), (1 - risk.confidence) / tests
+    allowed, level, steps = risk.false_rejection, (1 - risk.confidence) / (len(risk.bands) + 1), max(map(len, GRIDS.values()))
     grid = ", ".join(f"('{rule}', {step}, CAST({cutoff} AS DOUBLE))" for rule, cuts in GRIDS.items() for step, cutoff in enumerate(cuts))
     band = " + ".join(f"CASE WHEN n_words >= {edge} THEN 1 ELSE 0 END" for edge in risk.bands)
     # Where nothing is there to divide by, a share of distinct words is 1 and any other metric 0.
@@ -72,13 +71,13 @@ b AS (SELECT * EXCLUDE (word_chars0), coalesce(word_chars0, 0) AS word_chars, co
 grid(rule, step, cutoff) AS (VALUES {grid}),
 x AS (SELECT doc_id, stratum, base_failed, rule, {metric} AS metric FROM b, (SELECT DISTINCT rule FROM grid)),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-k AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (metric > cutoff) AS k
-  FROM x JOIN good USING (doc_id) JOIN grid USING (rule) WHERE NOT base_failed GROUP BY ALL),
+y AS (SELECT doc_id, any_value(stratum) AS stratum, any_value(base_failed) AS base_failed, min(step) FILTER (metric > cutoff) AS step FROM x JOIN grid USING (rule) GROUP BY doc_id),
+k AS (SELECT stratum, t AS step, count(*) AS n, count(*) FILTER (step <= t) AS k FROM y JOIN good USING (doc_id), range({steps}) r(t) WHERE NOT base_failed GROUP BY ALL),
 q AS (SELECT *, CASE WHEN k >= n * {allowed!r} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({allowed!r}) + (n - i) * ln(1 - {allowed!r})))
   FROM (SELECT unnest(range(k + 1)) AS i)) END AS tail FROM k),
-z AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, min(CASE WHEN tail <= {level!r} THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok FROM q)
+z AS (SELECT stratum, max(step) AS certified FROM (SELECT *, min(CASE WHEN tail <= {level!r} THEN 1 ELSE 0 END) OVER (PARTITION BY stratum ORDER BY step) AS ok FROM q)
   WHERE ok = 1 GROUP BY ALL),
-f AS (SELECT DISTINCT x.doc_id FROM x JOIN z ON x.stratum = z.stratum AND x.rule = z.rule WHERE x.metric > z.cutoff)
+f AS (SELECT doc_id FROM y JOIN z ON y.stratum = z.stratum WHERE y.step <= z.certified)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, repeats AS n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM f) AS kept FROM b
 """

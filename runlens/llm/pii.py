@@ -9,7 +9,6 @@ who holds the key can turn them back.
 from __future__ import annotations
 
 import datetime
-import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -18,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.llm.common import kept_by_worker
+
 ROUNDS = 8
 KEY = b"a key that is not a secret: pass your own"
 DAY_0, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900-01-01 to 2099-12-31
@@ -70,9 +71,12 @@ def date_class(day: datetime.date) -> tuple[int, bool]:
     return (0 if day.day < 10 else 1 if day.day <= 12 else 2), day.month < 10
 
 
-@functools.cache
 def dates_by_class() -> dict[tuple[int, bool], dict[int, int]]:
     """Per class its days, each with its place."""
+    return kept_by_worker("dates by class", _dates_by_class)
+
+
+def _dates_by_class() -> dict[tuple[int, bool], dict[int, int]]:
     classes: dict[tuple[int, bool], dict[int, int]] = {}
     for number in range(DAY_0, DAY_0 + DAYS):
         members = classes.setdefault(date_class(datetime.date.fromordinal(number)), {})
@@ -80,9 +84,8 @@ def dates_by_class() -> dict[tuple[int, bool], dict[int, int]]:
     return classes
 
 
-@functools.cache
 def days_of(name: tuple[int, bool]) -> list[int]:
-    return list(dates_by_class()[name])
+    return kept_by_worker(f"days of {name}", lambda: list(dates_by_class()[name]))
 
 
 def is_card(digits: str) -> bool:

@@ -1,16 +1,18 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 A rule rejects a document whose metric is above a cutoff. Cutoffs come from a fixed grid, from
-lenient to strict. For each stratum (band of length) and rule they are tested in that order on the
-labelled documents: a cutoff is certified if the exact binomial tail shows that it rejects less
-than the allowed share of good documents; the first that fails ends the walk. The walk needs no
-correction inside a rule; over strata and rules the level is divided by their number (Bonferroni),
-and the allowed share is divided over the rules, so that all rules together stay within it.
+lenient to strict, and all rules are made stricter together, one step of their grids at a time. For
+each stratum (band of length) the steps are tested in that order on the labelled documents: a step
+is certified if the exact binomial tail shows that its rules together reject less than the allowed
+share of good documents; the first that fails ends the walk. The walk needs no correction inside a
+stratum, nor do the rules, which are tested as one; over strata the level is divided by their number
+(Bonferroni).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,25 +124,32 @@ def labelled(measures: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def certify(good: DataFrame, risk: Risk = Risk(), grids: dict[str, tuple[float, ...]] = GRIDS) -> DataFrame:
-    """stratum, rule, cutoff: the strictest certified cutoff of each rule in each stratum, if there is one.
+    """stratum, rule, cutoff: the cutoffs of the strictest certified step in each stratum that has one.
 
-    `good` are measured good documents. Each is counted against every cutoff before anything is
-    shuffled: one row per stratum and task leaves the map side.
+    `good` are measured good documents. Each is counted against every step before anything is
+    shuffled: one row per stratum and task leaves the map side. A grid that is shorter than others
+    stays at its last cutoff.
     """
-    tests = len(grids) * (len(risk.bands) + 1)
-    allowed, level = risk.false_rejection / len(grids), (1 - risk.confidence) / tests
-    beyond = [
-        F.struct(F.lit(rule).alias("rule"), F.lit(step).alias("step"), F.lit(float(cutoff)).alias("cutoff"),
-                 F.sum(F.when(F.col("__metrics")[rule] > cutoff, 1).otherwise(0)).alias("k"))
-        for rule, grid in grids.items() for step, cutoff in enumerate(grid)
-    ]
+    level = (1 - risk.confidence) / (len(risk.bands) + 1)
+
+    def cutoff(grid: tuple[float, ...], step: int) -> float:
+        return float(grid[min(step, len(grid) - 1)])
+
+    def rejected(step: int) -> Column:
+        return reduce(lambda a, b: a | b, [F.col("__metrics")[rule] > cutoff(grid, step) for rule, grid in grids.items()])
+
+    steps = range(max(map(len, grids.values())))
+    beyond = [F.struct(F.lit(step).alias("step"), F.sum(F.when(rejected(step), 1).otherwise(0)).alias("k"),
+                       F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cutoff(grid, step)).alias("cutoff")) for rule, grid in grids.items()]).alias("cutoffs"))
+              for step in steps]
     counts = (good.where("not base_failed").groupBy(stratum(risk).alias("stratum"))
               .agg(F.count(F.lit(1)).alias("n"), F.array(*beyond).alias("tests")))
     tested = counts.select("stratum", "n", F.explode("tests").alias("t")).select("stratum", "n", "t.*")
-    passed = (binomial_tail(F.col("k"), F.col("n"), allowed) <= level).cast("int")
-    walk = Window.partitionBy("stratum", "rule").orderBy("step")
-    return (tested.withColumn("__passed", passed).withColumn("__sofar", F.min("__passed").over(walk))
-            .where("__sofar = 1").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff")))
+    passed = (binomial_tail(F.col("k"), F.col("n"), risk.false_rejection) <= level).cast("int")
+    walk = Window.partitionBy("stratum").orderBy("step")
+    certified = tested.withColumn("__passed", passed).withColumn("__sofar", F.min("__passed").over(walk)).where("__sofar = 1")
+    strictest = certified.groupBy("stratum").agg(F.max_by("cutoffs", "step").alias("cutoffs"))
+    return strictest.select("stratum", F.explode("cutoffs").alias("c")).select("stratum", "c.*")
 
 
 def verdict(cutoffs: list, risk: Risk) -> Column:
@@ -172,10 +181,9 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """The rows of `docs` that `judge` keeps, all columns as they were."""
-    good = written(labelled(measured(docs.select("doc_id", "text")).drop("text"), labels), "labelled")
-    cutoffs = certify(good, risk).collect()
     names = [F.col(c).alias(f"__doc_{i}") for i, c in enumerate(docs.columns)]
-    # A filter does not move below a column like __here: measures are taken once, not once per cutoff.
-    measures = measured(docs.select(*names, F.col("text"))).withColumn("__here", F.spark_partition_id())
-    kept = measures.where(verdict(cutoffs, risk) & (F.col("__here") >= 0))
+    # Written with their measures, so that each document is measured once.
+    measures = written(measured(docs.select(*names, "doc_id", "text")).drop("text"), "measures")
+    cutoffs = certify(labelled(measures, labels), risk).collect()
+    kept = measures.where(verdict(cutoffs, risk))
     return kept.select(*[F.col(f"__doc_{i}").alias(c) for i, c in enumerate(docs.columns)])
