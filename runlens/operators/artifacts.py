@@ -6,9 +6,11 @@ keeps its row with nulls. Where contents are compared they are columns of the ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -248,25 +250,51 @@ def shared_copies(entries: DataFrame, min_bytes: int = 1024) -> DataFrame:
         F.when((F.col("inodes") > 1) & (F.col("size") >= min_bytes), extra).otherwise(0).alias("wasted"))
 
 
-LIMB = 16  # hexadecimal digits of a hash that are added up together: four limbs are the whole hash
+def _digests(batches: Iterator[pyarrow.RecordBatch], keys: list[str]) -> Iterator[pyarrow.RecordBatch]:
+    """The digest of each tree of a partition sorted by tree and path, its files streamed through one hash."""
+    tree, files, digest, schema, found = None, 0, None, None, []
+
+    def rows() -> pyarrow.RecordBatch:
+        columns = [pyarrow.array([f[0][i] for f in found], schema.field(k).type) for i, k in enumerate(keys)]
+        return pyarrow.record_batch([*columns, pyarrow.array([f[1] for f in found], pyarrow.int64()),
+                                     pyarrow.array([f[2] for f in found], pyarrow.string())], names=[*keys, "files", "digest"])
+
+    for batch in batches:
+        schema = batch.schema
+        for *name, path, content in zip(*[batch.column(c).to_pylist() for c in [*keys, "path", "content"]]):
+            if digest is None or name != tree:
+                if digest is not None:
+                    found.append((tree, files, digest.hexdigest()))
+                tree, files, digest = name, 0, hashlib.sha256()
+            files += 1
+            for piece in (path, b"\0", content, b"\0"):
+                digest.update(piece)
+        if found:
+            yield rows()
+            found = []
+    if digest is not None:
+        found = [(tree, files, digest.hexdigest())]
+        yield rows()
 
 
 def tree_fingerprint(files: DataFrame, stored: DataFrame | None = None, keys: Sequence[str] = ("tree",)) -> DataFrame:
-    """One digest per tree of (path, content), the same whatever the order or partitioning.
+    """One sha256 per tree: of every file its path, a zero byte, its bytes and a zero byte, in the order of path parts.
 
-    Every file is hashed with its path where it is read; the hashes of a tree are added up,
-    which a map side can begin, and the sums are hashed. Generated files do not count. With
-    `stored` digests a tree is `stale` when its own differs.
+    What a Python interpreter generates does not count. The digest is sequential by its definition, so the files
+    of a tree go through one task, sorted, and are streamed: it holds a batch of them. With `stored`
+    digests a tree is `stale` when its own differs. A null content counts as an empty file.
     """
-    counted = files.filter(~F.concat(F.lit("/"), "path").contains("/__pycache__/") & ~F.col("path").rlike(r"\.(pyc|pyo)$"))
-    one = F.sha2(F.concat(F.col("path").cast("binary"), F.lit(b"\0"), F.col("content").cast("binary"), F.lit(b"\0")), 256)
-    limbs = [F.conv(F.substring("_h", 1 + i * LIMB, LIMB), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    sums = counted.select(*keys, one.alias("_h")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("files"), *[F.sum(limb).alias(f"_{i}") for i, limb in enumerate(limbs)])
-    out = sums.select(*keys, "files", F.sha2(F.concat_ws(":", "files", "_0", "_1", "_2", "_3"), 256).alias("digest"))
+    keys = list(keys)
+    counted = files.filter(~F.concat(F.lit("/"), "path").contains("/__pycache__/") & ~F.col("path").rlike(r"[^/]\.(pyc|pyo)$"))
+    rows = counted.select(*keys, F.col("path").cast("binary").alias("path"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"),
+                          F.split("path", "/").alias("_parts"))
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "_parts").drop("_parts")
+    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "files bigint", "digest string"])
+    out = ordered.mapInArrow(lambda batches: _digests(batches, keys), schema)
     if stored is None:
         return out
-    return join_on(out, stored.select(*keys, F.col("digest").alias("_stored")), list(keys), "left").select(
+    return join_on(out, stored.select(*keys, F.col("digest").alias("_stored")), keys, "left").select(
         *keys, "files", "digest", (~F.col("digest").eqNullSafe(F.col("_stored"))).alias("stale"))
 
 

@@ -199,8 +199,12 @@ def close_orphans(events: DataFrame, order: Sequence[str], restart_us: int) -> D
 
 
 def live_listing(events: DataFrame, order: Sequence[str], pauses: DataFrame | None = None,
-                 limit: int | None = None) -> DataFrame:
-    """The latest state per run, newest started first; a pause record overrides unless the run ended."""
+                 limit: int | None = None, records: DataFrame | None = None) -> DataFrame:
+    """The latest state per run, newest started first; a pause record overrides unless the run ended.
+
+    With `records` (run_id, tool, client, batch_id, start_us; one row a run) each run has what it was registered with
+    and the chain of calls it is in, and counts as started when it was registered.
+    """
     place = F.struct(*order)
     rows = _progress(events).groupBy("run_id").agg(
         F.max_by(F.struct("phase", "fraction", "depth", "at_us"), place).alias("_last"),
@@ -215,8 +219,12 @@ def live_listing(events: DataFrame, order: Sequence[str], pauses: DataFrame | No
     listed = rows.select("run_id", phase.alias("phase"), fx.phase_state(phase).alias("state"),
                          F.col("_last.fraction").alias("fraction"), F.col("_last.depth").alias("depth"),
                          "started_us", F.col("_last.at_us").alias("updated_us"))
-    newest = [F.desc("started_us"), F.col("run_id")]
-    return listed if limit is None else listed.orderBy(*newest).limit(limit)
+    if records is not None:
+        known = records.select("run_id", "tool", "client", "batch_id", F.when(F.col("start_us") > 0, F.col("start_us")).alias("_registered"))
+        listed = join_on(join_on(listed, known, ["run_id"], "left"), open_chain(events, order), ["run_id"], "left")
+        listed = listed.withColumns({"started_us": F.coalesce("_registered", "started_us"), "chain": F.coalesce("chain", F.lit(""))}).drop("_registered")
+    newest = listed.orderBy(F.desc("started_us"), "run_id")
+    return newest if limit is None else newest.limit(limit)
 
 
 def idle_expiry(events: DataFrame, order: Sequence[str], now_us: int, ttl_s: int = 900,

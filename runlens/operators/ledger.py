@@ -158,7 +158,8 @@ def client_activity(live: DataFrame, ledger: DataFrame, rules: DataFrame, now_us
 
     `live` has (client, tool, state, phase, start_us, updated_us, batch_id, batch_total, run_id);
     `rules` has the clients that have a rule, listed even when idle. One row per cohort
-    still moving or finished within 15 minutes; a client without one has a single row.
+    still moving or finished within 15 minutes; a client without one has a single row. The busiest client
+    comes first, then the one seen last; of a client the cohort started last.
     """
     seen = F.coalesce("end_us", "start_us")
     finished = F.col("end_us").isNotNull()
@@ -190,7 +191,8 @@ def client_activity(live: DataFrame, ledger: DataFrame, rules: DataFrame, now_us
     return clients.join(shown, "client", "left").select(
         "client", F.coalesce("custom", F.lit(False)).alias("custom"), F.coalesce("last_seen_us", no).alias("last_seen_us"),
         *[F.coalesce(c, no).alias(c) for c in ("client_running", "client_waiting", "runs_today")],
-        "batch_id", "tool", "total", "done", "failed", "running", "waiting", "started_us")
+        "batch_id", "tool", "total", "done", "failed", "running", "waiting", "started_us").orderBy(
+        (F.col("client_running") + F.col("client_waiting")).desc(), F.desc("last_seen_us"), "client", F.desc_nulls_last("started_us"), "batch_id")
 
 
 def runs_in_flight(live: DataFrame, cap: int) -> DataFrame:

@@ -20,6 +20,8 @@ from runlens.session import checkpointed, hot_rows
 
 MAX_SLICES = 1 << 16  # a power of two; beyond 65 billion rows of one key slices grow
 SAMPLES_PER_SLICE = 16
+# Points at which the sketch of a hot group is asked.
+LEAST_CELLS, MOST_CELLS = 64, 4096
 
 
 @dataclass(frozen=True)
@@ -253,22 +255,89 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn(position, F.row_number().over(window)).filter(F.col(position) <= k)
 
 
+def _sorted_stats(df: DataFrame, keys: list[str], names: list[str], ranks: dict) -> DataFrame:
+    """One struct per value: n, min, max and its ranks, from groups that fit one task."""
+    lists = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in names])
+
+    def stats(values: Column) -> Column:
+        n = F.size(values).cast("long")
+        return F.struct(n.alias("n"), F.get(values, 0).alias("min"), F.get(values, (n - 1).cast("int")).alias("max"),
+                        *[F.get(values, rank_of(n).cast("int") - 1).alias(name) for name, rank_of in ranks.items()])
+
+    return lists.select(*keys, *[stats(F.col(name)).alias(name) for name in names])
+
+
+def _sketched_stats(df: DataFrame, keys: list[str], names: list[str], ranks: dict, largest: int, limit: int) -> DataFrame:
+    """The same of groups of any size up to `largest`, in two passes over the rows as they are.
+
+    The first keeps a sketch per value, whose error is a twentieth of a cell of its grid. So each rank lies
+    between two points of the grid a few cells apart. The second pass counts what is below them and
+    keeps what is between them, a small part of the group; values at the points themselves, of which there
+    may be many, are only counted.
+    """
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 8 * largest // limit))
+    points = F.array(*[F.lit(i / cells) for i in range(cells + 1)])
+    first = checkpointed(df.groupBy(*keys).agg(*[F.struct(
+        F.count(name).alias("n"), F.min(name).alias("min"), F.max(name).alias("max"),
+        F.percentile_approx(name, points, F.lit(20 * cells)).alias("grid")).alias(f"_{name}") for name in names]))
+
+    def bracket(name: str, rank_of) -> Column:
+        sketch = F.col(f"_{name}")
+        place = rank_of(sketch["n"]) / F.nullif(sketch["n"], F.lit(0)) * cells
+        low, high = F.floor(place).cast("int") - 1, F.ceil(place).cast("int") + 1
+        return F.struct(F.when(low <= 0, sketch["min"]).otherwise(F.get(sketch["grid"], low)).alias("low"),
+                        F.when(high >= cells, sketch["max"]).otherwise(F.get(sketch["grid"], high)).alias("high"))
+
+    wanted = first.select(*keys, *[F.struct(*[bracket(name, r).alias(k) for k, r in ranks.items()]).alias(f"_b_{name}") for name in names])
+
+    def part(name: str, rank: str) -> Column:
+        value, low, high = F.col(name), F.col(f"_b_{name}")[rank]["low"], F.col(f"_b_{name}")[rank]["high"]
+        return F.struct(F.count(F.when(value < low, 1)).alias("below"), F.count(F.when(value == low, 1)).alias("at_low"),
+                        F.sort_array(F.collect_list(F.when((value > low) & (value < high), value))).alias("between"),
+                        F.count(F.when((value == high) & (high > low), 1)).alias("at_high"),
+                        F.first(low).alias("low"), F.first(high).alias("high"))
+
+    second = join_on(df, wanted, keys).groupBy(*keys).agg(*[F.struct(*[part(name, rank).alias(rank) for rank in ranks]).alias(f"_p_{name}") for name in names])
+
+    def answer(name: str, rank: str, rank_of) -> Column:
+        found = F.col(f"_p_{name}")[rank]
+        after = rank_of(F.col(f"_{name}")["n"]).cast("long") - found["below"]
+        inside = after - found["at_low"]
+        last = inside - F.size(found["between"])
+        return (F.when(F.col(f"_{name}")["n"] == 0, F.lit(None)).when((after < 1) | (last > found["at_high"]), F.raise_error(F.lit("a rank lies outside its bracket")))
+                .when(inside < 1, found["low"]).when(last < 1, F.get(found["between"], inside.cast("int") - 1)).otherwise(found["high"]))
+
+    both = join_on(first, second, keys)
+    return both.select(*keys, *[F.struct(*[F.col(f"_{name}")[c].alias(c) for c in ("n", "min", "max")],
+                                         *[answer(name, k, r).alias(k) for k, r in ranks.items()]).alias(name) for name in names])
+
+
+def _stats(df: DataFrame, keys: list[str], names: list[str], ranks: dict) -> DataFrame:
+    """Exact order statistics of several values per group, one struct each.
+
+    Groups whose size was checked are sorted in place; hot ones are answered by sketches and brackets.
+    """
+    limit = max(1, hot_rows(df.sparkSession) // (4 * len(names)))
+    hot = checkpointed(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit))
+    largest = hot.agg(F.max("_n")).first()[0]
+    if largest is None:
+        return _sorted_stats(df, keys, names, ranks)
+    marked = join_on(df, hot, keys, "left")
+    cold = marked.filter(F.col("_n").isNull()).drop("_n")
+    return _sorted_stats(cold, keys, names, ranks).unionByName(
+        _sketched_stats(marked.filter(F.col("_n").isNotNull()).drop("_n"), keys, names, ranks, largest, limit))
+
+
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, **ranks) -> DataFrame:
     """Exact order statistics of `value` per group: n, min, max and one column per rank.
 
-    Each rank maps the group's size column to the 1-based rank wanted. Groups whose size was
-    checked are sorted in place. Otherwise values are counted per distinct value first, so a
-    hot group shrinks before its shuffle, and its distinct values are ranked slice by slice.
+    Each rank maps the group's size column to the 1-based rank wanted. See `_stats` for hot groups. One too large for
+    the finest sketch is counted per distinct value before its shuffle, and its values are ranked slice by slice.
     """
     keys = list(keys)
     present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    if not _hot(present, keys, 4):
-        sorted_groups = present.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
-            F.sort_array(F.collect_list("_v")).alias("_all"))
-        return sorted_groups.select(
-            *keys, "n", "min", "max",
-            *[F.get("_all", rank_of(F.col("n")).cast("int") - 1).alias(name) for name, rank_of in ranks.items()])
+    if not _beyond_sketches(present, keys, 1):
+        return _stats(present, keys, ["_v"], ranks).select(*keys, *[F.col("_v")[c].alias(c) for c in ("n", "min", "max", *ranks)])
     counted = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k"))
     upto = along(counted, keys, ["_v"], _upto=running_sum(F.col("_k")))
     sized = with_totals(upto, keys, n=F.sum("_k"))
@@ -278,23 +347,24 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, **ranks) ->
           for name, rank_of in ranks.items()])
 
 
+def _beyond_sketches(df: DataFrame, keys: Sequence[str], names: int) -> bool:
+    """Whether a group has more rows than the finest grid brings down to what one task may sort."""
+    limit = max(1, hot_rows(df.sparkSession) // (4 * names))
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    return largest > limit * MOST_CELLS // 8
+
+
 def wide_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """The median of several values per group, one column each, nulls left out.
 
-    Groups whose size was checked are answered in one pass; with a hot one among them the
-    values are turned into rows and ranked like any other order statistic.
+    All values of a row are looked at together, in hot groups too; only a group too large for
+    the finest sketch has its values turned into rows.
     """
     keys, names = list(keys), list(values)
     narrow = df.select(*keys, *[c.cast("double").alias(n) for n, c in values.items()])
-    if not _hot(narrow, keys, 4 * len(names)):
-        sorted_groups = narrow.groupBy(*keys).agg(*[F.sort_array(F.collect_list(n)).alias(n) for n in names])
-
-        def middle(values: Column) -> Column:
-            n = F.size(values)
-            low, high = F.get(values, ((n - 1) / 2).cast("int")), F.get(values, (n / 2).cast("int"))
-            return F.when(n > 0, (low + high) / 2)
-
-        return sorted_groups.select(*keys, *[middle(F.col(n)).alias(n) for n in names])
+    if not _beyond_sketches(narrow, keys, len(names)):
+        stats = _stats(narrow, keys, names, {"lo": lower_middle, "hi": upper_middle})
+        return stats.select(*keys, *[((F.col(n)["lo"] + F.col(n)["hi"]) / 2).alias(n) for n in names])
     rows = narrow.unpivot(keys, names, "_name", "_value")
     return medians_of(rows, [*keys, "_name"], "_value").groupBy(*keys).pivot("_name", names).agg(F.first("median"))
 

@@ -124,13 +124,8 @@ def shared_copies(spark, sf):
     return ops.shared_copies(entries)
 
 
-HEX = "sum(CAST(CAST(concat('0x', substr(h, {a}, 16)) AS UBIGINT) AS HUGEINT))"
-
-
-@query("tree_fingerprint", f"""WITH f AS (SELECT source AS tree, sha256(encode(concat(lang, '/', doc_id, '.txt')) || '\\x00'::BLOB || encode(text) || '\\x00'::BLOB) AS h
-  FROM documents WHERE lang <> 'es'),
-d AS (SELECT tree, count(*) AS files, sha256(concat_ws(':', count(*), {HEX.format(a=1)}, {HEX.format(a=17)}, {HEX.format(a=33)}, {HEX.format(a=49)})) AS digest FROM f GROUP BY tree)
-SELECT tree, files, digest, tree <> 'src1' AS stale FROM d""")
+@query("tree_fingerprint", """SELECT source AS tree, count(*) AS files, source <> 'src1' AS stale,
+  sha256(string_agg(concat(lang, '/', doc_id, '.txt', chr(0), text, chr(0)), '' ORDER BY lang, concat(doc_id, '.txt'))) AS digest FROM documents WHERE lang <> 'es' GROUP BY source""")
 def tree_fingerprint(spark, sf):
     documents = table(spark, sf, "documents")
     ending = F.when(F.col("lang") == "es", ".pyc").otherwise(".txt")

@@ -9,7 +9,6 @@ from runlens.functions import text as tx
 from runlens.operators import events as ops
 from runlens.plans.bindings import EVENT_ORDER, EVENTS_NOW_US, define, events, runs, table
 from runlens.plans.registry import query
-from runlens.sources.tables import spread
 
 STATE = ("CASE WHEN {p} IN ('received', 'staging', 'queued_gpu') THEN 'pending' "
          "WHEN {p} IN ('running', 'packaging') THEN 'running' ELSE {p} END")
@@ -188,12 +187,15 @@ def close_orphans(spark, sf):
 @query("live_listing", f"""WITH s AS (SELECT run_id, arg_max(phase, pos) AS last, arg_max(fraction, pos) AS fraction,
   arg_max(depth, pos) AS depth, min(at_us) AS started_us, max(at_us) AS updated_us FROM @evt WHERE NOT is_log GROUP BY run_id),
 h AS (SELECT s.*, CASE WHEN d.run_id IS NOT NULL AND last NOT IN ('done', 'failed', 'cancelled') THEN 'paused' ELSE last END AS phase
-  FROM s LEFT JOIN (SELECT DISTINCT client % 50 AS run_id FROM @runs WHERE outcome IS NULL AND client % 50 < 20) d USING (run_id))
-SELECT run_id, phase, {STATE.format(p='phase')} AS state, fraction, depth, started_us, updated_us FROM h""")
+  FROM s LEFT JOIN (SELECT DISTINCT client % 50 AS run_id FROM @runs WHERE outcome IS NULL AND client % 50 < 20) d USING (run_id)),
+c AS (SELECT run_id, depth, tool, max(at_us) AS last_us FROM @evt WHERE NOT is_log AND tool IS NOT NULL GROUP BY run_id, depth, tool HAVING count(*) % 2 = 1),
+o AS (SELECT run_id, string_agg(tool, '>' ORDER BY depth, last_us, tool) AS chain FROM c GROUP BY run_id)
+SELECT h.run_id, phase, {STATE.format(p='phase')} AS state, fraction, depth, CASE WHEN r.start_us > 0 THEN r.start_us ELSE started_us END AS started_us, updated_us,
+  r.tool AS tool, r.client AS client, r.batch_id AS batch_id, coalesce(o.chain, '') AS chain FROM h LEFT JOIN @runs r USING (run_id) LEFT JOIN o USING (run_id)""")
 def live_listing(spark, sf):
     pauses = runs(spark, sf).filter(F.col("outcome").isNull() & (F.col("client") % 50 < 20)).select(
         (F.col("client") % 50).alias("run_id"))
-    return ops.live_listing(events(spark, sf), EVENT_ORDER, pauses)
+    return ops.live_listing(events(spark, sf), EVENT_ORDER, pauses, records=runs(spark, sf))
 
 
 @query("idle_expiry", f"""WITH d AS (SELECT *, at_us + CASE WHEN phase = 'paused' THEN 43200000000 ELSE 21600000000 END AS due
@@ -282,7 +284,7 @@ def parse_batch(spark, sf):
 def scrub_text(spark, sf):
     documents = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     pages = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    return spread(documents).union(spread(pages)).select("kind", "id", tx.scrub_text(F.col("text")).alias("scrubbed"))
+    return documents.union(pages).select("kind", "id", tx.scrub_text(F.col("text")).alias("scrubbed"))
 
 
 @query("canonical_name", "SELECT p_partkey, regexp_replace(lower(p_name), '[^\\pL\\pN]', '', 'g') AS name FROM part")

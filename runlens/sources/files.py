@@ -8,6 +8,7 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-BLOCK = 2**20
+BLOCK, LINE_BLOCK = 2**20, 2**13
 # Folders that the driver looks for before tasks walk one each, and files of folders it has seen in one task.
 FOLDERS, FILES_PER_TASK = 64, 64
 ROWS_PER_BATCH = 1000
@@ -66,11 +67,22 @@ class Tree:
         except OSError:
             return None
 
+    def open(self, name: str) -> BinaryIO:
+        return open(self.at(name), "rb") if self.store is None else self.store.open_input_stream(self.at(name))
+
+    def first_line(self, name: str) -> bytes:
+        """A file up to its first line end, read block by block."""
+        found = b""
+        with self.open(name) as file:
+            while b"\n" not in found and (block := file.read(LINE_BLOCK)):
+                found += block
+        return found.partition(b"\n")[0].rstrip(b"\r")
+
     def sha256(self, name: str) -> str | None:
         """The hash of a file read block by block; none where it cannot be read."""
         digest = hashlib.sha256()
         try:
-            with open(self.at(name), "rb") if self.store is None else self.store.open_input_stream(self.at(name)) as file:
+            with self.open(name) as file:
                 while block := file.read(BLOCK):
                     digest.update(block)
         except OSError:

@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.args import stripped
-
-
-SPLIT_BYTES = 1 << 20
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """A small table dealt out over the cores, for work that costs far more than a shuffle.
-
-    One row group is one task, however long its texts take. A table of as many splits as
-    there are cores, which is any table of size, is left as it is.
-    """
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    wanted = min(rows.sparkSession.sparkContext.defaultParallelism, size // SPLIT_BYTES)
-    return rows if wanted < 4 or rows.rdd.getNumPartitions() >= wanted else rows.repartition(wanted)
+from runlens.sources.files import Tree, list_files
 
 
 def _blanks_dropped(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    filled = [F.coalesce(stripped(F.col(f"`{c}`")), F.lit("")) != "" for c in columns]
-    anything = filled[0]
-    for other in filled[1:]:
-        anything = anything | other
-    return rows.filter(anything)
+    return rows.filter(F.concat(*[F.coalesce(stripped(F.col(f"`{c}`")), F.lit("")) for c in columns]) != "")
 
 
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -40,21 +24,31 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     return _blanks_dropped(rows, rows.columns)
 
 
+def _heads(root: str) -> Callable[[Iterator[pyarrow.RecordBatch]], Iterator[pyarrow.RecordBatch]]:
+    """A function that reads the first line of each named file below `root`, and no more of it than a block."""
+
+    def work(batches: Iterator[pyarrow.RecordBatch]) -> Iterator[pyarrow.RecordBatch]:
+        tree = Tree(root)
+        for batch in batches:
+            heads = [tree.first_line(name) for name in batch.column("name").to_pylist()]
+            yield pyarrow.record_batch([batch.column("name"), pyarrow.array(heads, pyarrow.binary())], names=["name", "head"])
+
+    return work
+
+
 def union_csv_dir(spark: SparkSession, folder: str) -> DataFrame:
     """Every CSV of a folder in one table, refused when their headers differ.
 
-    Only the first line of each file travels for the check.
+    For the check the first line of each file is read, whatever its length, and nothing after its block.
     """
-    pattern = f"{folder.rstrip('/')}/*.[cC][sS][vV]"
-    starts = spark.read.text(pattern).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("_id")).filter(F.col("block") == 0)
-    heads = starts.groupBy("path").agg(F.min_by("value", "_id").alias("head"))
-    found = heads.groupBy("head").agg(F.min("path").alias("path")).orderBy("path").limit(2).collect()
+    direct = ~F.col("name").contains("/") & F.col("name").rlike(r"(?i)^[^_.].*\.csv$")
+    heads = list_files(spark, folder).filter(direct & (F.col("size") > 0)).select("name").mapInArrow(_heads(folder), "name string, head binary")
+    found = heads.groupBy("head").agg(F.min("name").alias("name")).orderBy("name").limit(2).collect()
     if not found:
         raise ValueError(f"No .csv file found directly in {folder}")
     if len(found) > 1:
-        raise ValueError(f"{found[1]['path']} has different columns from {found[0]['path']}")
+        raise ValueError(f"{found[1]['name']} has different columns from {found[0]['name']}")
+    pattern = f"{folder.rstrip('/')}/*.[cC][sS][vV]"
     rows = spark.read.csv(pattern, header=True, inferSchema=False, quote='"', escape='"')
     return _blanks_dropped(rows.select("*", F.col("_metadata.file_name").alias("_source_file")), rows.columns)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from runlens.functions import args as fa
 from runlens.operators import artifacts, benchmark, catalogue, events, ledger, series
 from runlens.operators.ordered import top_per_group
-from runlens.sources import files
+from runlens.sources import files, tables
 
 RECORD = ("n long, tool string, path string, status string, warmup boolean, total_seconds double, error_message string, "
           "concurrency long, window_seconds double, peak_mib map<string,long>, baseline_mib map<string,long>")
@@ -215,6 +215,40 @@ def test_fingerprint_does_not_depend_on_order(spark):
     assert one == two != other
 
 
+def test_fingerprint_by_its_rule(spark, tmp_path):
+    """The digest over path, zero byte, bytes, zero byte of files in the order of pathlib, as it is defined."""
+    contents = {"pkg/__init__.py": b"def run():\n    pass\n", "pkg/b.py": b"X = 1\n", "pkg.py": b"# top\n", "pkg/a/é.py": b"\xff\x00", "a-b/x": b"", "a/x": b"1",
+                "a.pyc": b"?", "pkg/__pycache__/b.py": b"?", ".pyc": b"kept", "z/.pyo": b"kept too", "x.pyo": b"?"}
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    expected = hashlib.sha256()
+    for path in sorted(p for p in tmp_path.rglob("*") if p.is_file()):
+        if "__pycache__" not in path.parts and path.suffix not in (".pyc", ".pyo"):
+            expected.update(path.relative_to(tmp_path).as_posix().encode() + b"\0" + path.read_bytes() + b"\0")
+    df = spark.createDataFrame([("t", n, c) for n, c in contents.items()] + [("u", "only", None), (None, "p", b"q")], "tree string, path string, content binary")
+    got = {r["tree"]: (r["files"], r["digest"]) for r in rows(artifacts.tree_fingerprint(df.repartition(3)))}
+    assert got["t"] == (8, expected.hexdigest())
+    assert got["u"] == (1, hashlib.sha256(b"only\0\0").hexdigest()) and got[None] == (1, hashlib.sha256(b"p\0q\0").hexdigest())
+
+
+def test_headers_are_read_alone(spark, tmp_path):
+    """Files that agree are joined; of each only the beginning is read, and one that does not agree is named."""
+    head = ",".join(f"column_{i}" for i in range(800))
+    for n in range(3):
+        (tmp_path / f"f{n}.csv").write_bytes((head + "\r\n" + ",".join(["1"] * 800) + "\r\n").encode())
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "other.csv").write_text("x\n1\n")
+    (tmp_path / "empty.csv").touch()
+    assert files.Tree(str(tmp_path)).first_line("f0.csv") == head.encode()
+    assert tables.union_csv_dir(spark, f"file:{tmp_path}").count() == 3
+    (tmp_path / "G.CSV").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="f0.csv has different columns from G.CSV"):
+        tables.union_csv_dir(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="No .csv file"):
+        tables.union_csv_dir(spark, str(tmp_path / "nothing"))
+
+
 @pytest.mark.parametrize("text, value", [(" a, ,b ", ["a", "b"]), ('["x", "y,z"]', ["x", "y,z"]), ("[broken", None), ("", [])])
 def test_lists(spark, text, value):
     assert spark.range(1).select(fa.parse_list(F.lit(text)).alias("v")).first().v == value
