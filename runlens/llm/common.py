@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 import types
 from collections.abc import Callable
@@ -70,6 +71,23 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return with_key(docs.select(*dict.fromkeys(("doc_id", *columns, *own))))
 
 
+READ = ("doc_id", "text", "source", "n_chars")
+
+
+def names_kept(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that gives back the columns of `docs`, whatever they are called.
+
+    Inside it every column but `READ` has a name of no meaning, so that none is taken for one of the stage's own.
+    """
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args: Any, **parameters: Any) -> DataFrame:
+        inside = docs.toDF(*[name if name in READ else f"column_{i}" for i, name in enumerate(docs.columns)])
+        return stage(inside, *args, **parameters).select(*inside.columns).toDF(*docs.columns)
+
+    return run
+
+
 def only(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of `docs`, which carries `KEY`, whose key is in `keys`; `KEY` is dropped."""
     return docs.join(keys.select(KEY), KEY, "left_semi").drop(KEY)

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm.common import KEY, ascii_lower, keyed, only, text_of, with_key, written
+from runlens.llm.common import KEY, ascii_lower, keyed, only, text_of, with_key, written, names_kept
 from runlens.session import scratch
 
 # The state in RocksDB, its files no larger than what they hold: many small stores share a disk.
@@ -106,6 +106,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256,
     return equal.select(*columns).unionAll(collided.select(*columns))
 
 
+@names_kept
 def without_copies(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each group of equal texts, all columns as they were."""
     rows = with_key(docs)

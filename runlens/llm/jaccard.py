@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import KEY, keyed, only, text_of, with_key, written
+from runlens.llm.common import KEY, keyed, only, text_of, with_key, written, names_kept
 from runlens.llm.planes import mixed, packed, slice_of, unpacked
 
 POSTINGS_PER_BLOB = 1_000_000
@@ -364,6 +364,7 @@ def with_ranges(sets: DataFrame) -> DataFrame:
     return sets.withColumn("ranges", count("ids"))
 
 
+@names_kept
 def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """`docs` with one row of each group of linked documents, all columns as they were.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import (
+    names_kept,
     KEY, SPACE, WORD, before_each, in_ranges, keyed, numbered, only, text_of, with_key, written,
 )
 
@@ -139,6 +140,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int =
     return queue.select(*columns, F.coalesce(words, F.lit(0)).alias("taken"))
 
 
+@names_kept
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of the mix: a document as often as it is taken, all columns as they were.
 

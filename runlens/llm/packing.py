@@ -24,7 +24,7 @@ from runlens.llm.common import KEY, kept_by_worker, keyed, text_of, written
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
 WINDOW = 2048
-# Chunks of text, and words, with their ids that a worker remembers; a full memory is kept as the one before, once.
+# Chunks of text with their ids that a worker remembers; a full memory is kept as the one before, once.
 REMEMBERED = 400_000
 # Characters of text that are split before what is new in them is learned.
 TEXT_AT_ONCE = 1_000_000
@@ -62,36 +62,45 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.known_before: dict[str, bytes] = {}
-        self.words_before: dict[str, bytes] = {}
 
     def age(self) -> None:
         """A full memory becomes the one before; what is met again moves over, so that only rare words are forgotten."""
         if len(self.known) > REMEMBERED:
             self.known, self.known_before = {}, self.known
         if len(self.words) > REMEMBERED:
-            self.words, self.words_before = {}, self.words
+            self.words = {}
+
+    def remembered(self, part: str) -> bool:
+        """Whether the ids of a chunk are known; those of the memory before move over."""
+        if part in self.known:
+            return True
+        coded = self.known_before.get(part)
+        if coded is not None:
+            self.known[part] = coded
+        return coded is not None
 
     def learn(self, parts: set[str]) -> None:
-        """Ids of chunks that are not known, given without their leading blank, and of the words in them."""
-        known, words, split, new = self.known, self.words, {}, []
+        """Ids of chunks that are not known, given without their leading blank.
+
+        The first word of a chunk is a chunk itself; the words after it have no blank before them.
+        """
+        known, words, heads, several = self.known, self.words, set(), {}
         for part in parts:
-            coded = self.known_before.get(part)
-            if coded is None:
-                split[part] = self.words_of(" " + part)
-            else:
-                known[part] = coded
-        for word in {word for found in split.values() for word in found}.difference(words):
-            coded = self.words_before.get(word)
-            if coded is None:
-                new.append(word)
-            else:
-                words[word] = coded
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                words[word] = array("I", coded.ids).tobytes()
-        for part, found in split.items():
-            known[part] = words[found[0]] if len(found) == 1 else b"".join([words[word] for word in found])
+            if not self.remembered(part):
+                found = self.words_of(" " + part)
+                if len(found) > 1:
+                    several[part] = found
+                    if self.remembered(found[0][1:]):
+                        continue
+                heads.add(found[0][1:])
+        tails = {word for found in several.values() for word in found[1:]}.difference(words)
+        for memory, lead, new in ((known, " ", list(heads)), (words, "", list(tails))):
+            for at in range(0, len(new), 10_000):
+                some = new[at : at + 10_000]
+                for word, coded in zip(some, self.tokenizer.encode_batch_fast([lead + word for word in some], add_special_tokens=False)):
+                    memory[word] = array("I", coded.ids).tobytes()
+        for part, (first, *rest) in several.items():
+            known[part] = b"".join([known[first[1:]], *[words[word] for word in rest]])
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

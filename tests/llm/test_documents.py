@@ -15,6 +15,8 @@ import corpus_pipeline
 from runlens.llm.common import documents, labels
 from runlens.llm.mixing import MOST_PASSES, PACKET_WORDS, WEIGHTS, mix, mixed
 import runlens.llm.packing as packing
+from runlens.llm.exact_dedup import without_copies
+from runlens.llm.jaccard import one_of_each
 from runlens.llm.packing import Encoder, pack, plan, tokenizer_path
 from runlens.llm.pii import DAY_0, DAYS, KEY, Feistel, Pseudonyms, check_digit, pseudonymise, scrubber
 from runlens.llm.rules import GRIDS, Risk, binomial_tail, certify, good_documents, judge, labelled, measured
@@ -77,6 +79,19 @@ def test_rules_decide_with_the_usual_risk(spark):
     measures.unpersist()
 
 
+@pytest.mark.parametrize("stage", [without_copies, one_of_each, mixed])
+def test_columns_that_clash(stage, docs):
+    """Columns that are called like a stage's own are kept as they are, and change nothing."""
+    rows = [(i, f"some words of text number {i % 4} and more of them", None, "s") for i in range(8)]
+    plain = stage(docs(rows))
+    clashing = docs(rows).withColumns({"__row_key": F.lit(1), "__size": F.lit("a"), "__taken": F.lit(None).cast("int"), "__cut": F.col("doc_id") * 2,
+                                       "kept": F.lit(True), "digest": F.lit("x"), "column_0": F.lit(3), "n": F.lit(4), "key": F.lit(5)})
+    got = stage(clashing)
+    assert got.columns == clashing.columns
+    assert rows_of(got, "doc_id", "text", "source", "n_chars") == rows_of(plain, "doc_id", "text", "source", "n_chars")
+    assert got.where("__cut != doc_id * 2 or __row_key != 1 or column_0 != 3 or not kept").count() == 0
+
+
 def test_mix_shares(docs, odd):
     table = docs([(i, "w " * (i % 40 + 1), None, ["a", "b", "c", None][min(i % 7, 3)]) for i in range(600)])
     got = mix(table).join(table.select("doc_id", "source"), "doc_id").collect()
