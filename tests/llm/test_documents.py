@@ -389,3 +389,35 @@ def test_pipeline_by_force(spark, docs, tmp_path):
             part = ids[start : start + 2048]
             pieces[i, start, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
     assert Counter(tuple(r)[:5] for r in corpus_pipeline.run(spark, folder).collect()) == pieces
+
+
+TRAVELLER = """
+import pickle, sys
+assert "runlens" not in sys.modules
+found = pickle.load(open(sys.argv[1], "rb"))()
+assert "runlens" not in sys.modules
+print(found)
+"""
+
+
+def test_worker_functions_need_no_package(tmp_path):
+    """What workers run travels by value: it works where this package cannot be imported."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from runlens.llm.tokens import Pieces, model_path
+
+    path, model = tokenizer_path(), model_path()
+
+    def work():
+        text, spans = scrubber(KEY)("born 1987-02-28, card 4111 1111 1111 1111")
+        return text, len(spans), Pieces(model).count("hello world"), Encoder(path).encode("hello <|endoftext|> world").hex()
+
+    (tmp_path / "work").write_bytes(cloudpickle.dumps(work))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", TRAVELLER, str(tmp_path / "work")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.strip() == str(work())
