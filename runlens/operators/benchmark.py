@@ -126,6 +126,8 @@ def concurrency_table(records: DataFrame, order: Sequence[str]) -> DataFrame:
         F.array_max(F.map_values("_first.baseline_mib")).alias("baseline_vram_mib"))
 
 
+# Configurations whose names are sent to every task.
+MOST_CONFIGS = 10_000
 # A name and its separator take three characters at least, so this many names fill 400.
 NAMES_SHOWN = 150
 
@@ -237,15 +239,22 @@ def config_compare(records: DataFrame, order: Sequence[str]) -> DataFrame:
 def config_diff(params: DataFrame) -> DataFrame:
     """Parameters (config, param, value) whose value is not the same in every configuration.
 
-    A configuration that does not set a parameter has the value `default`.
+    A configuration that does not set a parameter has the value `default`. Each row of the answer names every
+    configuration, so their number is looked at before their names are sent to every task.
     """
-    configs = params.agg(F.array_sort(F.collect_set("config")).alias("_configs"))
-    values = params.groupBy("param").agg(F.map_from_entries(F.collect_set(F.struct("config", "value"))).alias("_set"))
-    shown = values.join(F.broadcast(configs)).withColumn("_values", F.transform(
-        "_configs", lambda c: F.coalesce(F.element_at(F.col("_set"), c), F.lit("default"))))
-    return shown.filter(F.size(F.array_distinct("_values")) > 1).select(
-        "param", F.array_join(F.zip_with("_configs", "_values",
-                                         lambda c, v: F.concat(c, F.lit("="), v)), ";").alias("values"))
+    names = params.select("config").distinct()
+    known = names.limit(MOST_CONFIGS + 1).count()
+    if known > MOST_CONFIGS:
+        raise ValueError(f"at most {MOST_CONFIGS} configurations can be compared side by side")
+    # Told apart by counts, so that only parameters that differ have their values brought together.
+    told = params.groupBy("param").agg(F.count_distinct(F.when(F.col("value").isNotNull(), F.col("config"))).alias("_set"), F.min("value").alias("_low"), F.max("value").alias("_high"))
+    unset = (F.col("_set") < known) & ((F.col("_low") != "default") | (F.col("_high") != "default"))
+    differing = told.filter((F.col("_low") != F.col("_high")) | unset).select("param")
+    values = params.join(differing, "param", "left_semi").groupBy("param").agg(
+        F.map_from_entries(F.collect_set(F.struct("config", "value"))).alias("_set"))
+    configs = names.agg(F.array_sort(F.collect_list("config")).alias("_configs"))
+    return values.join(F.broadcast(configs)).select("param", F.array_join(F.transform("_configs", lambda c: F.concat(
+        c, F.lit("="), F.coalesce(F.element_at(F.col("_set"), c), F.lit("default")))), ";").alias("values"))
 
 
 def arm_summary(records: DataFrame, phases: DataFrame) -> DataFrame:

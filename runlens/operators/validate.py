@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from runlens.functions import args as fa
 
+# Declared arguments that are sent to every task.
+LARGEST_SPEC = 10_000
+
 
 def check_unknown_args(requests: DataFrame, spec: DataFrame) -> DataFrame:
     """The argument names of each request that the spec does not have, sorted."""
@@ -20,7 +23,14 @@ def check_unknown_args(requests: DataFrame, spec: DataFrame) -> DataFrame:
 
 
 def _one_row(spec: DataFrame, *columns: str) -> DataFrame:
-    """The whole spec as one row: a specification is a handful of declared arguments."""
+    """The whole spec as one row, to be sent to every task: its size is looked at first.
+
+    Every request has a row for each argument in the answer, so a specification that is refused here
+    would multiply the requests by as much.
+    """
+    declared = spec.limit(LARGEST_SPEC + 1).count()
+    if declared > LARGEST_SPEC:
+        raise ValueError(f"a specification may declare {LARGEST_SPEC} arguments at most")
     return spec.agg(F.array_sort(F.collect_list(F.struct("pos", "arg", *columns))).alias("_spec"))
 
 

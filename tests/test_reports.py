@@ -195,6 +195,25 @@ def test_files_of_any_length_have_a_hash(spark, tmp_path):
     assert files.Tree(str(tmp_path)).sha256("none") is None
 
 
+def test_parameters_that_differ(spark, monkeypatch):
+    params = spark.createDataFrame([("a", "same", "1"), ("b", "same", "1"), ("c", "same", "1"), ("a", "some", "1"), ("b", "some", None), ("a", "usual", "default"),
+                                    ("b", "none", None), ("a", "two", "1"), ("b", "two", "2"), ("c", "two", "2")], "config string, param string, value string")
+    assert [tuple(r.values()) for r in rows(benchmark.config_diff(params), "param")] == [("some", "a=1;b=default;c=default"), ("two", "a=1;b=2;c=2")]
+    monkeypatch.setattr(benchmark, "MOST_CONFIGS", 2)
+    with pytest.raises(ValueError, match="at most 2 configurations"):
+        benchmark.config_diff(params)
+
+
+def test_the_listing_has_the_run_s_record(spark):
+    from runlens.plans.bindings import EVENT_ORDER, events as event_log
+    log = event_log(spark, "/root/testdata/sf0.001").filter("run_id < 6")
+    records = spark.createDataFrame([(1, "T", "c", "b", 7), (2, "U", None, None, 0)], "run_id long, tool string, client string, batch_id string, start_us long")
+    got = events.live_listing(log, EVENT_ORDER, records=records).collect()
+    assert [r.started_us for r in got] == sorted((r.started_us for r in got), reverse=True) and got[-1].run_id == 1 and got[-1].started_us == 7
+    assert {(r.run_id, r.tool, r.client, r.batch_id) for r in got if r.run_id in (1, 2)} <= {(1, "T", "c", "b"), (2, "U", None, None)}
+    assert all(r.chain is not None for r in got) and all(r.tool is None for r in got if r.run_id not in (1, 2))
+
+
 def test_json_paths(spark):
     def side(text):
         return spark.createDataFrame([("x", text)], "name string, content string")
