@@ -121,6 +121,7 @@ def suffix_order(data: np.ndarray, depth: int, memory: int = MEMORY) -> np.ndarr
     marked = np.zeros(len(text), dtype=bool)
     marked[leftmost] = True
     by_substring = rough[marked[rough]]
+    del rough, marked
     # Names: equal substrings, to the next leftmost S position, get equal numbers.
     ends = np.full(len(text), len(text) - 1, dtype=np.int32)
     ends[leftmost[:-1]] = leftmost[1:]
@@ -136,9 +137,10 @@ def suffix_order(data: np.ndarray, depth: int, memory: int = MEMORY) -> np.ndarr
         same = same[equal & inside]
         at += 1
     names = np.cumsum(new).astype(np.int64)
-    rank = np.zeros(len(text), dtype=np.int64)
+    rank = np.zeros(len(text), dtype=np.int32)
     rank[by_substring] = names
-    reduced = rank[leftmost]
+    reduced = rank[leftmost].astype(np.int64)
+    del ends, rank
     # The reduced string of names is ordered in turn: by one name, two, four, until `depth` symbols are told apart.
     order = np.argsort(reduced, kind="stable")
     width = 1

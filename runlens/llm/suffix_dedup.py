@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import KEY, keyed, numbered, text_of, written
+from runlens.llm.common import KEY, in_buckets, keyed, numbered, shuffles_freed, text_of, written
 from runlens.llm.induced import suffix_order
 from runlens.llm.planes import mixed, packed, slice_of, unpacked
 
@@ -33,8 +33,8 @@ GRAM = 16
 SEGMENT = 1 << 20
 POSTINGS_PER_BLOB = 500_000
 POSTINGS_PER_SLICE = 500_000
-# Text per shard; pieces are at most three to four times the repeated text.
-BYTES_PER_SHARD = 12 << 20
+# Text per shard; pieces are at most three to four times the repeated text. Sorting takes some 50 bytes of memory a byte.
+BYTES_PER_SHARD = 6 << 20
 # Rows of one anchor from which its windows are dealt one by one.
 COMMON = 5_000
 # Anchors go by the upper 56 bits of their hash.
@@ -213,8 +213,8 @@ def repeated_windows(packed_pieces: DataFrame, length: int) -> DataFrame:
             return np.concatenate([np.zeros(0, np.uint64), *[unpacked(b, width) for b in rows[column]]])
 
         out = []
-        first, count = numbers(part[known], "starts", 5).astype(np.int64), numbers(part[known], "windows", 3).astype(np.int64)
-        out.append((numbers(part[known], "keys", 8).astype(np.int64), first, first + count - 1))
+        begins, count = numbers(part[known], "starts", 5).astype(np.int64), numbers(part[known], "windows", 3).astype(np.int64)
+        out.append((numbers(part[known], "keys", 8).astype(np.int64), begins, begins + count - 1))
         part = part[~known]
         anchors = numbers(part, "anchors", 8)
         keys = numbers(part, "keys", 8).astype(np.int64)
@@ -239,8 +239,9 @@ def repeated_windows(packed_pieces: DataFrame, length: int) -> DataFrame:
             out.append((keys[gone], starts[gone], starts[gone] + windows[gone] - 1))
         if len(left):
             text = np.frombuffer(b"".join([data[offsets[i] : offsets[i] + sizes[i]] for i in left.tolist()]), dtype=np.uint8)
-            owner = np.repeat(np.arange(len(left)), sizes[left])
-            inside = np.arange(len(text)) - np.repeat(np.cumsum(sizes[left]) - sizes[left], sizes[left])
+            del first, data, part
+            owner = np.repeat(np.arange(len(left), dtype=np.int32), sizes[left])
+            inside = np.arange(len(text), dtype=np.int32) - np.repeat((np.cumsum(sizes[left]) - sizes[left]).astype(np.int32), sizes[left])
             suffixes = suffix_order(text, length)
             suffixes = suffixes[inside[suffixes] < windows[left][owner[suffixes]]]
             eight = words8(text)
@@ -306,10 +307,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, common: int = COMMON) ->
     shards = max(1, -(-total // BYTES_PER_SHARD))
     # A row's runs as arrays side by side: the text's own length bounds them.
     own = runs.groupBy(KEY).agg(F.collect_list(F.struct(*RUNS)).alias("runs")).select(KEY, *[F.col(f"runs.{c}").alias(c) for c in RUNS])
-    suspects = written(rows.select(KEY, "text").join(own.hint("merge"), KEY), "suspects")
-    found = repeated_windows(pieces(suspects, length, shards), length)
-    again = found.groupBy(KEY).agg(F.collect_list(F.struct("start", "last")).alias("found"))
-    again = again.select(KEY, F.col("found.start").alias("starts"), F.col("found.last").alias("lasts"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -321,7 +318,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, common: int = COMMON) ->
                               [{"begin": a, "end": b} for a, b in spans]))
             yield pd.DataFrame(rows_, columns=[KEY, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    changed = written(suspects.select(KEY, "text").join(again.hint("merge"), KEY).mapInPandas(work, RESULT), "changed")
+    # Texts are shuffled once: their buckets serve the pieces as well as the cutting, and no shuffle outlives its write.
+    with in_buckets(rows.select(KEY, "text").join(own.hint("merge"), KEY), "suspects", KEY) as suspects:
+        found = repeated_windows(pieces(suspects, length, shards), length)
+        again = found.groupBy(KEY).agg(F.collect_list(F.struct("start", "last")).alias("found"))
+        again = again.select(KEY, F.col("found.start").alias("starts"), F.col("found.last").alias("lasts"))
+        with shuffles_freed(docs.sparkSession):
+            changed = written(suspects.select(KEY, "text").join(again.hint("merge"), KEY).mapInPandas(work, RESULT), "changed")
     other = changed.select(KEY, F.col("n_removed").alias("__removed"), F.col("n_spans").alias("__spans"),
                            F.col("kept_sha256").alias("__sha"), "spans")
     none = F.array().cast("array<struct<begin: bigint, end: bigint>>")

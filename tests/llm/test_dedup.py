@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import runlens.llm.jaccard as jaccard
 import runlens.llm.suffix_dedup as suffix
-from runlens.llm.common import KEY, documents
+from runlens.llm.common import FREED, KEY, documents, in_buckets, shuffles_freed, written
 from runlens.llm.exact_dedup import DedupIndex, exact_dedup, without_copies
 from runlens.llm.induced import suffix_order
 from runlens.llm.jaccard import Likeness, near_copies, one_of_each
@@ -102,6 +103,45 @@ def test_suffix_odd_rows(odd, docs):
     assert suffix_dedup(docs([])).count() == 0
 
 
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {name for name in (blocks.apply(i).name() for i in range(blocks.size())) if name.startswith("shuffle_")}
+
+
+def test_suffix_shuffles_texts_once_and_frees_the_files(docs, spark, monkeypatch):
+    seen = {}
+
+    def noted(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen[name] = spark.conf.get(FREED, "false"), plan.count("Exchange hashpartitioning(__row_key")
+        return written(df, name)
+
+    monkeypatch.setattr(suffix, "written", noted)
+    setting, tables = spark.conf.get(FREED, None), spark.catalog.listTables()
+    assert suffix_dedup(docs([(i, f"{i % 7} " * 200) for i in range(50)])).where("n_removed > 0").count() == 50
+    # What was found is dealt by row; the texts lie that way already.
+    assert seen["changed"] == ("true", 1)
+    assert spark.conf.get(FREED, None) == setting and spark.catalog.listTables() == tables
+
+
+def test_shuffles_are_freed_when_a_write_ends(spark):
+    before = shuffle_files(spark)
+    with shuffles_freed(spark):
+        kept = written(spark.range(1000).repartition(3, "id"), "freed")
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and kept.count() == 1000
+
+
+def test_buckets_are_joined_where_they_lie(docs, spark):
+    with in_buckets(docs([(i, "x" * i) for i in range(50)]), "some", "doc_id") as stored:
+        joined = stored.join(spark.range(40).withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
+        assert joined.count() == 40
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
 def test_suffix_order_with_queues_on_disk():
     rng = np.random.default_rng(0)
     for _ in range(60):
