@@ -26,6 +26,8 @@ END_ID = 1
 WINDOW = 2048
 # Chunks of text with their ids that a worker remembers; a full memory is kept as the one before, once.
 REMEMBERED = 400_000
+# New chunks that go to the tokenizer as one text.
+TOGETHER = 200
 # Characters of text that are split before what is new in them is learned.
 TEXT_AT_ONCE = 1_000_000
 ROWS_PER_BUCKET = 4_000
@@ -38,69 +40,63 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers, with a memory of chunks and of words.
+    """Ids of texts as little-endian 32-bit integers, with a memory of chunks.
 
     The tokenizer's pattern never joins what a blank followed by a visible character separates, so a
-    text is encoded chunk by chunk, each but the first with its leading blank. A chunk not met before
-    is split by the pattern into words, and only words not met before are encoded. The memory only
-    saves time. A text with a special token's string in it is encoded whole, as the tokenizer does it.
+    text is encoded chunk by chunk, each but the first with its leading blank. Chunks not met before
+    go to the tokenizer many in one text; a chunk without another blank begins where a token does that
+    begins with one. The memory only saves time. A text with a special token's string in it is encoded
+    whole, as the tokenizer does it.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words_of = regex.compile(public_tokenizers.PATTERN).findall
+        vocabulary = self.tokenizer.get_vocab()
+        # Byte-level tokens write a blank as this letter.
+        self.after_blank = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.after_blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.cut = regex.compile(r" (?=\S)")
         self.odd = regex.compile(r" \s| $")
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.known_before: dict[str, bytes] = {}
 
     def age(self) -> None:
         """A full memory becomes the one before; what is met again moves over, so that only rare words are forgotten."""
         if len(self.known) > REMEMBERED:
             self.known, self.known_before = {}, self.known
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-
-    def remembered(self, part: str) -> bool:
-        """Whether the ids of a chunk are known; those of the memory before move over."""
-        if part in self.known:
-            return True
-        coded = self.known_before.get(part)
-        if coded is not None:
-            self.known[part] = coded
-        return coded is not None
 
     def learn(self, parts: set[str]) -> None:
-        """Ids of chunks that are not known, given without their leading blank.
-
-        The first word of a chunk is a chunk itself; the words after it have no blank before them.
-        """
-        known, words, heads, several = self.known, self.words, set(), {}
+        """Ids of chunks that are not in the memory, given without their leading blank."""
+        known, before, alone, many = self.known, self.known_before.get, [], []
         for part in parts:
-            if not self.remembered(part):
-                found = self.words_of(" " + part)
-                if len(found) > 1:
-                    several[part] = found
-                    if self.remembered(found[0][1:]):
-                        continue
-                heads.add(found[0][1:])
-        tails = {word for found in several.values() for word in found[1:]}.difference(words)
-        for memory, lead, new in ((known, " ", list(heads)), (words, "", list(tails))):
-            for at in range(0, len(new), 10_000):
-                some = new[at : at + 10_000]
-                for word, coded in zip(some, self.tokenizer.encode_batch_fast([lead + word for word in some], add_special_tokens=False)):
-                    memory[word] = array("I", coded.ids).tobytes()
-        for part, (first, *rest) in several.items():
-            known[part] = b"".join([known[first[1:]], *[words[word] for word in rest]])
+            coded = before(part)
+            if coded is not None:
+                known[part] = coded
+            elif " " in part:
+                alone.append(part)
+            else:
+                many.append(part)
+        groups = [many[at : at + TOGETHER] for at in range(0, len(many), TOGETHER)]
+        for at in range(0, len(groups), 50):
+            some = groups[at : at + 50]
+            for group, coded in zip(some, self.tokenizer.encode_batch_fast([" " + " ".join(group) for group in some], add_special_tokens=False)):
+                ids = np.array(coded.ids, dtype="<u4")
+                edges = [*(4 * np.flatnonzero(self.after_blank[ids])).tolist(), 4 * len(ids)]
+                if edges[0] or len(edges) != len(group) + 1:
+                    alone.extend(group)
+                else:
+                    known.update(zip(group, map(ids.tobytes().__getitem__, map(slice, edges, edges[1:]))))
+        for at in range(0, len(alone), 10_000):
+            some = alone[at : at + 10_000]
+            for part, coded in zip(some, self.tokenizer.encode_batch_fast([" " + part for part in some], add_special_tokens=False)):
+                known[part] = array("I", coded.ids).tobytes()
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

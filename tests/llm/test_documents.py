@@ -153,6 +153,33 @@ def test_encoder_with_a_small_memory(monkeypatch):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_gives_new_chunks_to_the_tokenizer_together(monkeypatch):
+    class Counting:
+        texts = 0
+
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    tokenizer = fresh_tokenizer()
+    text = " ".join(["start", *[f"wörd{n}.\nx{n}é,***" for n in range(500)], "\u00a0odd", "\u3000", "\U0001f600!", "it's", "\u0120"])
+    expected = tokenizer.encode(text, add_special_tokens=False).ids
+    encoder = Encoder(tokenizer_path())
+    encoder.tokenizer = counting = Counting(encoder.tokenizer)
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == expected
+    assert 1 <= counting.texts <= 4
+    # Where tokens do not show where chunks begin, each chunk is a text of its own.
+    encoder = Encoder(tokenizer_path())
+    encoder.after_blank[:] = False
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == expected
+
+
 def test_plan_holds_every_piece_once():
     rng = np.random.default_rng(3)
     counts = np.zeros(257, dtype=np.int64)
