@@ -24,12 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import KEY, keyed, only, text_of, with_key, written, names_kept
+from runlens.llm.common import KEY, few_files, keyed, only, small_batches, text_of, with_key, written, names_kept
 from runlens.llm.planes import mixed, packed, slice_of, unpacked
 
 POSTINGS_PER_BLOB = 1_000_000
 POSTINGS_PER_SLICE = 1_000_000
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 RANGES = 64
 # Shingles go by the upper 56 bits of their hash.
 REST = np.uint64(8)
@@ -129,14 +129,18 @@ def postings(docs: DataFrame, n: int, slices: int) -> DataFrame:
         digests = np.frombuffer(b"".join(sets), dtype=">u8")
         sizes = np.array([len(s) for s in sets.values()], dtype=np.uint64)
         hashes = np.concatenate(list(sets.values()))
-        owners = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))
+        sets.clear()
+        owners = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes.astype(np.int64))
         order = np.argsort(hashes)
         hashes, owners = hashes[order], owners[order]
-        slice_ = slice_of(hashes, slices)
+        del order
+        slice_ = slice_of(hashes, slices).astype(np.int64)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(slice_)) + 1, [len(slice_)]])
-        for a, b in zip(edges[:-1], edges[1:]):
+        numbers = slice_[edges[:-1]].tolist()
+        del slice_
+        for number, a, b in zip(numbers, edges[:-1], edges[1:]):
             there, local = np.unique(owners[a:b], return_inverse=True)
-            yield {"slice": int(slice_[a]), "hashes": packed(hashes[a:b] >> REST, 7), "owners": packed(local.astype(np.uint64), 3),
+            yield {"slice": number, "hashes": packed(hashes[a:b] >> REST, 7), "owners": packed(local.astype(np.uint64), 3),
                    "digests": digests[there].tobytes(), "sizes": packed(sizes[there], 5)}
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +155,7 @@ def postings(docs: DataFrame, n: int, slices: int) -> DataFrame:
                         held += len(hashes)
                 if held >= POSTINGS_PER_BLOB:
                     yield pd.DataFrame(list(blob(sets)))
-                    sets, held = {}, 0
+                    held = 0
         if sets:
             yield pd.DataFrame(list(blob(sets)))
 
@@ -232,19 +236,21 @@ def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     over; links inside a component go. The number of rounds is logarithmic in the longest chain.
     """
     edges = written(links.select("a", "b").where("a != b").distinct(), "edges")
-    while not edges.isEmpty():
+    sets = labels.count()
+    while left := edges.count():
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("comp"), F.least("a", "b").alias("to"))
-        step = written(step, "step")
+        step = written(few_files(step, 2 * left), "step")
         for _ in range(2):
             on = step.select(F.col("comp").alias("to"), F.col("to").alias("__next"))
             step = step.join(on, "to", "left").select("comp", F.coalesce("__next", "to").alias("to"))
-        step = written(step, "parents")
-        labels = written(labels.join(step, "comp", "left").select("set", F.coalesce("to", "comp").alias("comp")), "labels")
+        step = written(few_files(step, 2 * left), "parents")
+        labels = labels.join(step, "comp", "left").select("set", F.coalesce("to", "comp").alias("comp"))
+        labels = written(few_files(labels, sets), "labels")
         for end in ("a", "b"):
             moved = step.select(F.col("comp").alias(end), "to")
             edges = edges.join(moved, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        edges = written(edges.where("a != b").distinct(), "edges")
+        edges = written(few_files(edges.where("a != b").distinct(), left), "edges")
     return labels
 
 
@@ -325,13 +331,13 @@ def near_copies(docs: DataFrame, like: Likeness = Likeness(), leader_rounds: int
     where there is another. Texts of any length are read whole; an empty table gives no row.
     """
     rows = keyed(docs, "text")
-    sets = written(set_table(rows, like.n), "sets")
-    size = (sets.agg(F.sum("n_shingles")).first()[0] or 0)
-    slices = max(1, -(-size // POSTINGS_PER_SLICE))
-    shared = shared_postings(postings(rows, like.n, slices), slices)
-    live = written(live_sets(shared, like), "live")
-    numbered = written(live.withColumn("set", F.monotonically_increasing_id()), "numbered")
-    numbered = written(with_ranges(numbered), "ranges")
+    with small_batches(rows.sparkSession):
+        sets = written(set_table(rows, like.n), "sets")
+        size = (sets.agg(F.sum("n_shingles")).first()[0] or 0)
+        slices = max(1, -(-size // POSTINGS_PER_SLICE))
+        shared = shared_postings(postings(rows, like.n, slices), slices)
+        live = written(live_sets(shared, like), "live")
+        numbered = written(with_ranges(live.withColumn("set", F.monotonically_increasing_id())), "numbered")
     entries = written(prefixes(numbered, like), "prefixes")
     labels = written(numbered.select("set", F.col("set").alias("comp")), "labels")
     for seed in range(leader_rounds):

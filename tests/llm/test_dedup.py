@@ -7,9 +7,11 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import runlens.llm.common as common
 import runlens.llm.jaccard as jaccard
 import runlens.llm.suffix_dedup as suffix
 from runlens.llm.common import FREED, KEY, documents, in_buckets, shuffles_freed, written
@@ -205,3 +207,42 @@ def test_jaccard_on_the_small_table(spark):
 
 def test_key_is_unique(odd):
     assert exact_dedup(odd).select(KEY).distinct().count() == odd.count()
+
+
+def test_batches_of_texts_are_small(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"size": [int(batch["text"].str.len().sum())]})
+
+    texts = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) AS text")
+    before = spark.conf.get(common.BATCH)
+    with common.small_batches(spark):
+        found = [r[0] for r in texts.mapInPandas(sizes, "size bigint").collect()]
+    assert sum(found) == 40_000_000 and max(found) <= common.BATCH_BYTES + 1_000_000
+    assert spark.conf.get(common.BATCH) == before
+
+
+def test_jaccard_hands_over_small_batches_and_writes_few_files(docs, monkeypatch):
+    seen = {}
+
+    def written(df, name):
+        seen.setdefault(name, []).append((df.sparkSession.conf.get(common.BATCH), out := common.written(df, name)))
+        return out
+
+    monkeypatch.setattr(jaccard, "written", written)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words, f"a{i % 40}"]) + f" g{i // 40} " * 30) for i in range(400)]
+    spark = docs([]).sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = near_copies(docs(rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert all(batch == str(common.BATCH_BYTES) for name in ("sets", "live", "numbered") for batch, _ in seen[name])
+    assert seen["step"] and all(len(out.inputFiles()) <= spark.sparkContext.defaultParallelism
+                                for name in ("step", "parents", "labels") for _, out in seen[name])
+    expected = components_by_force(dict(rows), 3, 90)
+    assert rows_of(found, "doc_id", "n_shingles", "component_id") == expected
