@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import KEY, kept_by_worker, keyed, text_of, written
+from runlens.llm.common import KEY, kept_by_worker, keyed, small_batches, text_of, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
@@ -271,7 +271,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     id lies in one piece; a document longer than the window is cut into full windows and a
     remainder. Repeated rows are packed each; an empty table gives no row.
     """
-    pieces = written(cut_documents(docs, path or tokenizer_path(), window), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = written(cut_documents(docs, path or tokenizer_path(), window), "pieces")
     counts = np.zeros(window + 1, dtype=np.int64)
     for length, count in pieces.groupBy("length").count().collect():
         counts[length] = count
