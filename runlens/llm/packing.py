@@ -25,7 +25,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
 WINDOW = 2048
 # Chunks of text with their ids that a worker remembers; a full memory is kept as the one before, once.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 # New chunks that go to the tokenizer as one text.
 TOGETHER = 200
 # Characters of text that are split before what is new in them is learned.

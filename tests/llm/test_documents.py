@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import runlens.llm.common as common
 from runlens.llm.common import documents, labels
 from runlens.llm.mixing import MOST_PASSES, PACKET_WORDS, WEIGHTS, mix, mixed
 import runlens.llm.packing as packing
@@ -448,3 +449,17 @@ def test_worker_functions_need_no_package(tmp_path):
     done = subprocess.run([sys.executable, "-c", TRAVELLER, str(tmp_path / "work")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
     assert done.stdout.strip() == str(work())
+
+
+def test_packing_keeps_little_in_its_workers(docs, monkeypatch):
+    seen = {}
+
+    def written(df, name):
+        seen[name] = df.sparkSession.conf.get(common.BATCH)
+        return common.written(df, name)
+
+    monkeypatch.setattr(packing, "written", written)
+    assert packing.pack(docs([(1, "a text"), (2, None)])).count() == 2
+    assert seen["pieces"] == str(common.BATCH_BYTES)
+    # Both generations of a worker's memory, which stays while other stages run, at some 250 bytes a chunk.
+    assert 2 * 250 * packing.REMEMBERED <= 64 << 20
