@@ -18,6 +18,8 @@ from runlens.llm.rules import good_documents
 
 # Near copies of the pipeline: five words and a similarity of 0.8 or more.
 NEAR = Likeness(n=5, percent=80)
+# Chunks that a worker of the packing stage remembers: it serves the other stages as well.
+REMEMBERED = 100_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
-    return pack(docs)
+    return pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [

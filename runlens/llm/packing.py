@@ -25,7 +25,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
 WINDOW = 2048
 # Chunks of text with their ids that a worker remembers; a full memory is kept as the one before, once.
-REMEMBERED = 100_000
+REMEMBERED = 400_000
 # New chunks that go to the tokenizer as one text.
 TOGETHER = 200
 # Characters of text that are split before what is new in them is learned.
@@ -49,7 +49,7 @@ class Encoder:
     whole, as the tokenizer does it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,12 +64,13 @@ class Encoder:
         self.after_blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.cut = regex.compile(r" (?=\S)")
         self.odd = regex.compile(r" \s| $")
+        self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.known_before: dict[str, bytes] = {}
 
     def age(self) -> None:
         """A full memory becomes the one before; what is met again moves over, so that only rare words are forgotten."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > (REMEMBERED if self.remembered is None else self.remembered):
             self.known, self.known_before = {}, self.known
 
     def learn(self, parts: set[str]) -> None:
@@ -136,12 +137,12 @@ def pieces_of(coded: bytes, window: int) -> Iterator[tuple[int, int, int]]:
         yield at // 4, len(part) // 4, zlib.crc32(part)
 
 
-def cut_documents(docs: DataFrame, path: str, window: int) -> DataFrame:
+def cut_documents(docs: DataFrame, path: str, window: int, remembered: int) -> DataFrame:
     """KEY, doc_id, start, length, ids_crc32, doc_tokens: full windows and the remainder of each document."""
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = kept_by_worker(f"encoder {path}", lambda: Encoder(path))
+        encoder = kept_by_worker(f"encoder {path} {remembered}", lambda: Encoder(path, remembered))
         for batch in batches:
             keys, ids, starts, lengths, crcs, tokens = [], [], [], [], [], []
             texts = batch["text"].tolist()
@@ -263,16 +264,17 @@ def ranked(pieces: DataFrame) -> DataFrame:
             .withColumn("rank", F.col("__ahead") + F.col("__inside")).drop("__bucket", "__inside", "__ahead"))
 
 
-def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of documents in sequences of at most `window` tokens, with little padding.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A
     document is its ids and an end id; a null text is an empty one, which is its end id alone. Each
     id lies in one piece; a document longer than the window is cut into full windows and a
-    remainder. Repeated rows are packed each; an empty table gives no row.
+    remainder. Repeated rows are packed each; an empty table gives no row. A worker process remembers
+    twice `remembered` chunks, also while it serves other stages.
     """
     with small_batches(docs.sparkSession):
-        pieces = written(cut_documents(docs, path or tokenizer_path(), window), "pieces")
+        pieces = written(cut_documents(docs, path or tokenizer_path(), window, remembered), "pieces")
     counts = np.zeros(window + 1, dtype=np.int64)
     for length, count in pieces.groupBy("length").count().collect():
         counts[length] = count

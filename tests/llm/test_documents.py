@@ -459,7 +459,7 @@ def test_packing_keeps_little_in_its_workers(docs, monkeypatch):
         return common.written(df, name)
 
     monkeypatch.setattr(packing, "written", written)
-    assert packing.pack(docs([(1, "a text"), (2, None)])).count() == 2
+    assert packing.pack(docs([(1, "a text"), (2, None)]), remembered=1).count() == 2
     assert seen["pieces"] == str(common.BATCH_BYTES)
-    # Both generations of a worker's memory, which stays while other stages run, at some 250 bytes a chunk.
-    assert 2 * 250 * packing.REMEMBERED <= 64 << 20
+    # In the pipeline both generations of a worker's memory stay while other stages run, at some 250 bytes a chunk.
+    assert 2 * 250 * corpus_pipeline.REMEMBERED <= 64 << 20
