@@ -146,6 +146,37 @@ def test_encoder_joins_chunks_as_the_tokenizer_does():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_learns_a_word_once_whatever_follows_it():
+    encoder, tokenizer, learned = Encoder(tokenizer_path()), fresh_tokenizer(), []
+    learn = encoder.learn
+    encoder.learn = lambda units: (learned.extend(units), learn(units))[1]
+    text = " word word, word. word.\nword word; wörd\u00e9 wörd\u00e9, 17 17."
+    for _ in range(2):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(learned) == sorted([" word", ",", ".", "\n", "word", ";", " wörd\u00e9", " 17"])
+
+
+def test_encoder_cuts_where_the_pattern_does():
+    rng = np.random.default_rng(5)
+    parts = ["a", "b", "S", "1", ".", "-", "'", "'s", "'ll", " ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x00", "é", "×", "÷", "À", "\u00a0", "\u0085",
+             "\u2003", "\u3000", "\u180e", "\u2028", "日", "の", "\U0001f600", "\u0301", "²", "\u0663", "“", "\ufeff", " the", " of"]
+    encoder, tokenizer = Encoder(tokenizer_path()), fresh_tokenizer()
+    for _ in range(40):
+        texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 20))) for _ in range(100)]
+        expected = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+        assert [np.frombuffer(coded, "<u4").tolist() for coded in encoder.encode_all(texts)] == expected
+
+
+def test_encoder_leaves_texts_of_another_pattern_whole(tmp_path):
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    tokenizer = fresh_tokenizer()
+    tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=True)
+    tokenizer.save(str(tmp_path / "other.json"))
+    text = "a word, another.\nword"
+    assert np.frombuffer(Encoder(str(tmp_path / "other.json")).encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_with_a_small_memory(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     encoder, tokenizer = Encoder(tokenizer_path()), fresh_tokenizer()
