@@ -127,31 +127,43 @@ def suffix_order(data: np.ndarray, depth: int, memory: int = MEMORY) -> np.ndarr
     ends[leftmost[:-1]] = leftmost[1:]
     lengths = ends[by_substring] - by_substring + 1
     new = np.ones(len(by_substring), dtype=bool)
-    same = np.flatnonzero(lengths[1:] == lengths[:-1])
+    # The two substrings that hold the last symbol are like no other; eight symbols of the others are looked at at once.
+    unlike = np.isin(by_substring, leftmost[-2:])
+    same = np.flatnonzero((lengths[1:] == lengths[:-1]) & ~unlike[1:] & ~unlike[:-1])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    within = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
     at = 0
     while len(same):
-        inside = at < lengths[same]
-        equal = ~inside | (text[np.minimum(by_substring[same] + at, len(text) - 1)] == text[np.minimum(by_substring[same + 1] + at, len(text) - 1)])
-        finished = equal & ~inside
-        new[same[finished] + 1] = False
-        same = same[equal & inside]
-        at += 1
-    names = np.cumsum(new).astype(np.int64)
+        differ = eight[by_substring[same] + at] ^ eight[by_substring[same + 1] + at]
+        room = lengths[same] - at
+        equal = (differ & within[np.minimum(room, 8)]) == 0
+        new[same[equal & (room <= 8)] + 1] = False
+        same = same[equal & (room > 8)]
+        at += 8
+    # Substrings with equal names share the rank of the first; the leftmost S suffixes are told apart by one name, two, four,
+    # until `depth` symbols are. A name covers two symbols at least before the next one. Only shared ranks are looked at again.
+    slots = np.arange(len(by_substring))
     rank = np.zeros(len(text), dtype=np.int32)
-    rank[by_substring] = names
-    reduced = rank[leftmost].astype(np.int64)
-    del ends, rank
-    # The reduced string of names is ordered in turn: by one name, two, four, until `depth` symbols are told apart.
-    order = np.argsort(reduced, kind="stable")
+    rank[by_substring] = np.maximum.accumulate(np.where(new, slots, 0))
+    rank = rank[leftmost].astype(np.int64)
+    place = np.zeros(len(text), dtype=np.int32)
+    place[leftmost] = slots
+    order = place[by_substring]
+    del ends, place, lengths, unlike, eight
+    shared = np.flatnonzero(~(new & np.append(new[1:], True)))
     width = 1
-    while width <= depth and reduced.max() < len(reduced):
-        second = np.zeros_like(reduced)
-        if width < len(reduced):
-            second[:-width] = reduced[width:]
-        both = reduced * np.int64(len(reduced) + 1) + second
-        order = np.argsort(both, kind="stable")
-        sorted_ = both[order]
-        reduced[order] = np.cumsum(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    while 2 * width + 1 < depth and len(shared):
+        some = order[shared]
+        after = some.astype(np.int64) + width
+        both = rank[some] * np.int64(len(rank) + 1)
+        inner = after < len(rank)
+        both[inner] += rank[after[inner]] + 1
+        by_both = np.argsort(both, kind="stable")
+        some, both = some[by_both], both[by_both]
+        new = np.concatenate([[True], both[1:] != both[:-1]])
+        order[shared] = some
+        rank[some] = np.maximum.accumulate(np.where(new, shared, 0))
+        shared = shared[~(new & np.append(new[1:], True))]
         width *= 2
     result = induce(text, s_type, leftmost[order], 257, memory)
     return result[result < len(data)]

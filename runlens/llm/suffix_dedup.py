@@ -37,6 +37,8 @@ POSTINGS_PER_SLICE = 500_000
 BYTES_PER_SHARD = 6 << 20
 # Rows of one anchor from which its windows are dealt one by one.
 COMMON = 5_000
+# Bytes of runs of such anchors whose windows are hashed at once.
+TOGETHER = 64 << 10
 # Anchors go by the upper 56 bits of their hash.
 REST = np.uint64(8)
 
@@ -185,19 +187,36 @@ def pieces(suspects: DataFrame, length: int, shards: int) -> DataFrame:
             gone.append((key, start, windows))
             return 50
 
+        def one_by_one(waiting: list[tuple[int, int, int, bytes]]) -> int:
+            """The windows of runs of common anchors, hashed together."""
+            data = b"".join([content for *_, content in waiting])
+            names = window_hashes(np.frombuffer(data, dtype=np.uint8), len(data) - length + 1, length).view(np.int64)
+            at = taken = 0
+            for key, start, windows, content in waiting:
+                for i, name in enumerate(names[at : at + windows].tolist()):
+                    taken += add(name, key, start + i, 1, content[i : i + length])
+                at += len(content)
+            return taken
+
+        waiting, wait = [], 0
         for batch in batches:
             for key, text, *runs in zip(batch[KEY], batch["text"], *(batch[c] for c in RUNS)):
                 data = text.encode("utf-8", "surrogatepass")
                 for start, windows, anchor, common in zip(*(r.tolist() for r in runs)):
+                    content = data[start : start + windows + length - 1]
                     if common:
-                        part = np.frombuffer(data, dtype=np.uint8, count=windows + length - 1, offset=start)
-                        for i, name in enumerate(window_hashes(part, windows, length).view(np.int64).tolist()):
-                            held += add(name, key, start + i, 1, data[start + i : start + i + length])
+                        waiting.append((key, start, windows, content))
+                        wait += len(content)
                     else:
-                        held += add(anchor, key, start, windows, data[start : start + windows + length - 1])
+                        held += add(anchor, key, start, windows, content)
+                if wait > TOGETHER:
+                    held += one_by_one(waiting)
+                    waiting, wait = [], 0
                 if held > 32 << 20:
                     yield flush()
                     kept, gone, held = {}, [], 0
+        if waiting:
+            one_by_one(waiting)
         yield flush()
 
     return suspects.mapInPandas(work, PIECES)
@@ -240,23 +259,24 @@ def repeated_windows(packed_pieces: DataFrame, length: int) -> DataFrame:
         if len(left):
             text = np.frombuffer(b"".join([data[offsets[i] : offsets[i] + sizes[i]] for i in left.tolist()]), dtype=np.uint8)
             del first, data, part
-            owner = np.repeat(np.arange(len(left), dtype=np.int32), sizes[left])
-            inside = np.arange(len(text), dtype=np.int32) - np.repeat((np.cumsum(sizes[left]) - sizes[left]).astype(np.int32), sizes[left])
+            begins = np.cumsum(sizes[left]) - sizes[left]
+            whole = np.ones(len(text), dtype=bool)
+            for i in range(1, length):
+                whole[begins + sizes[left] - i] = False
             suffixes = suffix_order(text, length)
-            suffixes = suffixes[inside[suffixes] < windows[left][owner[suffixes]]]
+            suffixes = suffixes[whole[suffixes]]
             eight = words8(text)
-            equal = np.ones(max(0, len(suffixes) - 1), dtype=bool)
+            same = np.arange(len(suffixes) - 1)
             for at in [*range(0, length - 8, 8), length - 8]:
-                value = eight[suffixes + at]
-                equal &= value[1:] == value[:-1]
-            group = np.cumsum(np.concatenate([[True], ~equal]))
-            row, place = keys[left][owner[suffixes]], starts[left][owner[suffixes]] + inside[suffixes]
-            order = np.lexsort((place, row, group))
-            again = np.concatenate([[False], group[order][1:] == group[order][:-1]])
-            row, place = row[order][again], place[order][again]
-            order = np.lexsort((place, row))
-            row, place = row[order], place[order]
-            if len(row):
+                same = same[eight[suffixes[same] + at] == eight[suffixes[same + 1] + at]]
+            new = np.ones(len(suffixes), dtype=bool)
+            new[same + 1] = False
+            # Pieces lie in the table's order, so of equal windows the first in the text is the first in the table.
+            whole[np.minimum.reduceat(suffixes, np.flatnonzero(new))] = False
+            again = np.flatnonzero(whole)
+            if len(again):
+                owner = np.searchsorted(begins, again, side="right") - 1
+                row, place = keys[left][owner], starts[left][owner] + again - begins[owner]
                 new = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)])
                 begin = np.flatnonzero(new)
                 end = np.concatenate([begin[1:], [len(row)]]) - 1

@@ -18,6 +18,7 @@ from runlens.llm.common import FREED, KEY, documents, in_buckets, shuffles_freed
 from runlens.llm.exact_dedup import DedupIndex, exact_dedup, without_copies
 from runlens.llm.induced import suffix_order
 from runlens.llm.jaccard import Likeness, near_copies, one_of_each
+from runlens.llm.planes import unpacked
 from runlens.llm.suffix_dedup import suffix_dedup
 from tests.llm.conftest import rows_of
 
@@ -144,6 +145,52 @@ def test_buckets_are_joined_where_they_lie(docs, spark):
         assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
+def test_suffix_windows_of_common_anchors_are_hashed_together(monkeypatch):
+    class Frame:
+        def mapInPandas(self, work, schema):
+            return work
+
+    calls, hashes = [], suffix.window_hashes
+    monkeypatch.setattr(suffix, "window_hashes", lambda data, count, length: (calls.append(count), hashes(data, count, length))[1])
+    texts = [f"{i:03d} " + "x" * 40 + f" {i % 3} " + "y" * 80 for i in range(50)]
+    runs = [[np.array([2, 9]), np.array([3, 4]), np.array([7, 8]), np.array([True, True])] for _ in texts]
+    batch = pd.DataFrame([(i, text, *r) for i, (text, r) in enumerate(zip(texts, runs))], columns=[KEY, "text", *suffix.RUNS])
+    out = pd.concat(list(suffix.pieces(Frame(), 100, 1)(iter([batch]))))
+    assert len(calls) == 1
+    first, again = {}, []
+    for i, text in enumerate(texts):
+        for at in (2, 3, 4, 9, 10, 11, 12):
+            if first.setdefault(text[at : at + 100], (i, at)) != (i, at):
+                again.append((i, at))
+    known = out[out["bytes"].map(len) == 0]
+    found = zip(np.concatenate([unpacked(b, 8) for b in known["keys"]]).tolist(), np.concatenate([unpacked(b, 5) for b in known["starts"]]).tolist())
+    assert sorted(found) == sorted(again)
+    content = b"".join(out["bytes"])
+    assert {content[i : i + 100].decode() for i in range(0, len(content), 100)} == set(first)
+    # A window's name depends on its bytes only.
+    one = out[out["bytes"].map(len) > 0].iloc[0]
+    starts = np.frombuffer(one["bytes"], dtype=np.uint8)
+    assert unpacked(one["anchors"], 8).tolist() == [int(hashes(starts[i : i + 100], 1, 100)[0]) for i in range(0, len(starts), 100)]
+
+
+def test_suffix_order_of_bytes_of_any_value_and_long_repeats(monkeypatch):
+    rng, sorted_ = np.random.default_rng(3), []
+    argsort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda values, *a, **k: (sorted_.append(len(values)) if values.dtype == np.int64 else None, argsort(values, *a, **k))[1])
+    for round_ in range(60):
+        base = rng.integers(0, [2, 3, 256][round_ % 3], 400).astype(np.uint8)
+        data = np.concatenate([base, base[: rng.integers(0, 300)], np.zeros(rng.integers(0, 250), np.uint8), base[rng.integers(0, 200) :]])
+        order = suffix_order(data, 100)
+        content = data.tobytes()
+        assert sorted(order.tolist()) == list(range(len(content)))
+        windows = [content[i : i + 100] for i in order.tolist()]
+        assert windows == sorted(windows)
+    # What is told apart is not sorted again.
+    sorted_.clear()
+    suffix_order(rng.integers(0, 256, 200_000).astype(np.uint8), 100)
+    assert sum(sorted_) < 20_000
+
+
 def test_suffix_order_with_queues_on_disk():
     rng = np.random.default_rng(0)
     for _ in range(60):
