@@ -37,6 +37,11 @@ def exact_sum(value: Column) -> Column:
     return F.sum(as_micros(value)) / 1e6
 
 
+def wide_sum(value: Column) -> Column:
+    """Sum of longs as the nearest double; it is added in a decimal, since no long may hold it."""
+    return F.sum(value.cast("decimal(19,0)")).cast("double")
+
+
 def seconds_of(micros: Column) -> Column:
     return micros / 1e6
 

@@ -137,3 +137,10 @@ def test_arguments_are_checked(spark):
         known.register("take some")(take)
     with pytest.raises(ArgumentError, match="not one of"):
         TRANSFORMS.run("History", spark.range(1), mode="other")
+
+
+def test_a_transform_s_sum_may_exceed_a_long(spark):
+    """Three open runs of 4e18 microseconds, and one that ended, under a name spelled otherwise."""
+    runs = spark.createDataFrame([("t", -2 * 10 ** 18, None, None)] * 3 + [("u", 0, 5_000_000, "done")], "tool string, start_us long, end_us long, outcome string")
+    got = rows(TRANSFORMS.run("tool-uptime", runs, now_us=str(2 * 10 ** 18)).select("tool", "runs", "running", "seconds"))
+    assert [tuple(r.values()) for r in got] == [("t", 3, 3, 1.2e13), ("u", 1, 0, 5.0)]
