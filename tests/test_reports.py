@@ -44,6 +44,14 @@ def test_queue_ranked_by_total(spark):
     assert (got[1]["queued"], got[1]["total_wait"], got[0]["mean_wait"]) == (1, 30.01, 4.0)
 
 
+def test_uptime_may_exceed_a_long(spark):
+    """Sums of open and of ended runs; the mean is of the whole sum, and a tool without a name is counted like another."""
+    runs = [("t", -2 * 10 ** 18, None, None)] * 3 + [(None, -4 * 10 ** 18, 4 * 10 ** 18, "done")] * 2 + [("u", 0, 5_000_000, "failed")]
+    got = rows(ledger.tool_uptime(spark.createDataFrame(runs, "tool string, start_us long, end_us long, outcome string"), 2 * 10 ** 18))
+    assert [(r["tool"], r["runs"], r["seconds"], r["longest"], r["mean"]) for r in got] == [
+        ("(unnamed)", 2, 1.6e13, 8e12, 8e12), ("t", 3, 1.2e13, 4e12, 4e12), ("u", 1, 5.0, 5.0, 5.0)]
+
+
 def test_pause_is_not_work(spark):
     runs = spark.createDataFrame([(1, 0, 100_000_000), (2, 0, None)], "run_id long, start_us long, end_us long")
     spans = spark.createDataFrame([(1, "paused", 10_000_000, 40_000_000), (1, "paused", 50_000_000, None), (1, "running", 0, 9_000_000)],
