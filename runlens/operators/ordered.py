@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from runlens.session import checkpointed, hot_rows
 
-MAX_SLICES = 1 << 16  # a power of two; beyond 65 billion rows of one key slices grow
+MAX_SLICES = 1 << 16  # a power of two; beyond 65 billion rows of one key, or 16 billion of a whole table, slices grow
 SAMPLES_PER_SLICE = 16
+# Slices of a whole table, in what one task may be given.
+WHOLE_PARTS = 8
 # Points at which the sketch of a hot group is asked.
 LEAST_CELLS, MOST_CELLS = 64, 4096
 
@@ -31,6 +33,7 @@ class Step:
     kind: str
     value: Column | None = None
     inclusive: bool = True
+    sql: str | None = None
 
 
 def rank() -> Step:
@@ -71,6 +74,14 @@ def upcoming_min(value: Column, inclusive: bool = True) -> Step:
     return Step("min_ahead", value, inclusive)
 
 
+def upcoming_rising(sql: str) -> Step:
+    """The earliest non-null value after this row, of values (an SQL expression) that never fall along the order.
+
+    It is the smallest of them as well, so a slice's summary needs no position and its window no second sort.
+    """
+    return Step("rising_ahead", F.expr(sql), False, sql)
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Join condition on `keys` that lets null match null."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
@@ -104,6 +115,8 @@ def _local(step: Step, partition: Sequence[str], order: Sequence[str]) -> Column
         return F.max(step.value).over(frame)
     if step.kind == "last":
         return F.last(step.value, ignorenulls=True).over(frame)
+    if step.kind == "rising_ahead":
+        return F.expr(f"lead({step.sql}) IGNORE NULLS").over(window)
     # Backwards, since a frame that shrinks from the front is computed anew for every row.
     backwards = _reversed(partition, order).rowsBetween(Window.unboundedPreceding, end)
     return F.min(step.value).over(backwards) if step.kind == "min_ahead" else F.last(step.value, ignorenulls=True).over(backwards)
@@ -116,7 +129,7 @@ def _summary(step: Step, position: Column) -> Column:
         return F.sum(step.value)
     if step.kind == "max":
         return F.max(step.value)
-    if step.kind == "min_ahead":
+    if step.kind in ("min_ahead", "rising_ahead"):
         return F.min(step.value)
     boxed = F.struct(step.value.alias("v"))
     if step.kind == "prev":
@@ -138,7 +151,7 @@ def _carry(step: Step, summary: Column, keys: Sequence[str]) -> Column:
         return F.max(summary).over(before)
     if step.kind in ("prev", "last"):
         return F.last(summary, ignorenulls=True).over(before)
-    if step.kind == "min_ahead":
+    if step.kind in ("min_ahead", "rising_ahead"):
         return F.min(summary).over(after)
     return F.last(summary, ignorenulls=True).over(after)
 
@@ -199,6 +212,49 @@ def slice_groups(df: DataFrame, points: DataFrame, keys: Sequence[str], order: S
     return join_on(df, points, keys, "left").withColumn("_slice", number.cast("int")).drop("_points")
 
 
+def whole_points(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int] | None:
+    """One row with the sorted positions at which to cut a whole table, and how many; None if one task can take it.
+
+    One pass counts the rows and takes the sample, again by hash. Slices are a part of what one task may be given:
+    the smaller they are, the less is compared row by row when they are sorted.
+    """
+    limit = hot_rows(df.sparkSession)
+    size = max(1, limit // WHOLE_PARTS)
+    sampled = F.pmod(F.xxhash64(*order), F.lit(max(1, size // SAMPLES_PER_SLICE))) == 0
+    # Grouped by position, all rows outside the sample being one group.
+    counted = df.groupBy(F.when(sampled, F.struct(*order)).alias("_at")).agg(F.count(F.lit(1)).alias("_k"))
+    seen = checkpointed(counted.agg(F.sum("_k").alias("_n"), F.array_sort(F.collect_list("_at")).alias("_seen")))
+    n, found = seen.select(F.coalesce("_n", F.lit(0)), F.size("_seen")).first()
+    if n <= limit:
+        return None
+    slices = min(MAX_SLICES, -(-n // size))
+    chosen = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: F.get(
+        F.col("_seen"), F.floor(i * F.lit(found).cast("long") / slices).cast("int")))) if found else F.slice("_seen", 1, 0)
+    points = checkpointed(seen.select(chosen.alias("_points")))
+    return points, points.select(F.size("_points")).first()[0]
+
+
+def slice_whole(df: DataFrame, points: DataFrame, count: int, order: Sequence[str]) -> DataFrame:
+    """Tag every row of a table with its slice.
+
+    A binary search as one column per bit, which is compiled; of a lambda every step is interpreted. The cuts are scalars,
+    since a join would copy them beside every row. Whole positions are compared only where a cut has the row's first value.
+    """
+    cuts = points.select("_points").scalar()
+    firsts = points.select(F.transform("_points", lambda p: p[order[0]])).scalar()
+    first = F.col(order[0])
+
+    def reached(at: Column) -> Column:
+        cut = F.get(firsts, at - 1)
+        below = F.coalesce(cut < first, cut.isNull() & first.isNotNull())
+        return (at <= count) & (below | (cut.eqNullSafe(first) & (F.get(cuts, at - 1) <= F.struct(*order))))
+
+    found = df.withColumn("_slice", F.lit(0))
+    for bit in reversed(range(count.bit_length())):
+        found = found.withColumn("_slice", F.col("_slice") + F.when(reached(F.col("_slice") + (1 << bit)), 1 << bit).otherwise(0))
+    return found
+
+
 def fits(df: DataFrame, keys: Sequence[str], share: int = 1) -> bool:
     """Whether every group is small enough, or a `share` of it, for one task: worth asking once before several passes."""
     return not _hot(df, keys, share)
@@ -213,19 +269,23 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], fitting: boo
     whole = not keys
     if whole:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    points = None if fitting else split_points(df, keys, order)
+    points = None if fitting else whole_points(df, order) if whole else split_points(df, keys, order)
     if points is None:
         out = df.select("*", *[_unbox(s, _local(s, keys, order)).alias(n) for n, s in steps.items()])
         return out.drop("_all") if whole else out
-    sliced = slice_groups(df, points, keys, order)
+    sliced = slice_whole(df, *points, order) if whole else slice_groups(df, points, keys, order)
     position = F.struct(*order)
-    summaries = sliced.filter(F.col("_slice") >= 0).groupBy(*keys, "_slice").agg(
+    # A condition on the slice of a whole table would be pushed into the search, where each bit repeats the ones before.
+    summaries = (sliced if whole else sliced.filter(F.col("_slice") >= 0)).groupBy(*keys, "_slice").agg(
         *[_summary(s, position).alias(f"_s_{n}") for n, s in steps.items()])
+    if whole:
+        summaries = checkpointed(summaries)
     carries = summaries.select(
         *keys, "_slice",
         *[_carry(s, F.col(f"_s_{n}"), keys).alias(f"_c_{n}") for n, s in steps.items()])
     local = sliced.select("*", *[_local(s, [*keys, "_slice"], order).alias(f"_l_{n}") for n, s in steps.items()])
-    joined = join_on(local, carries, [*keys, "_slice"], "left")
+    # Of a whole table there is a row per slice, MAX_SLICES at most: the rows themselves are not shuffled again to meet them.
+    joined = join_on(local, F.broadcast(carries.drop(*keys)) if whole else carries, [*([] if whole else keys), "_slice"], "left")
     out = joined.select(
         *[c for c in df.columns],
         *[_unbox(s, _combine(s, F.col(f"_l_{n}"), F.col(f"_c_{n}"))).alias(n)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from runlens.operators.ordered import (along, following, order_statistics, prev, rank, running_last, running_max,
-                                       running_sum, summary_of, top_per_group, upcoming_first, wide_medians)
+                                       running_sum, summary_of, top_per_group, upcoming_first, upcoming_rising, wide_medians)
 
 
 def skewed(n=300, seed=3):
@@ -59,6 +59,17 @@ def test_whole_table_order(spark, hot):
     assert [(r.n, r.s) for r in got.orderBy("id").collect()] == [(i + 1, i or None) for i in range(100)]
 
 
+@pytest.mark.parametrize("first", [lambda i: None, lambda i: i % 3 or None, lambda i: f"k{i % 7}", lambda i: float(i) if i % 9 else None])
+def test_whole_table_order_of_any_first_value(spark, hot, first):
+    """Cuts that share their first value, or have none, are told apart by the rest of the position."""
+    kind = "string" if isinstance(first(1), str) else "double" if isinstance(first(1), float) else "long"
+    data = [(first(i), i) for i in range(200)]
+    got = along(spark.createDataFrame(data, f"a {kind}, i long").repartition(4), [], ["a", "i"], n=rank(), up=upcoming_rising("CASE WHEN i % 5 = 0 THEN a END"))
+    ordered = sorted(data, key=lambda d: (d[0] is not None, d[0] if d[0] is not None else 0, d[1]))
+    ahead = [next((a for a, i in ordered[at + 1:] if i % 5 == 0 and a is not None), None) for at in range(200)]
+    assert {r.i: (r.n, r.up) for r in got.collect()} == {i: (at + 1, ahead[at]) for at, (a, i) in enumerate(ordered)}
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=120))
 def test_summary_on_any_values(spark, hot, values):

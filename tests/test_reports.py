@@ -1,6 +1,7 @@
 """Worked expectations for the report, event and ledger operators."""
 
 import hashlib
+import random
 
 import pytest
 from conftest import rows
@@ -115,6 +116,41 @@ def test_solo(spark, data, solo):
     assert {r["run_id"]: r["solo"] for r in rows(ledger.solo_runs(df, ["run_id"]))} == solo
 
 
+def solo_by_hand(data):
+    """Every run's answer from one pass over all starts and ends in order, a missing start first."""
+    place = lambda r: ((r[1] is not None, r[1] or 0), 1, r[0])
+    events = sorted([(place(r), 1, r) for r in data] + [(((True, r[2]), -1, r[0]), -1, r) for r in data if r[2] is not None], key=lambda e: e[0])
+    found, live = {}, 0
+    for at, (_, delta, r) in enumerate(events):
+        if delta == 1:
+            after = next((x[1] for _, d, x in events[at + 1:] if d == 1 and x[1] is not None), None)
+            found[r[0]] = live == r[3] and (after is None or (r[2] is not None and after >= r[2]))
+        live += delta
+    return found
+
+
+@pytest.mark.parametrize("instants", [2, 30, 100_000])
+def test_solo_in_slices(spark, hot, instants):
+    """Many runs, few or many instants, in slices; some runs are open, of no length or without a start."""
+    rng = random.Random(instants)
+    data = [(i, rng.choice([None, 0]) if i % 40 == 0 else rng.randrange(instants), None, rng.randrange(3)) for i in range(400)]
+    data = [(i, s, None if s is None or i % 50 == 1 else s + rng.choice([0, 1, 1, 5]), d) for i, s, _, d in data]
+    df = spark.createDataFrame(data, "run_id long, start_us long, end_us long, depth long").repartition(5)
+    got = ledger.solo_runs(df, ["run_id"])
+    assert got.columns == ["run_id", "start_us", "end_us", "depth", "solo"]
+    got = rows(got)
+    assert {r["run_id"]: r["solo"] for r in got} == solo_by_hand(data)
+    assert sorted((r["run_id"], r["start_us"], r["end_us"], r["depth"]) for r in got) == data
+
+
+def test_no_task_gets_all_runs(spark, hot):
+    """Starts and ends are dealt by slice, once, and sorted once; no key is the same for all of them."""
+    df = spark.createDataFrame([(i, i, i + 3, 0) for i in range(300)], "run_id long, start_us long, end_us long, depth long")
+    plan = ledger.solo_runs(df, ["run_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(coalesce(_all" not in plan
+    assert plan.count("Exchange hashpartitioning(_slice") == 1 and plan.count("Sort [_slice") == 1
+
+
 def test_nearest_has_a_reach(spark):
     samples = spark.createDataFrame([(1, 0, 1, 1.0), (1, 2_000_000, 2, 2.0), (1, 60_000_000, 3, 3.0)], "k long, at_us long, id long, value double")
     asked = spark.createDataFrame([(1, 1_000_000, 1), (1, 3_000_000, 2), (1, 200_000_000, 3), (2, 5, 4)], "k long, at_us long, id long")
