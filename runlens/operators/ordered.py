@@ -82,6 +82,11 @@ def upcoming_rising(sql: str) -> Step:
     return Step("rising_ahead", F.expr(sql), False, sql)
 
 
+def peers(after: bool = False) -> Step:
+    """How many rows of the very same position come before this one, or after it."""
+    return Step("peers_after" if after else "peers_before")
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Join condition on `keys` that lets null match null."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
@@ -105,6 +110,10 @@ def _local(step: Step, partition: Sequence[str], order: Sequence[str]) -> Column
     frame = window.rowsBetween(Window.unboundedPreceding, end)
     if step.kind == "rank":
         return F.row_number().over(window).cast("long")
+    if step.kind == "peers_before":
+        return F.row_number().over(window) - F.rank().over(window)
+    if step.kind == "peers_after":
+        return F.count(F.lit(1)).over(window.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.row_number().over(window)
     if step.kind == "prev":
         return F.lag(F.struct(step.value.alias("v"))).over(window)
     if step.kind == "following":
@@ -123,7 +132,7 @@ def _local(step: Step, partition: Sequence[str], order: Sequence[str]) -> Column
 
 
 def _summary(step: Step, position: Column) -> Column:
-    if step.kind == "rank":
+    if step.kind in ("rank", "peers_before", "peers_after"):
         return F.count(F.lit(1))
     if step.kind == "sum":
         return F.sum(step.value)
@@ -161,6 +170,8 @@ def _combine(step: Step, local: Column, carry: Column) -> Column:
         return F.when(carry.isNull(), local).otherwise(F.coalesce(local, F.lit(0)) + carry)
     if step.kind == "max":
         return F.greatest(local, carry)
+    if step.kind in ("peers_before", "peers_after"):
+        return local  # one position is in one slice
     if step.kind == "min_ahead":
         return F.least(local, carry)
     return F.coalesce(local, carry)

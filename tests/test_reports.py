@@ -143,6 +143,18 @@ def test_solo_in_slices(spark, hot, instants):
     assert sorted((r["run_id"], r["start_us"], r["end_us"], r["depth"]) for r in got) == data
 
 
+@pytest.mark.parametrize("limit", ["3", "1000"])
+def test_solo_of_repeated_runs(spark, limit):
+    """One of the runs that come twice sees what comes next, and as many before it as if it were the first."""
+    df = spark.createDataFrame([(1, 0, 5, 0)] * 2 + [(2, 10, 12, 1)] * 3 + [(3, 20, 20, 0)], "run_id long, start_us long, end_us long, depth long")
+    spark.conf.set("runlens.hotRows", limit)
+    try:
+        got = sorted((r["run_id"], r["solo"]) for r in rows(ledger.solo_runs(df, ["run_id"])))
+    finally:
+        spark.conf.unset("runlens.hotRows")
+    assert got == [(1, False), (1, True), (2, False), (2, False), (2, False), (3, True)]
+
+
 def test_no_task_gets_all_runs(spark, hot):
     """Starts and ends are dealt by slice, once, and sorted once; no key is the same for all of them."""
     df = spark.createDataFrame([(i, i, i + 3, 0) for i in range(300)], "run_id long, start_us long, end_us long, depth long")
